@@ -133,7 +133,8 @@ def parse(lines: DataFrame, layout: Layout, line: str = "value") -> DataFrame:
     """
     fields = split_fields(F.col(line), layout.separator)
     wanted = len(layout.fields)
-    rows = lines.select(fields.alias("_fields"))
+    # Generating the fields as a row of their own keeps the optimizer from repeating the split per column.
+    rows = lines.select(F.explode(F.array(fields)).alias("_fields"))
     fits = F.size("_fields") >= wanted if layout.more_fields else F.size("_fields") == wanted
     if layout.bad_arity == "fail":
         shape = F.raise_error(
@@ -157,7 +158,7 @@ def parse(lines: DataFrame, layout: Layout, line: str = "value") -> DataFrame:
 
 
 def parse_names(lines: DataFrame, line: str = "value") -> DataFrame:
-    """`id<TAB>name` lines; lines without a tab or with a non-numeric id are dropped."""
+    """`id<TAB>name` lines; lines without a tab or with a non-numeric id are dropped, names are trimmed."""
     text = F.col(line)
     tab = F.instr(text, "\t")
     name = F.regexp_replace(F.substring(text, tab, F.length(text)), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
@@ -171,7 +172,10 @@ def parse_names(lines: DataFrame, line: str = "value") -> DataFrame:
 def parse_aliases(lines: DataFrame, line: str = "value") -> DataFrame:
     """`bad_id<TAB>good_id` lines; an empty first field drops the line, other malformed ones raise."""
     fields = F.split(F.col(line), "\t")
-    rows = lines.select(F.get(fields, 0).alias("_bad"), F.get(fields, 1).alias("_good")).where(F.col("_bad") != "")
+    rows = lines.select(F.explode(F.array(fields)).alias("_fields")).select(
+        F.get("_fields", F.lit(0)).alias("_bad"), F.get("_fields", F.lit(1)).alias("_good")
+    )
+    rows = rows.where(F.col("_bad") != "")
     good = F.when(F.col("_good").isNull(), F.raise_error(F.lit("alias without a target")).cast("int"))
     return rows.select(
         strict_int(F.col("_bad")).alias("bad_id"),
