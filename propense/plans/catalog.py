@@ -1,6 +1,6 @@
 """All registered queries: importing the modules registers them."""
 
-from propense.plans import ingest  # noqa: F401
+from propense.plans import featuring, ingest, labelling, splitting  # noqa: F401
 from propense.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
