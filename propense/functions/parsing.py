@@ -154,7 +154,10 @@ def parse(lines: DataFrame, layout: Layout, line: str = "value") -> DataFrame:
         else:
             value = strict_double(text) if strict else double_or_null(text)
         columns.append(value.alias(name))
-    return rows.select(*columns).dropna()
+    complete = F.lit(True)
+    for name in (*layout.ints, *layout.doubles):
+        complete = complete & F.col(name).isNotNull()
+    return rows.select(*columns).where(complete)
 
 
 def parse_names(lines: DataFrame, line: str = "value") -> DataFrame:
