@@ -13,8 +13,7 @@ Policy = Literal["drop", "fail"]
 # What counts as a number in a field. Blanks around an integer or
 # a decimal point in it make the field malformed.
 INTEGER = r"^[+-]?[0-9]+$"
-SPECIAL_DOUBLE = r"(?i)^\s*[+-]?(inf|infinity|nan)\s*$"
-ALLOWED_SPECIAL_DOUBLE = r"^\s*[+-]?(Infinity|NaN)\s*$"
+SPECIAL_DOUBLE = r"^\s*[+-]?(Infinity|NaN)\s*$"
 
 
 def split_fields(line: Column, separator: str = ",") -> Column:
@@ -27,8 +26,11 @@ def int_or_null(text: Column) -> Column:
 
 
 def double_or_null(text: Column) -> Column:
-    odd = text.rlike(SPECIAL_DOUBLE) & ~text.rlike(ALLOWED_SPECIAL_DOUBLE)
-    return F.when(~odd, text.try_cast("double"))
+    value = text.try_cast("double")
+    special = F.isnan(value) | (F.abs(value) == float("inf"))
+    # Only `NaN` and `Infinity` as such are numbers, or a literal too large for a double.
+    named = text.rlike(r"^\s*[+-]?[A-Za-z]") & ~text.rlike(SPECIAL_DOUBLE)
+    return F.when(~(special & named), value)
 
 
 def _strict(text: Column, value: Column, kind: str) -> Column:

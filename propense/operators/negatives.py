@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,26 +30,29 @@ def sample_negatives(
     users that fall short go on where they stopped until they have m negatives
     or have used n_items draws.
     """
-    taken = positives.select("user_id", "item_id").distinct()
-    wanted = stage(taken.groupBy("user_id").agg(F.count("*").alias("m")), "wanted")
-    avoid = taken
-    if exclude is not None:
-        avoid = taken.union(exclude.select("user_id", "item_id")).distinct()
-    avoid = stage(avoid, "avoid")
+    taken = stage(positives.select("user_id", "item_id").distinct(), "positives")
     dictionary = stage(dense_index(items.select("item_id").distinct(), "item_id", "_index"), "items")
     n_items = dictionary.count()
-
-    avoided = avoid.groupBy("user_id").agg(F.count("*").alias("_avoided"))
-    pending = wanted.join(avoided, "user_id").select(
-        "user_id", F.col("m").alias("need"), "_avoided", F.lit(0).cast("bigint").alias("next")
-    )
+    pending = taken.groupBy("user_id").agg(F.count("*").alias("need"))
+    if exclude is None:
+        avoid = taken
+        pending = pending.withColumn("_avoided", F.col("need"))
+    else:
+        avoid = stage(taken.union(exclude.select("user_id", "item_id")).distinct(), "avoid")
+        pending = pending.join(avoid.groupBy("user_id").agg(F.count("*").alias("_avoided")), "user_id")
+    pending = pending.withColumn("next", F.lit(0).cast("bigint"))
     rounds = []
     while True:
         pending = stage(_with_width(pending, n_items), "pending")
-        drawn = _draw(pending, n_items, seed)
-        named = lookup_join(drawn, dictionary, "_index", "inner")
-        valid = stage(named.join(avoid, ["user_id", "item_id"], "left_anti"), "valid")
-        kept = stage(_first(valid, pending), "negatives")
+        longest = pending.agg(F.max("width")).first()[0]
+        if longest is None:
+            break
+        named = lookup_join(_draw(pending, n_items, seed), dictionary, "_index", "inner")
+        valid = named.join(avoid, ["user_id", "item_id"], "left_anti")
+        if longest <= CHUNK:
+            kept = stage(_first_of_few(valid), "negatives")
+        else:
+            kept = stage(_first(stage(valid, "valid")), "negatives")
         rounds.append(kept)
         got = kept.groupBy("user_id").agg(F.count("*").alias("_got"))
         pending = (
@@ -60,12 +65,8 @@ def sample_negatives(
             )
             .where((F.col("need") > 0) & (F.col("next") < n_items))
         )
-        if pending.isEmpty():
-            break
-    result = rounds[0]
-    for kept in rounds[1:]:
-        result = result.unionByName(kept)
-    return result
+    empty = taken.where(F.lit(False)).select("user_id", F.lit(0).cast("bigint").alias("draw"), "item_id")
+    return functools.reduce(DataFrame.unionByName, rounds, empty)
 
 
 def _with_width(pending: DataFrame, n_items: int) -> DataFrame:
@@ -77,35 +78,44 @@ def _with_width(pending: DataFrame, n_items: int) -> DataFrame:
 
 
 def _draw(pending: DataFrame, n_items: int, seed: int) -> DataFrame:
-    """Rows `user_id, draw, chunk, _index`, a user's draws cut into chunks that move to other tasks."""
+    """Rows `user_id, need, draw, chunk, _index`, a user's draws cut into chunks that move to other tasks."""
     last = F.col("next") + F.col("width") - 1
     chunks = pending.select(
         "user_id",
-        F.col("next"),
+        "need",
+        "next",
         last.alias("_last"),
         F.explode(F.sequence(F.floor(F.col("next") / CHUNK), F.floor(last / CHUNK))).alias("chunk"),
     ).repartition("user_id", "chunk")
     first = F.greatest(F.col("next"), F.col("chunk") * CHUNK)
     end = F.least(F.col("_last"), F.col("chunk") * CHUNK + (CHUNK - 1))
-    return chunks.select("user_id", "chunk", F.explode(F.sequence(first, end)).alias("draw")).withColumn(
+    return chunks.select("user_id", "need", "chunk", F.explode(F.sequence(first, end)).alias("draw")).withColumn(
         "_index", (draw(seed, F.col("user_id"), F.col("draw")) % n_items).cast("int")
     )
 
 
-def _first(valid: DataFrame, pending: DataFrame) -> DataFrame:
+def _first_of_few(valid: DataFrame) -> DataFrame:
+    """Each user's first `need` valid draws, where no user has more than CHUNK draws."""
+    position = F.row_number().over(Window.partitionBy("user_id").orderBy("draw"))
+    return (
+        valid.withColumn("_position", position)
+        .where(F.col("_position") <= F.col("need"))
+        .select("user_id", "draw", "item_id")
+    )
+
+
+def _first(valid: DataFrame) -> DataFrame:
     """Each user's first `need` valid draws: numbered within chunks, shifted by the chunks before."""
     before = Window.partitionBy("user_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         valid.groupBy("user_id", "chunk")
         .count()
-        .withColumn("_shift", F.coalesce(F.sum("count").over(before), F.lit(0)))
-        .join(pending.select("user_id", "need"), "user_id")
-        .select("user_id", "chunk", (F.col("need") - F.col("_shift")).alias("_room"))
+        .select("user_id", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
     )
     position = F.row_number().over(Window.partitionBy("user_id", "chunk").orderBy("draw"))
     return (
         valid.withColumn("_position", position)
         .join(shifts, ["user_id", "chunk"])
-        .where(F.col("_position") <= F.col("_room"))
+        .where(F.col("_position") + F.col("_shift") <= F.col("need"))
         .select("user_id", "draw", "item_id")
     )

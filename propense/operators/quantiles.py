@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propense.limits import EXACT_ROWS, RANGES, SKETCH_ACCURACY
@@ -14,93 +15,114 @@ from propense.limits import EXACT_ROWS, RANGES, SKETCH_ACCURACY
 def order_statistics(
     df: DataFrame, column: str, ranks: list[int], exact_rows: int = EXACT_ROWS, accuracy: int = SKETCH_ACCURACY
 ) -> list[float]:
-    """The exact `rank`-th smallest non-null, non-NaN values (ranks start at 1).
+    """The exact `rank`-th smallest non-null, non-NaN values of a column (ranks start at 1)."""
+    return select_ranks(df, {column: ranks}, exact_rows, accuracy)[column]
+
+
+@dataclass(frozen=True)
+class _Bracket:
+    """An open interval of a column known to hold a wanted value, as its `rank`-th of `rows`."""
+
+    column: str
+    low: float | None
+    high: float | None
+    rank: int
+    rows: int
+
+    def holds(self) -> Column:
+        value = F.col(self.column)
+        condition = value.isNotNull()
+        if self.low is not None:
+            condition = condition & (value > F.lit(self.low))
+        if self.high is not None:
+            condition = condition & (value < F.lit(self.high))
+        return condition
+
+
+def select_ranks(
+    df: DataFrame, ranks: dict[str, list[int]], exact_rows: int = EXACT_ROWS, accuracy: int = SKETCH_ACCURACY
+) -> dict[str, list[float]]:
+    """Exact order statistics of several columns in common passes.
 
     Every pass brackets each wanted rank between two values from a quantile
     sketch and counts what lies below, so that the next pass only looks at the
     open interval between them: about `6 / accuracy` of the rows, however many
     copies of one value there are. A rank is read off exactly once its interval
-    holds at most `exact_rows` rows. All ranks share the passes; only the
-    bracket ends and counts come to the driver.
+    holds at most `exact_rows` rows. Only the bracket ends and counts come to
+    the driver.
     """
-    value = F.col(column).cast("double")
-    values = df.select(value.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    total = values.count()
-    # rank -> (low, high, rank inside the open interval, rows inside it)
-    pending: dict[int, tuple[float | None, float | None, int, int]] = {}
-    for rank in sorted(set(ranks)):
-        if not 1 <= rank <= total:
-            raise ValueError(f"rank {rank} of {total} values")
-        pending[rank] = (None, None, rank, total)
-    found: dict[int, float] = {}
-
-    def inside(low: float | None, high: float | None):
-        condition = F.lit(True)
-        if low is not None:
-            condition = condition & (F.col("v") > F.lit(low))
-        if high is not None:
-            condition = condition & (F.col("v") < F.lit(high))
-        return condition
-
+    names = {column: f"v{i}" for i, column in enumerate(ranks)}
+    numbers = {name: F.col(column).cast("double") for column, name in names.items()}
+    values = df.select(*[F.when(~F.isnan(value), value).alias(name) for name, value in numbers.items()])
+    totals = values.agg(*[F.count(name).alias(name) for name in names.values()]).first()
+    pending: dict[tuple[str, int], _Bracket] = {}
+    for column, wanted in ranks.items():
+        total = totals[names[column]]
+        for rank in sorted(set(wanted)):
+            if not 1 <= rank <= total:
+                raise ValueError(f"rank {rank} of {total} values")
+            pending[column, rank] = _Bracket(names[column], None, None, rank, total)
+    found: dict[tuple[str, int], float] = {}
     while pending:
-        last = {r: p for r, p in pending.items() if p[3] <= exact_rows}
-        rest = {r: p for r, p in pending.items() if p[3] > exact_rows}
-        found |= _read_off(values, last, inside)
-        found_here, pending = _narrow(values, rest, inside, accuracy)
-        found |= found_here
-    return [found[r] for r in ranks]
+        found |= _read_off(values, {k: b for k, b in pending.items() if b.rows <= exact_rows})
+        now, pending = _narrow(values, {k: b for k, b in pending.items() if b.rows > exact_rows}, accuracy)
+        found |= now
+    return {column: [found[column, rank] for rank in wanted] for column, wanted in ranks.items()}
 
 
-def _read_off(values, pending, inside) -> dict[int, float]:
+def _read_off(values: DataFrame, brackets: dict) -> dict:
     """Ranks whose intervals are small enough for an exact percentile."""
-    if not pending:
+    if not brackets:
         return {}
-    columns = [
-        F.expr(f"percentile_disc({(rank - 0.5) / rows!r}D) within group (order by s{i})")
-        for i, (_, _, rank, rows) in enumerate(pending.values())
+    parts = [F.when(b.holds(), F.col(b.column)).alias(f"s{i}") for i, b in enumerate(brackets.values())]
+    exact = [
+        F.expr(f"percentile_disc({(b.rank - 0.5) / b.rows!r}D) within group (order by s{i})")
+        for i, b in enumerate(brackets.values())
     ]
-    parts = [F.when(inside(low, high), F.col("v")).alias(f"s{i}") for i, (low, high, _, _) in enumerate(pending.values())]
-    row = values.select(*parts).agg(*columns).first()
-    return dict(zip(pending, row, strict=True))
+    return dict(zip(brackets, values.select(*parts).agg(*exact).first(), strict=True))
 
 
-def _narrow(values, pending, inside, accuracy):
-    """One narrowing pass: bracket every rank, then count around the brackets."""
-    if not pending:
+def _narrow(values: DataFrame, brackets: dict, accuracy: int) -> tuple[dict, dict]:
+    """One narrowing pass: bracket every rank more closely, then count around the new ends."""
+    if not brackets:
         return {}, {}
+    slack = 2 / accuracy
     sketches = []
-    for low, high, rank, rows in pending.values():
-        slack = 2 / accuracy
-        ends = [max(0.0, (rank - 0.5) / rows - slack), min(1.0, (rank - 0.5) / rows + slack)]
-        sketches.append(F.percentile_approx(F.when(inside(low, high), F.col("v")), ends, accuracy))
-    brackets = values.agg(*sketches).first()
+    for b in brackets.values():
+        share = (b.rank - 0.5) / b.rows
+        ends = [max(0.0, share - slack), min(1.0, share + slack)]
+        sketches.append(F.percentile_approx(F.when(b.holds(), F.col(b.column)), ends, accuracy))
+    ends = values.agg(*sketches).first()
 
     counts = []
-    for (low, high, _, _), (lower, upper) in zip(pending.values(), brackets, strict=True):
-        here = inside(low, high)
+    for b, (lower, upper) in zip(brackets.values(), ends, strict=True):
+        here, value = b.holds(), F.col(b.column)
         counts += [
-            F.count_if(here & (F.col("v") < lower)),
-            F.count_if(here & (F.col("v") == lower)),
-            F.count_if(here & (F.col("v") > lower) & (F.col("v") < upper)),
-            F.count_if(here & (F.col("v") == upper)),
+            F.count_if(here & (value < lower)),
+            F.count_if(here & (value == lower)),
+            F.count_if(here & (value > lower) & (value < upper)),
+            F.count_if(here & (value == upper)),
         ]
     tallies = values.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
 
     found, left = {}, {}
-    for i, (key, (low, high, rank, _)) in enumerate(pending.items()):
-        lower, upper = brackets[i]
+    for i, (key, b) in enumerate(brackets.items()):
+        lower, upper = ends[i]
         below, at_lower, between, at_upper = tallies[4 * i : 4 * i + 4]
-        if rank <= below:
-            left[key] = (low, lower, rank, below)
-        elif rank <= below + at_lower:
+        if lower == upper:
+            at_upper = 0
+        rest = b.rank - below
+        if rest <= 0:
+            left[key] = replace(b, high=lower, rows=below)
+        elif rest <= at_lower:
             found[key] = lower
-        elif rank <= below + at_lower + between:
-            left[key] = (lower, upper, rank - below - at_lower, between)
-        elif lower < upper and rank <= below + at_lower + between + at_upper:
+        elif rest <= at_lower + between:
+            left[key] = replace(b, low=lower, high=upper, rank=rest - at_lower, rows=between)
+        elif rest <= at_lower + between + at_upper:
             found[key] = upper
         else:
-            above = below + at_lower + between + (at_upper if lower < upper else 0)
-            left[key] = (upper, high, rank - above, pending[key][3] - above)
+            passed = below + at_lower + between + at_upper
+            left[key] = replace(b, low=upper, rank=b.rank - passed, rows=b.rows - passed)
     return found, left
 
 

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propense.operators.quantiles import order_statistics
+from propense.operators.quantiles import select_ranks
 
 PARTS = 5
 
 
-def cut_points(df: DataFrame, column: str, parts: int = PARTS) -> list[float]:
-    """Values at positions `floor(n / parts) * j`, j = 1 .. parts - 1, of the sorted column.
+def cut_points(df: DataFrame, columns: list[str], parts: int = PARTS) -> dict[str, list[float]]:
+    """Per column, the values at positions `floor(n / parts) * j`, j = 1 .. parts - 1, of the sorted column.
 
     With fewer than `parts` rows there is no cut point and every row is lowest.
     """
     size = df.count() // parts
-    return order_statistics(df, column, [size * j for j in range(1, parts)]) if size else []
+    if size == 0:
+        return {c: [] for c in columns}
+    return select_ranks(df, {c: [size * j for j in range(1, parts)] for c in columns})
 
 
 def cut_bucket(value: Column, cuts: list[float], base: int = 1) -> Column:
@@ -34,6 +36,7 @@ def quintile_scores(df: DataFrame, days: str = "login_days", amount: str = "amou
 
     The cut points come from the scored table itself; the raw columns stay.
     """
-    day_score = cut_bucket(F.col(days), cut_points(df, days), base)
-    amount_score = cut_bucket(F.col(amount), cut_points(df, amount), base)
+    cuts = cut_points(df, [days, amount])
+    day_score = cut_bucket(F.col(days), cuts[days], base)
+    amount_score = cut_bucket(F.col(amount), cuts[amount], base)
     return df.withColumn("score", day_score.cast("double") / 100 + amount_score.cast("double"))

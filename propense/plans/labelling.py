@@ -100,8 +100,8 @@ def quintile_cut_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stage(_activity(spark, sf_dir), "activity")
     cuts = [
         (column, part, cut)
-        for column in ("active_days", "revenue")
-        for part, cut in enumerate(cut_points(rows, column), start=1)
+        for column, points in cut_points(rows, ["active_days", "revenue"]).items()
+        for part, cut in enumerate(points, start=1)
     ]
     return spark.createDataFrame(cuts, "column string, part int, cut double")
 
