@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from propense.operators.quantiles import range_splits, with_range
+from propense.sources.staging import stage
 
 
 def user_auc(positives: DataFrame, negatives: DataFrame, ties: str = "wrong") -> DataFrame:
@@ -21,7 +22,7 @@ def user_auc(positives: DataFrame, negatives: DataFrame, ties: str = "wrong") ->
     scored = positives.select("user_id", "prediction", F.lit(1).alias("p"), F.lit(0).alias("n")).unionAll(
         negatives.select("user_id", "prediction", F.lit(0).alias("p"), F.lit(1).alias("n"))
     )
-    scored = scored.where(F.col("prediction").isNotNull() & ~F.isnan("prediction"))
+    scored = stage(scored.where(F.col("prediction").isNotNull() & ~F.isnan("prediction")), "scored")
     ranged = with_range(scored, "prediction", range_splits(scored, "prediction"))
     counted = ranged.groupBy("user_id", "_range", "prediction").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 

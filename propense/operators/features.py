@@ -19,6 +19,14 @@ def item_dictionary(interactions: DataFrame) -> DataFrame:
     return dense_index(interactions.select("item_id").distinct(), "item_id", "item_index")
 
 
+def reindex(interactions: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Replace wide ids by dense 32-bit ones: the table under new ids and the dictionary `column, dense`."""
+    dictionary = stage(dense_index(interactions.select(column).distinct(), column, "dense"), "ids")
+    joined = lookup_join(interactions, dictionary, column, "inner")
+    columns = [F.col("dense").alias(column) if c == column else F.col(c) for c in interactions.columns]
+    return joined.select(*columns), dictionary
+
+
 def indexed_entries(interactions: DataFrame, dictionary: DataFrame, value: str) -> DataFrame:
     """Matrix entries `user_id, item_index, value`; repeated cells are summed and null counts as 0."""
     cells = interactions.groupBy("user_id", "item_id").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from propense.limits import BROADCAST_BYTES, BROADCAST_ROWS, HOT_SHARE, SALTS
+from propense.sources.staging import stage
 
 
 def _width(field: T.StructField) -> Column:
@@ -30,8 +31,9 @@ def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
 
 def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> DataFrame:
     """Keys that own more than `share` of the rows: at most `1 / share` of them."""
-    least = int(df.count() * share)
-    rows = df.groupBy(*on).count().where(F.col("count") > least).select(*on).collect()
+    counts = stage(df.groupBy(*on).agg(F.count("*").alias("_rows")), "key_counts")
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    rows = counts.where(F.col("_rows") > int(total * share)).select(*on).collect()
     return df.sparkSession.createDataFrame(rows, df.select(*on).schema)
 
 

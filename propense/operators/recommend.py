@@ -13,6 +13,10 @@ from propense.operators.popularity import names_of
 from propense.sources.staging import shared_dir
 
 
+# Blocks of users and of items beyond which the pairwise exchange costs more than it spreads.
+MAX_BLOCKS = 1000
+
+
 @dataclass(frozen=True)
 class Settings:
     """Parameters of one model; `alpha` is used by implicit models only."""
@@ -29,11 +33,12 @@ class Settings:
 def fit(ratings: DataFrame, settings: Settings) -> ALSModel:
     """Fit a model to `user_id, item_id, rating`; ids beyond 32 bits are an error.
 
-    The number of blocks follows the cluster's parallelism, and the factors are
-    checkpointed to the shared folder every ten iterations to cut the lineage.
+    The number of blocks follows the cluster's parallelism up to a bound, since
+    blocks exchange factors pairwise. The factors are checkpointed to the shared
+    folder every ten iterations to cut the lineage.
     """
     shared_dir(ratings.sparkSession)
-    blocks = max(10, ratings.sparkSession.sparkContext.defaultParallelism)
+    blocks = min(max(10, ratings.sparkSession.sparkContext.defaultParallelism), MAX_BLOCKS)
     als = ALS(
         rank=settings.rank,
         maxIter=settings.iterations,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from propense.functions import parsing
 from propense.operators import popularity as pop
-from propense.operators.features import indexed_entries, item_dictionary, user_vectors, users_above
+from propense.operators.features import indexed_entries, item_dictionary, reindex, user_vectors, users_above
 from propense.operators.lookalike import flag_members
 from propense.operators.recommend import non_players, players_of
 from propense.plans.fixtures import (
@@ -37,6 +37,14 @@ def item_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return item_dictionary(stage(interactions(spark, sf_dir).select("item_id").distinct(), "items"))
 
 
+@query(f"""WITH {INTERACTIONS_SQL}
+SELECT CAST(dense_rank() OVER (ORDER BY user_id) - 1 AS INTEGER) AS user_id, item_id, strength FROM interactions""")
+def reindexed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User ids replaced by dense ones, as models with 32-bit ids need."""
+    rows = stage(interactions(spark, sf_dir).select("user_id", "item_id", "strength"), "interactions")
+    return reindex(rows, "user_id")[0]
+
+
 def entries_of(spark: SparkSession, sf_dir: str, value: str) -> tuple[DataFrame, DataFrame]:
     """Staged matrix entries and the item dictionary."""
     rows = stage(interactions(spark, sf_dir).select("user_id", "item_id", value), "interactions")

@@ -21,22 +21,16 @@ def cents(amount: str):
     return F.round(F.col(amount) * 100).cast("bigint")
 
 
-def modeling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per user, item and channel.
+def _summed(lines: DataFrame, orders: DataFrame, *more_keys: str) -> DataFrame:
+    """One row per user, item and further line columns.
 
     `revenue` (in cents) is null where nothing was bought for keeps,
     `active_days` counts distinct days and `strength` adds up quantities.
     """
-    lines = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders")
     bought = F.when(F.col("l_returnflag") == "A", cents("l_extendedprice"))
     return (
         lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
-        .groupBy(
-            F.col("o_custkey").alias("user_id"),
-            F.col("l_suppkey").alias("item_id"),
-            F.when(F.col("l_linestatus") == "F", 2).otherwise(1).alias("channel"),
-        )
+        .groupBy(F.col("o_custkey").alias("user_id"), F.col("l_suppkey").alias("item_id"), *more_keys)
         .agg(
             F.sum(bought).alias("revenue"),
             F.count_distinct(F.to_date("o_orderdate")).alias("active_days"),
@@ -45,9 +39,17 @@ def modeling(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def modeling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per user, item and channel."""
+    rows = _summed(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), "l_linestatus")
+    channel = F.when(F.col("l_linestatus") == "F", CHANNEL).otherwise(1)
+    return rows.select("user_id", "item_id", channel.alias("channel"), "revenue", "active_days", "strength")
+
+
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`modeling` rows of one channel; the filter reaches the scan of the lines."""
-    return modeling(spark, sf_dir).where(F.col("channel") == CHANNEL).drop("channel")
+    """The rows of one channel; the predicate is pushed to the scan of the lines."""
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "F")
+    return _summed(lines, table(spark, sf_dir, "orders"))
 
 
 MODELING_SQL = """modeling AS (

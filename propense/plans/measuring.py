@@ -10,7 +10,7 @@ from propense.operators import auc, evaluation
 from propense.operators.joins import lookup_join
 from propense.operators.negatives import sample_negatives
 from propense.operators.popularity import popularity, predict_popularity
-from propense.operators.splits import with_fold, with_stratified_split
+from propense.operators.splits import with_fold, with_split, with_stratified_split
 from propense.operators.trials import best, choices, grid, linear, log_spaced, random_trials, ranked, run_trials
 from propense.plans.fixtures import (
     CHANNEL,
@@ -97,6 +97,17 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.evaluate(lift(train, test)))
 
 
+@query(f"""WITH {RATED_SQL}, parted AS (SELECT *, {split_sql([0.8, 0.9])} AS split FROM rated),
+train AS (SELECT * FROM parted WHERE split = 0), test AS (SELECT * FROM parted WHERE split > 0),
+{_lift_sql("train", "test", "predicted", "h.split, h.rating")},
+counts AS (SELECT split, {_COUNTS} FROM predicted GROUP BY 1)
+SELECT split, tp, fp, fn, tn, {_METRICS} FROM counts""")
+def metrics_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One training set, two independent test sets."""
+    parts = stage(with_split(rated(spark, sf_dir), [0.8, 0.1, 0.1], SEED), "parts")
+    return rounded(evaluation.evaluate(lift(parts.where("split = 0"), parts.where("split > 0")), ["split"]))
+
+
 _STRATA_SQL = f"""{RATED_SQL}, strata AS (
   SELECT *, CASE WHEN item_id = {TARGET_ITEM} THEN 'target' ELSE 'other' END AS population,
          CASE WHEN item_id = {TARGET_ITEM} THEN {split_sql([0.9])} ELSE {split_sql([0.99])} END AS split FROM rated),

@@ -235,8 +235,9 @@ def kmeans_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all users, stored."""
     vectors = _clustered(spark, sf_dir)
-    return clusters.assign(clusters.fit(vectors, 10, SEED, 20), vectors.select("user_id", "features"))
+    return stage(clusters.assign(clusters.fit(vectors, 10, SEED, 20), vectors.select("user_id", "features")), "clusters")
 
 
 _SEGMENTS_SQL = f"""users AS (SELECT user_id, bool_or(item_id = {TARGET_ITEM}) AS is_target FROM interactions GROUP BY 1)"""

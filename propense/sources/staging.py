@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+_STAGED: list[str] = []
+
+
 @functools.cache
 def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="propense-")
@@ -33,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
 
 
 def write_staged(df: DataFrame, name: str) -> str:
@@ -43,6 +48,14 @@ def write_staged(df: DataFrame, name: str) -> str:
     return path
 
 
+def discard_staged(spark: SparkSession) -> None:
+    """Delete everything this process has staged, once no result needs it any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def stage(df: DataFrame, name: str, schema: T.StructType | None = None) -> DataFrame:
     """Write `df` once and read it back.
 
