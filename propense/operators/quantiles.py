@@ -71,15 +71,22 @@ def select_ranks(
 
 
 def _read_off(values: DataFrame, brackets: dict) -> dict:
-    """Ranks whose intervals are small enough for an exact percentile."""
+    """Ranks whose intervals are small enough to be sorted, one task per interval."""
     if not brackets:
         return {}
-    parts = [F.when(b.holds(), F.col(b.column)).alias(f"s{i}") for i, b in enumerate(brackets.values())]
-    exact = [
-        F.expr(f"percentile_disc({(b.rank - 0.5) / b.rows!r}D) within group (order by s{i})")
-        for i, b in enumerate(brackets.values())
-    ]
-    return dict(zip(brackets, values.select(*parts).agg(*exact).first(), strict=True))
+    intervals = list(dict.fromkeys((b.column, b.low, b.high) for b in brackets.values()))
+    numbers = {interval: i for i, interval in enumerate(intervals)}
+    hits = {}
+    for b in brackets.values():
+        number = numbers[b.column, b.low, b.high]
+        hits[number] = F.when(b.holds(), F.struct(F.lit(number).alias("interval"), F.col(b.column).alias("v")))
+    counts = values.select(F.inline(F.array_compact(F.array(*hits.values())))).groupBy("interval", "v").count()
+    reached = F.sum("count").over(Window.partitionBy("interval").orderBy("v"))
+    picks = []
+    for b in brackets.values():
+        here = (F.col("interval") == numbers[b.column, b.low, b.high]) & (F.col("reached") >= b.rank)
+        picks.append(F.min(F.when(here, F.col("v"))))
+    return dict(zip(brackets, counts.withColumn("reached", reached).agg(*picks).first(), strict=True))
 
 
 def _narrow(values: DataFrame, brackets: dict, accuracy: int) -> tuple[dict, dict]:

@@ -46,10 +46,10 @@ def reindexed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries_of(spark: SparkSession, sf_dir: str, value: str) -> tuple[DataFrame, DataFrame]:
-    """Staged matrix entries and the item dictionary."""
+    """Matrix entries and the item dictionary."""
     rows = stage(interactions(spark, sf_dir).select("user_id", "item_id", value), "interactions")
     dictionary = stage(item_dictionary(rows), "dictionary")
-    return stage(indexed_entries(rows, dictionary, value), "entries"), dictionary
+    return indexed_entries(rows, dictionary, value), dictionary
 
 
 def _vectors_sql(value: str) -> str:

@@ -104,7 +104,7 @@ counts AS (SELECT split, {_COUNTS} FROM predicted GROUP BY 1)
 SELECT split, tp, fp, fn, tn, {_METRICS} FROM counts""")
 def metrics_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One training set, two independent test sets."""
-    parts = stage(with_split(rated(spark, sf_dir), [0.8, 0.1, 0.1], SEED), "parts")
+    parts = stage(with_split(rated(spark, sf_dir), [0.8, 0.1, 0.1], SEED), "parts", partition_by="split")
     return rounded(evaluation.evaluate(lift(parts.where("split = 0"), parts.where("split > 0")), ["split"]))
 
 
@@ -119,7 +119,8 @@ counts AS (SELECT population, {_COUNTS} FROM predicted GROUP BY 1)
 SELECT population, tp, fp, fn, tn, {_METRICS} FROM counts""")
 def metrics_by_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and other rows are held out and evaluated separately, in one pass."""
-    parts = stage(with_stratified_split(rated(spark, sf_dir), TARGET_ITEM, [0.9, 0.1], [0.99, 0.01], SEED), "strata")
+    strata = with_stratified_split(rated(spark, sf_dir), TARGET_ITEM, [0.9, 0.1], [0.99, 0.01], SEED)
+    parts = stage(strata, "strata", partition_by="split")
     predicted = lift(parts.where("split = 0"), parts.where("split = 1").drop("split"))
     return rounded(evaluation.evaluate(predicted, ["population"]))
 

@@ -145,7 +145,8 @@ def als_recommended_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def als_population_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics on held-out rows of the target item and of the others, from one model."""
-    parts = stage(with_stratified_split(rated(spark, sf_dir), TARGET_ITEM, [0.9, 0.1], [0.99, 0.01], SEED), "strata")
+    strata = with_stratified_split(rated(spark, sf_dir), TARGET_ITEM, [0.9, 0.1], [0.99, 0.01], SEED)
+    parts = stage(strata, "strata", partition_by="split")
     predicted = recommend.predict(recommend.fit(parts.where("split = 0"), IMPLICIT), parts.where("split = 1"))
     return rounded(evaluation.evaluate(predicted, ["population"]))
 
@@ -169,7 +170,8 @@ def als_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def als_random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stratified hold-out metrics of randomly chosen parameters."""
-    parts = stage(with_stratified_split(rated(spark, sf_dir), TARGET_ITEM, [0.9, 0.1], [0.99, 0.01], SEED), "strata")
+    strata = with_stratified_split(rated(spark, sf_dir), TARGET_ITEM, [0.9, 0.1], [0.99, 0.01], SEED)
+    parts = stage(strata, "strata", partition_by="split")
     train, test = parts.where("split = 0"), parts.where("split = 1")
     points = grid(spark, choices("rank", 4, 8), log_spaced("reg", 0.01, 50, 100), log_spaced("alpha", 0.01, 50, 100))
 

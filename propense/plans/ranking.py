@@ -160,8 +160,8 @@ def svd_lookalike_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def svd_potential_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top percent by singular vector that does not use the target item yet."""
+    """The top 20 percent by singular vector that do not use the target item yet."""
     scores = svd_scores(spark, sf_dir)
-    threshold = lookalike.top_threshold(scores, max(1, scores.count() // 100))
+    threshold = lookalike.top_threshold(scores, max(1, scores.count() * 20 // 100))
     players = players_of(modeling(spark, sf_dir), TARGET_ITEM)
     return lookalike.potential_users(lookalike.at_least(scores, threshold), players, TARGET_ITEM)

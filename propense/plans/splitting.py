@@ -114,7 +114,7 @@ negatives AS (SELECT user_id, draw, item_id FROM valid
 
 def held_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All rated rows, nine tenths for training and one tenth held out."""
-    rows = stage(with_split(rated(spark, sf_dir), [0.9, 0.1], SEED), "rated")
+    rows = stage(with_split(rated(spark, sf_dir), [0.9, 0.1], SEED), "rated", partition_by="split")
     parts = [rows.where(F.col("split") == part).drop("split") for part in (0, 1)]
     return rows.drop("split"), *parts
 

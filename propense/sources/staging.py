@@ -41,10 +41,13 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def write_staged(df: DataFrame, name: str) -> str:
+def write_staged(df: DataFrame, name: str, partition_by: str | None = None) -> str:
     """Write a table to a fresh path of the shared folder."""
     path = staging_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write
+    if partition_by is not None:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
     return path
 
 
@@ -56,12 +59,16 @@ def discard_staged(spark: SparkSession) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
-def stage(df: DataFrame, name: str, schema: T.StructType | None = None) -> DataFrame:
+def stage(
+    df: DataFrame, name: str, schema: T.StructType | None = None, partition_by: str | None = None
+) -> DataFrame:
     """Write `df` once and read it back.
 
     Unlike a cache, the table outlives lost executors; unlike a checkpoint, it
     stays columnar, so readers still prune columns and push filters down.
-    `schema` reads the files back under another, storage-compatible schema.
+    `schema` reads the files back under another, storage-compatible schema;
+    `partition_by` gives each value of a column, such as the side of a split,
+    files of its own.
     """
-    path = write_staged(df, name)
+    path = write_staged(df, name, partition_by)
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
