@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass, replace
 
@@ -74,19 +75,21 @@ def _read_off(values: DataFrame, brackets: dict) -> dict:
     """Ranks whose intervals are small enough to be sorted, one task per interval."""
     if not brackets:
         return {}
-    intervals = list(dict.fromkeys((b.column, b.low, b.high) for b in brackets.values()))
+    intervals = {(b.column, b.low, b.high): b for b in brackets.values()}
     numbers = {interval: i for i, interval in enumerate(intervals)}
-    hits = {}
-    for b in brackets.values():
-        number = numbers[b.column, b.low, b.high]
-        hits[number] = F.when(b.holds(), F.struct(F.lit(number).alias("interval"), F.col(b.column).alias("v")))
-    counts = values.select(F.inline(F.array_compact(F.array(*hits.values())))).groupBy("interval", "v").count()
+    hits = [
+        F.when(b.holds(), F.struct(F.lit(i).alias("interval"), F.col(b.column).alias("v")))
+        for i, b in enumerate(intervals.values())
+    ]
+    anywhere = functools.reduce(lambda x, y: x | y, [b.holds() for b in intervals.values()])
+    rows = values.where(anywhere).select(F.inline(F.array_compact(F.array(*hits))))
     reached = F.sum("count").over(Window.partitionBy("interval").orderBy("v"))
+    counts = rows.groupBy("interval", "v").count().withColumn("reached", reached)
     picks = []
     for b in brackets.values():
         here = (F.col("interval") == numbers[b.column, b.low, b.high]) & (F.col("reached") >= b.rank)
         picks.append(F.min(F.when(here, F.col("v"))))
-    return dict(zip(brackets, counts.withColumn("reached", reached).agg(*picks).first(), strict=True))
+    return dict(zip(brackets, counts.agg(*picks).first(), strict=True))
 
 
 def _narrow(values: DataFrame, brackets: dict, accuracy: int) -> tuple[dict, dict]:
@@ -94,30 +97,35 @@ def _narrow(values: DataFrame, brackets: dict, accuracy: int) -> tuple[dict, dic
     if not brackets:
         return {}, {}
     slack = 2 / accuracy
-    sketches = []
+    shares: dict[tuple, list[float]] = {}
     for b in brackets.values():
         share = (b.rank - 0.5) / b.rows
         ends = [max(0.0, share - slack), min(1.0, share + slack)]
-        sketches.append(F.percentile_approx(F.when(b.holds(), F.col(b.column)), ends, accuracy))
-    ends = values.agg(*sketches).first()
-
-    counts = []
-    for b, (lower, upper) in zip(brackets.values(), ends, strict=True):
-        here, value = b.holds(), F.col(b.column)
-        counts += [
-            F.count_if(here & (value < lower)),
-            F.count_if(here & (value == lower)),
-            F.count_if(here & (value > lower) & (value < upper)),
-            F.count_if(here & (value == upper)),
-        ]
-    tallies = values.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
+        shares.setdefault((b.column, b.low, b.high), []).extend(ends)
+    owners = {(b.column, b.low, b.high): b for b in brackets.values()}
+    sketches = [
+        F.percentile_approx(F.when(owners[i].holds(), F.col(owners[i].column)), wanted, accuracy)
+        for i, wanted in shares.items()
+    ]
+    found_ends = {i: iter(ends) for i, ends in zip(shares, values.agg(*sketches).first(), strict=True)}
+    ends = {key: [next(found_ends[b.column, b.low, b.high]) for _ in range(2)] for key, b in brackets.items()}
+
+    marks: dict[str, set[float]] = {}
+    for key, b in brackets.items():
+        known = {e for e in (b.low, b.high) if e is not None}
+        marks.setdefault(b.column, set()).update(ends[key], known)
+    tallies = {column: _Tally(sorted(points)) for column, points in marks.items()}
+    for column, tally in tallies.items():
+        present = values.where(F.col(column).isNotNull())
+        tally.counts = dict(present.groupBy(place(F.col(column), tally.points)).count().collect())
 
     found, left = {}, {}
-    for i, (key, b) in enumerate(brackets.items()):
-        lower, upper = ends[i]
-        below, at_lower, between, at_upper = tallies[4 * i : 4 * i + 4]
-        if lower == upper:
-            at_upper = 0
+    for key, b in brackets.items():
+        lower, upper = ends[key]
+        tally = tallies[b.column]
+        below = tally.between(b.low, lower)
+        at_lower, between = tally.at(lower), tally.between(lower, upper)
+        at_upper = tally.at(upper) if lower < upper else 0
         rest = b.rank - below
         if rest <= 0:
             left[key] = replace(b, high=lower, rows=below)
@@ -133,6 +141,40 @@ def _narrow(values: DataFrame, brackets: dict, accuracy: int) -> tuple[dict, dic
     return found, left
 
 
+def place(value: Column, points: list[float]) -> Column:
+    """Where a value lies among ascending points: 2 i + 1 at point i, 2 i in the gap before it."""
+
+    def search(first: int, last: int) -> Column:
+        if first == last:
+            return F.lit(2 * first)
+        middle = (first + last) // 2
+        point = F.lit(points[middle])
+        return (
+            F.when(value < point, search(first, middle))
+            .when(value == point, F.lit(2 * middle + 1))
+            .otherwise(search(middle + 1, last))
+        )
+
+    return search(0, len(points))
+
+
+class _Tally:
+    """Rows counted by their place among points."""
+
+    def __init__(self, points: list[float]):
+        self.points = points
+        self.counts: dict[int, int] = {}
+
+    def at(self, point: float) -> int:
+        return self.counts.get(2 * self.points.index(point) + 1, 0)
+
+    def between(self, low: float | None, high: float) -> int:
+        """Rows strictly between two points, or below the second."""
+        first = -1 if low is None else 2 * self.points.index(low) + 1
+        last = 2 * self.points.index(high) + 1
+        return sum(n for at, n in self.counts.items() if first < at < last)
+
+
 def range_splits(df: DataFrame, column: str, ranges: int = RANGES) -> list[float]:
     """Ends of about equally filled ranges of a column, for a `Bucketizer`."""
     shares = [i / ranges for i in range(1, ranges)]
