@@ -71,9 +71,9 @@ def metrics_text() -> Column:
     return F.format_string("%.4f,%.4f,  %.4f,%.4f,%.4f,%.4f,%.4f", *METRICS)
 
 
-def trial_line() -> Column:
+def trial_line(width: int = 6) -> Column:
     """`index,rank,lambda,alpha,` padded, then the metrics."""
-    head = F.format_string("%6d,%2d,%07.4f,%07.4f", "trial", "rank", "reg", "alpha")
+    head = F.format_string(f"%{width}d,%2d,%07.4f,%07.4f", "trial", "rank", "reg", "alpha")
     return F.concat(head, F.lit(","), metrics_text())
 
 

@@ -7,18 +7,17 @@ counts, totals, means) it does.
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from propense import jobs
 from propense.functions import parsing
-from propense.operators import auc, clusters, evaluation, recommend, topics
+from propense.operators import clusters, evaluation, recommend, topics
 from propense.operators.features import user_vectors, vector_element
-from propense.operators.negatives import sample_negatives
-from propense.operators.popularity import popularity, predict_popularity
 from propense.operators.quintiles import quintile_scores
 from propense.operators.recommend import Settings
-from propense.operators.splits import fold_parts, split_number, with_fold, with_stratified_split
-from propense.operators.trials import choices, grid, log_spaced, random_trials, ranked, run_trials
+from propense.operators.splits import split_number, with_stratified_split
+from propense.operators.trials import choices, grid, log_spaced
 from propense.plans.featuring import PLAYERS_SQL, entries_of
 from propense.plans.fixtures import (
     CHANNEL,
@@ -147,24 +146,17 @@ def als_population_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics on held-out rows of the target item and of the others, from one model."""
     strata = with_stratified_split(rated(spark, sf_dir), TARGET_ITEM, [0.9, 0.1], [0.99, 0.01], SEED)
     parts = stage(strata, "strata", partition_by="split")
-    predicted = recommend.predict(recommend.fit(parts.where("split = 0"), IMPLICIT), parts.where("split = 1"))
-    return rounded(evaluation.evaluate(predicted, ["population"]))
+    return rounded(
+        jobs.evaluate_model(parts.where("split = 0"), parts.where("split = 1"), IMPLICIT, ["population"])
+    )
 
 
 @query()
 def als_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four folds over the target item's rows, all other rows in every training set; mean and spread of recall."""
     rows = stage(rated(spark, sf_dir), "rated")
-    base = rows.where(F.col("item_id") != TARGET_ITEM)
-    folded = with_fold(rows.where(F.col("item_id") == TARGET_ITEM), 4, SEED)
-
-    def one(trial: Row) -> DataFrame:
-        train, test = fold_parts(base, folded, trial["trial"])
-        return evaluation.evaluate(recommend.predict(recommend.fit(train, IMPLICIT), test))
-
-    folds = run_trials(spark, [Row(trial=i) for i in range(4)], one, parallelism=2)
-    summary = evaluation.fold_summary(folds).first()
-    return folds.withColumns({name: F.lit(value) for name, value in summary.asDict().items()})
+    is_target = F.col("item_id") == TARGET_ITEM
+    return jobs.cross_validate(rows.where(~is_target), rows.where(is_target), IMPLICIT, SEED)
 
 
 @query()
@@ -172,33 +164,25 @@ def als_random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stratified hold-out metrics of randomly chosen parameters."""
     strata = with_stratified_split(rated(spark, sf_dir), TARGET_ITEM, [0.9, 0.1], [0.99, 0.01], SEED)
     parts = stage(strata, "strata", partition_by="split")
-    train, test = parts.where("split = 0"), parts.where("split = 1")
     points = grid(spark, choices("rank", 4, 8), log_spaced("reg", 0.01, 50, 100), log_spaced("alpha", 0.01, 50, 100))
-
-    def one(trial: Row) -> DataFrame:
-        settings = Settings(trial["rank"], 3, trial["reg"], trial["alpha"], seed=SEED)
-        return evaluation.evaluate(recommend.predict(recommend.fit(train, settings), test), ["population"])
-
-    return run_trials(spark, random_trials(points, 3, SEED), one, parallelism=3)
+    return jobs.search_parameters(parts, points, 3, Settings(iterations=3, seed=SEED), ["population"])
 
 
 @query()
 def als_auc_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean per-user AUC of a small grid and of the popularity baseline, best first."""
     rows, train, held = held_out(spark, sf_dir)
-    negatives = stage(sample_negatives(held, rows, SEED), "negatives")
-    popular = stage(popularity(train), "popular")
     points = grid(spark, choices("rank", 4, 8), choices("reg", 1.0, 0.0001), choices("alpha", 1.0, 40.0))
+    return jobs.compare_auc(train, held, rows, points, 8, Settings(iterations=3, seed=SEED))
 
-    def one(trial: Row) -> DataFrame:
-        if trial["rank"] == 0:
-            return auc.mean_auc(predict_popularity(held, popular), predict_popularity(negatives, popular))
-        model = recommend.fit(train, Settings(trial["rank"], 3, trial["reg"], trial["alpha"], seed=SEED))
-        return auc.mean_auc(recommend.predict(model, held), recommend.predict(model, negatives))
 
-    trials = random_trials(points, 8, SEED)
-    baseline = Row(trial=len(trials), point=-1, rank=0, reg=0.0, alpha=0.0)
-    return ranked(run_trials(spark, [*trials, baseline], one), "auc")
+@query()
+def als_published_audience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audience as stored; the model is stored beside it."""
+    ratings, players = _audience_inputs(spark, sf_dir)
+    path, model_path = staging_path(spark, "audience"), staging_path(spark, "als")
+    jobs.publish_audience(ratings, players, TARGET_ITEM, IMPLICIT, "audience", path, model_path)
+    return spark.read.parquet(path)
 
 
 # --- K-means over user vectors of active days
@@ -258,8 +242,9 @@ def kmeans_report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _clustered(spark, sf_dir)
-    return clusters.report(clusters.assign(clusters.fit(vectors.where("not held_out"), 10, SEED, 20), vectors))
+    """Cluster sizes of all, target and held-out users under the best number of clusters."""
+    _, _, assigned = jobs.best_clustering(_clustered(spark, sf_dir), (5, 10), SEED, 10, parallelism=2)
+    return clusters.report(assigned)
 
 
 @query()

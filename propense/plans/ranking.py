@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from propense import jobs
 from propense.operators import decompose as svd
 from propense.operators import lookalike
 from propense.operators.recommend import players_of
@@ -145,23 +146,18 @@ def svd_reconstruct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return svd.reconstruct_rows(_decomposed(spark, sf_dir, 3))
 
 
-def svd_scores(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
-    """Users on the main component of the target item; users of the item on more than one day are its targets."""
-    entries, dictionary = entries_of(spark, sf_dir, "active_days")
-    d = svd.decompose(entries, dictionary, k)
-    targets = interactions(spark, sf_dir).where((F.col("item_id") == TARGET_ITEM) & (F.col("active_days") > 1))
-    return stage(lookalike.scored_users(d, TARGET_ITEM, targets), "scores")
+def _svd_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.rank_lookalikes(interactions(spark, sf_dir), "active_days", TARGET_ITEM, k=8)
 
 
 @query()
 def svd_lookalike_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalike.sweep(svd_scores(spark, sf_dir))
+    """Users on the main component of the target item; its users on more than one day are the targets."""
+    return lookalike.sweep(_svd_scores(spark, sf_dir))
 
 
 @query()
 def svd_potential_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top 20 percent by singular vector that do not use the target item yet."""
-    scores = svd_scores(spark, sf_dir)
-    threshold = lookalike.top_threshold(scores, max(1, scores.count() * 20 // 100))
     players = players_of(modeling(spark, sf_dir), TARGET_ITEM)
-    return lookalike.potential_users(lookalike.at_least(scores, threshold), players, TARGET_ITEM)
+    return jobs.potential_lookalikes(_svd_scores(spark, sf_dir), players, TARGET_ITEM, 20)
