@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propense.limits import EXACT_ROWS, RANGES, SKETCH_ACCURACY
+from propense.sources.staging import stage
 
 
 def order_statistics(
@@ -194,13 +195,15 @@ def with_range(df: DataFrame, column: str, splits: list[float], name: str = "_ra
 def dense_index(ids: DataFrame, column: str, name: str, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """Number distinct ids 0, 1, 2, ... in ascending order.
 
-    A long list is cut into ranges that are numbered in parallel and shifted by
-    the sizes of the ranges before them.
+    The ids are staged, since a long list is read several times: it is cut into
+    ranges that are numbered in parallel and shifted by the sizes of the ranges
+    before them.
     """
+    ids = stage(ids.select(column), "distinct")
     order = Window.orderBy(column)
     if ids.count() <= exact_rows:
         return ids.select(column, (F.row_number().over(order) - 1).cast("int").alias(name))
-    ranged = with_range(ids.select(column), column, range_splits(ids, column))
+    ranged = with_range(ids, column, range_splits(ids, column))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         ranged.groupBy("_range")

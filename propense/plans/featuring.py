@@ -34,7 +34,7 @@ DICTIONARY_SQL = """dictionary AS (
 
 @query(f"WITH {INTERACTIONS_SQL}, {DICTIONARY_SQL} SELECT item_id, item_index FROM dictionary")
 def item_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return item_dictionary(stage(interactions(spark, sf_dir).select("item_id").distinct(), "items"))
+    return item_dictionary(interactions(spark, sf_dir))
 
 
 @query(f"""WITH {INTERACTIONS_SQL}

@@ -223,10 +223,12 @@ def kmeans_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of all users, stored."""
     vectors = _clustered(spark, sf_dir)
-    return stage(clusters.assign(clusters.fit(vectors, 10, SEED, 20), vectors.select("user_id", "features")), "clusters")
+    model = clusters.fit(vectors, 10, SEED, 20)
+    return stage(clusters.assign(model, vectors.select("user_id", "features")), "clusters")
 
 
-_SEGMENTS_SQL = f"""users AS (SELECT user_id, bool_or(item_id = {TARGET_ITEM}) AS is_target FROM interactions GROUP BY 1)"""
+_SEGMENTS_SQL = f"""users AS (
+  SELECT user_id, bool_or(item_id = {TARGET_ITEM}) AS is_target FROM interactions GROUP BY 1)"""
 
 
 @query(f"""WITH {INTERACTIONS_SQL}, {_SEGMENTS_SQL}
@@ -301,8 +303,8 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""SELECT user_id, position, CAST(count(*) FILTER (WHERE event_type = kind) AS DOUBLE) AS value
-FROM events CROSS JOIN (VALUES {", ".join(f"({i}, '{k}')" for i, k in enumerate(EVENT_TYPES))}) k(position, kind) GROUP BY 1, 2""")
+@query(f"""SELECT user_id, position,
+CAST(count(*) FILTER (WHERE event_type = kind) AS DOUBLE) AS value FROM events CROSS JOIN (VALUES {", ".join(f"({i}, '{k}')" for i, k in enumerate(EVENT_TYPES))}) k(position, kind) GROUP BY 1, 2""")
 def vectors_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense vectors stored with their ids and read back."""
     rows = topics.count_vectors(parsing.parse_counts(event_counts(spark, sf_dir)))

@@ -10,7 +10,7 @@ from propense.operators import decompose as svd
 from propense.operators import lookalike
 from propense.operators.recommend import players_of
 from propense.plans.featuring import PLAYERS_SQL, entries_of
-from propense.plans.fixtures import CHANNEL, INTERACTIONS_SQL, MODELING_SQL, TARGET_ITEM, interactions, modeling
+from propense.plans.fixtures import CHANNEL, INTERACTIONS_SQL, TARGET_ITEM, interactions, modeling
 from propense.plans.registry import query
 from propense.sources.sinks import publish
 from propense.sources.staging import stage, staging_path

@@ -7,6 +7,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from propense import jobs
 from propense.operators import clusters, decompose, features, lookalike, popularity, recommend, topics, trials
 from propense.sources import sinks, staging, tables
 from propense.sources.text import read_lines
@@ -159,6 +160,26 @@ def test_cluster_sweep_and_report(spark):
     assert clusters.centres(model, spark).count() == 6
 
 
+def test_best_clustering(spark):
+    data = cluster_rows(spark)
+    trials_run, best_model, assigned = jobs.best_clustering(data, (2, 3), seed=1, iterations=20, parallelism=2)
+    recalls = {r["k"]: r["recall"] for r in trials_run.collect()}
+    assert len(best_model.clusterCenters()) == max(recalls, key=lambda k: (recalls[k], -k))
+    assert assigned.count() == 60 and set(assigned.columns) == {"user_id", "is_target", "held_out", "cluster"}
+
+
+def test_cross_validation(spark, ratings):
+    # Every fold trains on the base rows and the other folds.
+    settings = recommend.Settings(rank=2, iterations=2, reg=0.1, alpha=2.0)
+    base, rows = ratings.where("item_id < 60"), ratings.where("item_id >= 60")
+    result = jobs.cross_validate(base, rows, settings, seed=3, folds=3).collect()
+    assert sorted(r["fold"] for r in result) == [0, 1, 2]
+    recalls = [r["recall"] for r in result]
+    assert result[0]["mean_recall"] == pytest.approx(sum(recalls) / 3)
+    assert result[0]["recall_spread"] == pytest.approx(max(recalls) - min(recalls))
+    assert sum(r["tp"] + r["fp"] + r["fn"] + r["tn"] for r in result) <= rows.count()
+
+
 def test_holdout_recall(spark):
     schema = "cluster int, is_target boolean, held_out boolean"
     rows = [(1, True, False)] * 5 + [(2, True, True)] * 2 + [(1, True, True)] * 2 + [(3, False, False)] * 9
@@ -205,7 +226,8 @@ def test_failing_trials_are_reported(spark):
     def one(trial):
         if trial["trial"] == 1:
             raise RuntimeError("no luck")
-        return spark.createDataFrame([(trial["trial"] / 10, float("nan") if trial["trial"] == 2 else 1.0)], "a double, b double")
+        b = float("nan") if trial["trial"] == 2 else 1.0
+        return spark.createDataFrame([(trial["trial"] / 10, b)], "a double, b double")
 
     result = trials.run_trials(spark, [Row(trial=i) for i in range(4)], one, parallelism=3)
     rows = {r["trial"]: r for r in result.collect()}
@@ -217,7 +239,8 @@ def test_failing_trials_are_reported(spark):
 
 
 def test_sinks(spark, tmp_path, model):
-    rows = spark.createDataFrame([(1, 2, 1.0, 0.12345), (3, 4, 0.0, -2.0)], "user_id int, item_id int, rating double, prediction double")
+    schema = "user_id int, item_id int, rating double, prediction double"
+    rows = spark.createDataFrame([(1, 2, 1.0, 0.12345), (3, 4, 0.0, -2.0)], schema)
     path = str(tmp_path / "lines")
     for _ in range(2):
         sinks.write_lines(rows, sinks.rating_line(), path)

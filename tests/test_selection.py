@@ -93,6 +93,8 @@ def test_salted_join_is_a_join(spark, how):
 
 def test_salted_join_spreads_the_hot_key(spark):
     big, small = keyed(spark)
+    assert joins.hot_keys(big, ["k"], 0.9).count() == 0
+    assert joins.salted_join(big, small, ["k"], "left", share=0.9).count() == big.count()
     assert [r["k"] for r in joins.hot_keys(big, ["k"], 0.3).collect()] == [1]
     plan = joins.salted_join(big, small, ["k"], "left", salts=7, share=0.3)._jdf.queryExecution().toString()
     assert "_salt" in plan
