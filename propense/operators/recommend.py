@@ -113,9 +113,16 @@ def audience(model: ALSModel, candidates: DataFrame, players: DataFrame, item_id
     return scored.where((F.col("prediction") > 0) & ~F.isnan("prediction"))
 
 
-def recommend(model: ALSModel, users: DataFrame, k: int) -> DataFrame:
-    """The k best items of each given user: `user_id, place, item_id, prediction`."""
-    top = model.recommendForUserSubset(users.select("user_id").distinct(), k)
+def _best(model: ALSModel, users: DataFrame | None, k: int) -> DataFrame:
+    """One row per user with the k best items in order; without `users`, for all users of the model."""
+    if users is None:
+        return model.recommendForAllUsers(k)
+    return model.recommendForUserSubset(users.select("user_id").distinct(), k)
+
+
+def recommend(model: ALSModel, users: DataFrame | None, k: int) -> DataFrame:
+    """The k best items of each user: `user_id, place, item_id, prediction`."""
+    top = _best(model, users, k)
     return top.select("user_id", F.posexplode("recommendations").alias("place", "rec")).select(
         "user_id",
         (F.col("place") + 1).alias("place"),
@@ -124,11 +131,11 @@ def recommend(model: ALSModel, users: DataFrame, k: int) -> DataFrame:
     )
 
 
-def recommendation_line(recommendations: DataFrame) -> DataFrame:
-    """`user -> item, item, ...` in order of preference; k items per user."""
-    items = F.transform(F.sort_array(F.collect_list(F.struct("place", "item_id"))), lambda r: r["item_id"].cast("string"))
-    line = F.concat(F.col("user_id").cast("string"), F.lit(" -> "), F.array_join("items", ", "))
-    return recommendations.groupBy("user_id").agg(items.alias("items")).select(line.alias("line"))
+def recommendation_lines(model: ALSModel, users: DataFrame | None, k: int) -> DataFrame:
+    """`user -> item, item, ...` in order of preference."""
+    items = F.array_join(F.col("recommendations.item_id").cast("array<string>"), ", ")
+    line = F.concat(F.col("user_id").cast("string"), F.lit(" -> "), items)
+    return _best(model, users, k).select(line.alias("line"))
 
 
 def existing_and_recommended(

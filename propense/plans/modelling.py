@@ -118,7 +118,7 @@ def als_user_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def als_recommend_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user gets five different items."""
     rows = stage(rated(spark, sf_dir), "rated")
-    top = recommend.recommend(recommend.fit(rows, IMPLICIT), rows, 5)
+    top = recommend.recommend(recommend.fit(rows, IMPLICIT), None, 5)
     return top.groupBy(F.col("user_id").cast("bigint").alias("user_id")).agg(
         F.count_distinct("item_id").alias("items")
     )
@@ -128,7 +128,7 @@ def als_recommend_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def als_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line per user with the recommended items in order."""
     rows = stage(rated(spark, sf_dir), "rated")
-    return recommend.recommendation_line(recommend.recommend(recommend.fit(rows, IMPLICIT), rows, 5))
+    return recommend.recommendation_lines(recommend.fit(rows, IMPLICIT), rows, 5)
 
 
 @query()

@@ -74,8 +74,11 @@ def test_recommend(spark, model, ratings):
     users = spark.createDataFrame([(3,), (3,), (5,)], "user_id int")
     rows = recommend.recommend(model, users, 5).orderBy("user_id", "place").collect()
     assert [(r["user_id"], r["place"]) for r in rows] == [(u, p) for u in (3, 5) for p in range(1, 6)]
-    lines = {r["line"] for r in recommend.recommendation_line(recommend.recommend(model, users, 5)).collect()}
-    assert f"3 -> {', '.join(str(r['item_id']) for r in rows[:5])}" in lines
+    lines = {r["line"] for r in recommend.recommendation_lines(model, users, 5).collect()}
+    assert f"3 -> {', '.join(str(r['item_id']) for r in rows[:5])}" in lines and len(lines) == 2
+    everyone = recommend.recommend(model, None, 5)
+    assert everyone.where("user_id = 3").orderBy("place").collect() == rows[:5]
+    assert everyone.select("user_id").distinct().count() == ratings.select("user_id").distinct().count()
     names = spark.createDataFrame([(i * 10, f"item {i}") for i in range(12)], "item_id int, name string")
     both = recommend.existing_and_recommended(ratings, recommend.recommend(model, users, 5), names, 3)
     kinds = {r["kind"]: r["count"] for r in both.groupBy("kind").count().collect()}
@@ -116,6 +119,19 @@ def test_decomposition(spark, ratings, matrix):
         decompose.decompose(entries, dictionary, 3, limit=5)
 
 
+def test_iterative_solver_gives_the_same(spark, ratings, monkeypatch):
+    dictionary = features.item_dictionary(ratings).cache()
+    entries = features.indexed_entries(ratings, dictionary, "rating")
+    results = []
+    for bound in (4096, 5):
+        monkeypatch.setattr(decompose, "GRAMIAN_ITEMS", bound)
+        d = decompose.decompose(entries, dictionary, 3)
+        users = {r["user_id"]: r["u"] for r in d.users.collect()}
+        results.append((d.singular_values, [users[u] for u in sorted(users)]))
+    assert np.array(results[0][0]) == pytest.approx(np.array(results[1][0]), rel=1e-7)
+    assert np.array(results[0][1]) == pytest.approx(np.array(results[1][1]), abs=1e-6)
+
+
 def test_vectors_sum_repeated_cells(spark):
     rows = spark.createDataFrame([(1, 10, 2), (1, 10, 3), (1, 30, None), (2, 20, 4)], "user_id long, item_id int, x int")
     dictionary = features.item_dictionary(rows)
