@@ -20,8 +20,3 @@ def draw(seed: int, *keys: Column) -> Column:
     once = total % PRIME
     twice = (once * once + once + FIRST) % PRIME
     return (twice * twice + once * SECOND + SECOND) % PRIME
-
-
-def bucket(seed: int, buckets: int, *keys: Column) -> Column:
-    """A number in [0, buckets)."""
-    return (draw(seed, *keys) % buckets).cast("int")

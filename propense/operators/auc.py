@@ -17,7 +17,8 @@ def user_auc(positives: DataFrame, negatives: DataFrame, ties: str = "wrong") ->
     positive's correct pairs are the negatives below it in score order. That
     order runs within score ranges, shifted by the totals of the lower ranges,
     so one user's long list is spread over many tasks. A tied pair counts as
-    wrong, or with `ties="half"` as half right.
+    wrong, or with `ties="half"` as half right. Pairs are counted in doubles,
+    since a long list has more of them than a 64-bit integer holds.
     """
     scored = positives.select("user_id", "prediction", F.lit(1).alias("p"), F.lit(0).alias("n")).unionAll(
         negatives.select("user_id", "prediction", F.lit(0).alias("p"), F.lit(1).alias("n"))
@@ -27,12 +28,12 @@ def user_auc(positives: DataFrame, negatives: DataFrame, ties: str = "wrong") ->
     counted = ranged.groupBy("user_id", "_range", "prediction").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
     below = Window.partitionBy("user_id", "_range").orderBy("prediction").rowsBetween(Window.unboundedPreceding, -1)
-    tied = F.col("n") / 2 if ties == "half" else F.lit(0)
+    tied = F.col("n") / 2 if ties == "half" else F.lit(0.0)
     inside = (
         counted.withColumn("_below", F.coalesce(F.sum("n").over(below), F.lit(0)))
         .groupBy("user_id", "_range")
         .agg(
-            F.sum(F.col("p") * (F.col("_below") + tied)).alias("correct"),
+            F.sum(F.col("p").cast("double") * (F.col("_below") + tied)).alias("correct"),
             F.sum("p").alias("p"),
             F.sum("n").alias("n"),
         )
@@ -42,8 +43,8 @@ def user_auc(positives: DataFrame, negatives: DataFrame, ties: str = "wrong") ->
         inside.withColumn("_lower", F.coalesce(F.sum("n").over(lower), F.lit(0)))
         .groupBy("user_id")
         .agg(
-            F.sum(F.col("correct") + F.col("p") * F.col("_lower")).alias("correct"),
-            (F.sum("p") * F.sum("n")).alias("pairs"),
+            F.sum(F.col("correct") + F.col("p").cast("double") * F.col("_lower")).alias("correct"),
+            (F.sum("p").cast("double") * F.sum("n")).alias("pairs"),
         )
         .where(F.col("pairs") > 0)
         .withColumn("auc", F.col("correct") / F.col("pairs"))

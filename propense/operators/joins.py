@@ -43,11 +43,13 @@ def salted_join(
     """Shuffle join that spreads the big side's hot keys over `salts` tasks.
 
     Only the small side's rows of the hot keys are repeated. The salt is a hash
-    of the row, so a retried task puts its rows where the first attempt did.
-    Rows without a key match nothing and are spread as well.
+    of the row and of its input partition: a retried task puts its rows where
+    the first attempt did, and even equal rows are spread. Rows without a key
+    match nothing and are spread as well.
     """
     hot = F.broadcast(hot_keys(big, on, share).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[f"`{c}`" for c in big.columns]), F.lit(salts)).cast("int")
+    row = F.xxhash64(*[f"`{c}`" for c in big.columns], F.spark_partition_id())
+    spread = F.pmod(row, F.lit(salts)).cast("int")
     keyless = F.lit(False)
     for key in on:
         keyless = keyless | F.col(key).isNull()

@@ -44,12 +44,18 @@ def lift(train: DataFrame, pairs: DataFrame) -> DataFrame:
     """Prediction above zero where an item's share of payers exceeds the overall share."""
     items = item_counts(train)
     payers, rows = items.agg(F.sum("payers"), F.sum("pairs")).first()
-    value = F.col("payers") * rows - F.lit(payers) * F.col("pairs")
-    return lookup_join(pairs, items, "item_id").select(
-        *pairs.columns, F.coalesce(value, F.lit(0)).cast("double").alias("prediction")
+    value = _product("payers", F.lit(rows)) - _product("pairs", F.lit(payers))
+    valued = items.select("item_id", value.cast("double").alias("_value"))
+    return lookup_join(pairs, valued, "item_id").select(
+        *pairs.columns, F.coalesce("_value", F.lit(0.0)).alias("prediction")
     )
 
 
+def _product(left: str, right: Column) -> Column:
+    """An exact product of two counts, which may exceed 64 bits."""
+    return F.col(left).cast("decimal(19,0)") * right.cast("decimal(18,0)")
+
+
 def _lift_sql(train: str, test: str, name: str, columns: str = "h.user_id, h.item_id, h.rating") -> str:
     """CTE `name` with predictions for `test` from `train`."""
     return f"""{name} AS (
@@ -170,9 +176,10 @@ def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = by_item.agg(held_back("p", F.col("of")).alias("payers"), held_back("n", F.col("of")).alias("pairs"))
     items = stage(items.withColumnRenamed("of", "fold"), "fold_items")
     overall = items.groupBy("fold").agg(F.sum("payers").alias("all_payers"), F.sum("pairs").alias("all_pairs"))
-    value = F.col("payers") * F.col("all_pairs") - F.col("all_payers") * F.col("pairs")
-    tested = lookup_join(both.where(F.col("fold") >= 0), items.join(F.broadcast(overall), "fold"), ["item_id", "fold"])
-    return evaluation.evaluate(tested.withColumn("prediction", F.coalesce(value, F.lit(0)).cast("double")), ["fold"])
+    value = _product("payers", F.col("all_pairs")) - _product("pairs", F.col("all_payers"))
+    valued = items.join(F.broadcast(overall), "fold").select("item_id", "fold", value.cast("double").alias("_value"))
+    tested = lookup_join(both.where(F.col("fold") >= 0), valued, ["item_id", "fold"])
+    return evaluation.evaluate(tested.withColumn("prediction", F.coalesce("_value", F.lit(0.0))), ["fold"])
 
 
 @query(f"""WITH {_FOLDS_SQL} SELECT round(avg(recall), 6) AS mean_recall,
@@ -239,7 +246,8 @@ def _popularity_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     return predict_popularity(held, popular), predict_popularity(sample_negatives(held, rows, SEED), popular)
 
 
-@query(f"WITH {_AUC_SQL} SELECT user_id, correct, pairs, correct / pairs AS auc FROM by_user")
+@query(f"""WITH {_AUC_SQL} SELECT user_id, CAST(correct AS DOUBLE) AS correct, CAST(pairs AS DOUBLE) AS pairs,
+correct / pairs AS auc FROM by_user""")
 def auc_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auc.user_auc(*_popularity_sides(spark, sf_dir))
 

@@ -100,6 +100,15 @@ def test_salted_join_spreads_the_hot_key(spark):
     assert "_salt" in plan
 
 
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    big = spark.range(4000, numPartitions=16).select(F.lit(5).alias("k"))
+    small = spark.createDataFrame([(5, "five")], "k int, name string")
+    joined = joins.salted_join(big, small, ["k"], "left", salts=8)
+    assert joined.where("name = 'five'").count() == 4000
+    salts = big.select(F.pmod(F.xxhash64("k", F.spark_partition_id()), F.lit(8)).alias("s")).distinct().count()
+    assert salts > 3
+
+
 def test_broadcast_needs_few_rows_and_bytes(spark):
     _, small = keyed(spark)
     assert joins.fits_broadcast(small)
