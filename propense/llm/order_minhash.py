@@ -11,7 +11,8 @@ k-mers of both (matched / (all - matched)), and linked texts form a class.
 Texts that agree on one sketch are never paired with each other all at once.
 They are compared with a pivot; those not in the pivot's class meet further
 pivots in later rounds, until all that share a sketch are in one class or have
-been compared with each other.
+been compared with each other. Parities of k-mer counts bound how far two texts
+are apart, and a pair that they rule out is no pair.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ PIVOT_PAIRS = 1000
 # Hash values that are held at once while a text is sketched.
 BLOCK = 1 << 19
 
+# Parities that tell most pairs apart before their texts are compared.
+MARKS = 1024
+
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODDER = np.uint64(0xBF58476D1CE4E5B9)
@@ -154,19 +158,50 @@ def text_digest(text: Column | str) -> Column:
     return digested(text)
 
 
-def digest_and_words(text: Column | str) -> Column:
-    """Column struct<digest, words> of a text; the words are four bytes each."""
+def parities(kmers: np.ndarray) -> np.ndarray:
+    """Whether the number of k-mers in each of MARKS ranges of hashes is odd, as bits of 64-bit numbers."""
+    odd = np.bincount((kmers & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def possible(other: str, settings: Settings) -> Column:
+    """Whether two texts with size and bits can reach the similarity, `other` before the names of the second one.
+
+    A k-mer that only one of them has changes one parity, so there are at least
+    as many such k-mers as parities that differ, and as the sizes differ by.
+    """
+    size, their_size = F.col("size"), F.col(f"{other}size")
+    bits, their_bits = F.col("bits"), F.col(f"{other}bits")
+    differ = F.bit_count(bits[0].bitwiseXOR(their_bits[0]))
+    for i in range(1, MARKS // 64):
+        differ += F.bit_count(bits[i].bitwiseXOR(their_bits[i]))
+    most = (size + their_size) * ((1 - settings.similarity) / (1 + settings.similarity)) + 0.001
+    return (F.abs(size - their_size) <= most) & (differ <= most)
+
 
-    @arrow_udf("struct<digest:binary,words:binary>")
+def digest_and_words(text: Column | str, settings: Settings) -> Column:
+    """Column struct<digest, words, size, bits> of a text: its words, four bytes each, the number and marks of its k-mers."""
+
+    @arrow_udf("struct<digest:binary,words:binary,size:int,bits:array<long>>")
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            digests, hashes = [], []
+            digests, hashes, sizes, bits = [], [], [], []
             for one in texts_of(batch):
                 words = normal_words(one)
+                numbers = word_hashes(words)
+                kmers = labelled_kmers(numbers, settings.words) if words else np.zeros(0, np.uint64)
                 digests.append(digest(one, words))
-                hashes.append(word_hashes(words).tobytes())
+                hashes.append(numbers.tobytes())
+                sizes.append(len(kmers))
+                bits.append(parities(kmers))
             yield pa.StructArray.from_arrays(
-                [pa.array(digests, pa.binary()), pa.array(hashes, pa.binary())], names=["digest", "words"]
+                [
+                    pa.array(digests, pa.binary()),
+                    pa.array(hashes, pa.binary()),
+                    pa.array(sizes, pa.int32()),
+                    pa.array(bits, pa.list_(pa.int64())),
+                ],
+                names=["digest", "words", "size", "bits"],
             )
 
     return hashed(text)
@@ -223,7 +258,7 @@ def _verified(pairs: DataFrame, words: DataFrame, settings: Settings) -> DataFra
         "pivot", F.col("a").alias("digest"), F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy")
     )
     return (
-        salted.join(words, "digest")
+        salted.join(words.select("digest", "words"), "digest")
         .join(pivots, ["pivot", "copy"])
         .select(F.col("digest").alias("a"), F.col("pivot").alias("b"), aligned("words", "pivot_words", settings).alias("s"))
         .where(F.col("s") >= settings.similarity)
@@ -245,53 +280,70 @@ def linked_texts(docs: DataFrame, texts: DataFrame, settings: Settings = Setting
     groups = bands.groupBy("sketch").agg(F.min("digest").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     members = stage(bands.join(groups, "sketch"), "omh_members")
     near = stage(members.select("digest").distinct(), "omh_near")
-    words = docs.select(digest_and_words("text").alias("made")).select("made.*")
+    words = docs.select(digest_and_words("text", settings).alias("made")).select("made.*")
     words = stage(lookup_join(words, near, "digest", "left_semi").dropDuplicates(["digest"]), "omh_words")
 
-    pairs = stage(members.where("digest != pivot").select(F.col("digest").alias("a"), "pivot").distinct(), "omh_pairs")
+    marks = words.select("digest", "size", "bits")
+    pairs = (
+        members.where("digest != pivot")
+        .select("digest", "pivot")
+        .distinct()
+        .join(marks, "digest")
+        .join(marks.toDF("pivot", "pivot_size", "pivot_bits"), "pivot")
+        .where(possible("pivot_", settings))
+    )
+    pairs = stage(pairs.select(F.col("digest").alias("a"), "pivot"), "omh_pairs")
     links = stage(_verified(pairs, words, settings), "omh_links")
     labels = _labels(links)
     used = members.select("sketch", "pivot").distinct()
     tested = pairs.select(F.least("a", "pivot").alias("low"), F.greatest("a", "pivot").alias("high"))
+    # A pair that is not possible has been compared as well: by its marks.
+    members = members.select("sketch", "digest").join(marks, "digest")
     pivots = 1
     while True:
-        pivots *= 4
-        named = members.select("sketch", "digest", "size").join(labels, "digest", "left")
-        named = named.withColumn("component", F.coalesce("component", "digest"))
-        # A sketch is open while its texts are of several classes and two of them have not been pivots.
-        spent = used.groupBy("sketch").agg(F.count("*").alias("spent"))
-        open_ = (
-            named.groupBy("sketch", "size")
-            .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-            .where("least != most")
-            .join(spent, "sketch")
-            .where("size - spent >= 2")
-            .select("sketch")
-        )
-        members = stage(members.join(open_, "sketch", "left_semi"), "omh_members")
+        pivots *= 16
+        members = _open(members.drop("component"), labels, used)
         if members.isEmpty():
             return labels
-        named = members.select("sketch", "digest").join(labels, "digest", "left")
-        named = stage(named.withColumn("component", F.coalesce("component", "digest")), "omh_named")
         fresh = stage(
-            named.join(used.withColumnRenamed("pivot", "digest"), ["sketch", "digest"], "left_anti")
+            members.join(used.withColumnRenamed("pivot", "digest"), ["sketch", "digest"], "left_anti")
             .groupBy("sketch", F.pmod(F.xxhash64("digest"), F.lit(pivots)).alias("slot"))
-            .agg(F.min(F.struct("digest", "component")).alias("pivot"))
-            .select("sketch", "pivot.digest", "pivot.component")
-            .toDF("sketch", "pivot", "pivot_component"),
+            .agg(F.min(F.struct("digest", "component", "size", "bits")).alias("pivot"))
+            .select("sketch", "pivot.*")
+            .toDF("sketch", "pivot", "pivot_component", "pivot_size", "pivot_bits"),
             "omh_fresh",
         )
         met = (
-            named.join(fresh, "sketch")
-            .where("component != pivot_component")
-            .select(F.col("digest").alias("a"), "pivot", F.least("digest", "pivot").alias("low"), F.greatest("digest", "pivot").alias("high"))
-            .dropDuplicates(["low", "high"])
+            members.join(fresh, "sketch")
+            .where((F.col("component") != F.col("pivot_component")) & possible("pivot_", settings))
+            .select(F.least("digest", "pivot").alias("low"), F.greatest("digest", "pivot").alias("high"))
+            .distinct()
         )
         pairs = stage(met.join(tested, ["low", "high"], "left_anti"), "omh_pairs")
-        links = stage(links.union(_verified(pairs.select("a", "pivot"), words, settings)), "omh_links")
-        labels = _labels(links)
         used = stage(used.union(fresh.select("sketch", "pivot")), "omh_used")
-        tested = stage(tested.union(pairs.select("low", "high")).distinct(), "omh_tested")
+        if pairs.isEmpty():
+            continue
+        new = _verified(pairs.select(F.col("low").alias("a"), F.col("high").alias("pivot")), words, settings)
+        links = stage(links.union(new), "omh_links")
+        labels = _labels(links)
+        tested = stage(tested.union(pairs), "omh_tested")
+
+
+def _open(members: DataFrame, labels: DataFrame, used: DataFrame) -> DataFrame:
+    """The members (sketch, digest, component) of the sketches whose texts are of several classes, two of them not yet pivots."""
+    named = (
+        members.join(labels, "digest", "left")
+        .join(used.select("sketch", F.col("pivot").alias("digest"), F.lit(1).alias("used")), ["sketch", "digest"], "left")
+        .withColumn("component", F.coalesce("component", "digest"))
+    )
+    named = stage(named, "omh_named")
+    open_ = (
+        named.groupBy("sketch")
+        .agg(F.min("component").alias("least"), F.max("component").alias("most"), (F.count("*") - F.count("used")).alias("fresh"))
+        .where("least != most AND fresh >= 2")
+        .select("sketch")
+    )
+    return stage(named.join(open_, "sketch", "left_semi").drop("used"), "omh_open")
 
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
