@@ -30,12 +30,12 @@ def active_more_than(days: Column, bound: float) -> Column:
 
 def active_or_frequent(days: Column, rate: Column, bound: float = 1) -> Column:
     """More than `bound` login days or a login rate above `bound`."""
-    return flag((days > bound) | ((rate > bound) & ~F.isnan(rate)))
+    return flag(((days > bound) & ~F.isnan(days.cast("double"))) | ((rate > bound) & ~F.isnan(rate.cast("double"))))
 
 
 def payer_class(amount: Column) -> Column:
-    """1 for payers and 2 for the rest."""
-    return F.when(amount > 0, F.lit(1)).otherwise(F.lit(2))
+    """1 for payers and 2 for the rest; NaN is not money."""
+    return F.when((amount > 0) & ~F.isnan(amount.cast("double")), F.lit(1)).otherwise(F.lit(2))
 
 
 def engaged(login_days: Column, login_times: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,22 +12,38 @@ from propense.limits import BROADCAST_BYTES, BROADCAST_ROWS, HOT_SHARE, SALTS
 from propense.sources.staging import stage
 
 
-def _width(field: T.StructField) -> Column:
-    column = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, T.StringType | T.BinaryType):
-        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
-    if isinstance(field.dataType, T.ArrayType):
-        return F.greatest(F.size(column), F.lit(0)) * 8 + 24
-    return F.lit(8)
+# Types whose values take eight bytes at most; a decimal takes sixteen.
+_FLAT = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType)
+
+
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, with all that it holds. A type that is not known here counts as its text form."""
+    if isinstance(kind, _FLAT):
+        return F.lit(16)
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, _FLAT):
+            return F.coalesce(F.greatest(F.size(value), F.lit(0)), F.lit(0)) * 16 + 24
+        held = F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + _width(x, kind.elementType).cast("long"))
+        return F.coalesce(held, F.lit(0)) + 24
+    if isinstance(kind, T.MapType):
+        keys = _width(F.map_keys(value), T.ArrayType(kind.keyType))
+        return keys + _width(F.map_values(value), T.ArrayType(kind.valueType)) + 24
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, VectorUDT):
+        return F.coalesce(F.size(vector_to_array(value)), F.lit(0)) * 16 + 24
+    return F.coalesce(F.octet_length(value.cast("string")), F.lit(0)) * 16 + 16
 
 
 def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether a table is proven small: its rows are counted and their bytes added up.
+    """Whether a table is proven small: all its rows are counted and their bytes added up, nested ones too.
 
-    Run it on tables that are cheap to scan, such as staged ones.
+    One partial aggregation; run it on tables that are cheap to scan, such as staged ones.
     """
-    widths = sum((_width(f) for f in small.schema.fields), F.lit(8))
-    rows, size = small.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(widths), F.lit(0))).first()
+    widths = sum((_width(F.col(f"`{f.name}`"), f.dataType).cast("long") for f in small.schema.fields), F.lit(8))
+    rows, size = small.agg(F.count("*"), F.coalesce(F.sum(widths), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
 
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from propense.limits import EXACT_ROWS, RANGES, SKETCH_ACCURACY
 from propense.sources.staging import stage
@@ -41,10 +42,47 @@ class _Bracket:
         return condition
 
 
+def _values(df: DataFrame, column: str) -> Column:
+    """A column's values, null where they are null or NaN."""
+    value = F.col(column)
+    if isinstance(df.schema[column].dataType, T.FloatType | T.DoubleType):
+        return F.when(~F.isnan(value), value)
+    return value
+
+
+def count_values(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Number of each column's values, without nulls and NaN."""
+    counts = df.agg(*[F.count(_values(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return dict(zip(columns, counts, strict=True))
+
+
+def select_long(df: DataFrame, column: str, rank: int) -> int:
+    """The exact `rank`-th smallest value of a column of whole numbers of up to 64 bits.
+
+    Doubles hold no more than 53 bits, so the upper and lower halves are
+    selected one after the other.
+    """
+    value = F.col(column).cast("long")
+    halves = df.where(F.col(column).isNotNull()).select(
+        F.shiftright(value, 32).alias("upper"), value.bitwiseAND(F.lit(0xFFFFFFFF)).alias("lower")
+    )
+    upper = int(order_statistics(halves, "upper", [rank])[0])
+    below = halves.where(F.col("upper") < upper).count()
+    lower = int(order_statistics(halves.where(F.col("upper") == upper), "lower", [rank - below])[0])
+    return (upper << 32) + lower
+
+
 def select_ranks(
-    df: DataFrame, ranks: dict[str, list[int]], exact_rows: int = EXACT_ROWS, accuracy: int = SKETCH_ACCURACY
+    df: DataFrame,
+    ranks: dict[str, list[int]],
+    exact_rows: int = EXACT_ROWS,
+    accuracy: int = SKETCH_ACCURACY,
+    totals: dict[str, int] | None = None,
 ) -> dict[str, list[float]]:
-    """Exact order statistics of several columns in common passes.
+    """Exact order statistics of several columns in common passes, in double precision.
+
+    Whole numbers beyond 2**53 need `select_long`. `totals` spares counting the
+    columns' values where that has been done.
 
     Every pass brackets each wanted rank between two values from a quantile
     sketch and counts what lies below, so that the next pass only looks at the
@@ -56,10 +94,10 @@ def select_ranks(
     names = {column: f"v{i}" for i, column in enumerate(ranks)}
     numbers = {name: F.col(column).cast("double") for column, name in names.items()}
     values = df.select(*[F.when(~F.isnan(value), value).alias(name) for name, value in numbers.items()])
-    totals = values.agg(*[F.count(name).alias(name) for name in names.values()]).first()
+    totals = totals or count_values(df, list(ranks))
     pending: dict[tuple[str, int], _Bracket] = {}
     for column, wanted in ranks.items():
-        total = totals[names[column]]
+        total = totals[column]
         for rank in sorted(set(wanted)):
             if not 1 <= rank <= total:
                 raise ValueError(f"rank {rank} of {total} values")
@@ -116,9 +154,13 @@ def _narrow(values: DataFrame, brackets: dict, accuracy: int) -> tuple[dict, dic
         known = {e for e in (b.low, b.high) if e is not None}
         marks.setdefault(b.column, set()).update(ends[key], known)
     tallies = {column: _Tally(sorted(points)) for column, points in marks.items()}
-    for column, tally in tallies.items():
-        present = values.where(F.col(column).isNotNull())
-        tally.counts = dict(present.groupBy(place(F.col(column), tally.points)).count().collect())
+    places = [
+        F.when(F.col(column).isNotNull(), F.struct(F.lit(i).alias("of"), place(F.col(column), tally.points).alias("at")))
+        for i, (column, tally) in enumerate(tallies.items())
+    ]
+    counted = values.select(F.inline(F.array_compact(F.array(*places)))).groupBy("of", "at").count().collect()
+    for row in counted:
+        list(tallies.values())[row["of"]].counts[row["at"]] = row["count"]
 
     found, left = {}, {}
     for key, b in brackets.items():

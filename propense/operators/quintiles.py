@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propense.operators.quantiles import select_ranks
+from propense.operators.quantiles import count_values, select_ranks
 
 PARTS = 5
 
@@ -13,12 +13,11 @@ PARTS = 5
 def cut_points(df: DataFrame, columns: list[str], parts: int = PARTS) -> dict[str, list[float]]:
     """Per column, the values at positions `floor(n / parts) * j`, j = 1 .. parts - 1, of the sorted column.
 
-    With fewer than `parts` rows there is no cut point and every row is lowest.
+    n counts the column's own values, without nulls and NaN. With fewer than
+    `parts` of them there is no cut point and every row is lowest.
     """
-    size = df.count() // parts
-    if size == 0:
-        return {c: [] for c in columns}
-    return select_ranks(df, {c: [size * j for j in range(1, parts)] for c in columns})
+    totals = count_values(df, columns)
+    return select_ranks(df, {c: [totals[c] // parts * j for j in range(1, parts) if totals[c] >= parts] for c in columns}, totals=totals)
 
 
 def cut_bucket(value: Column, cuts: list[float], base: int = 1) -> Column:

@@ -189,10 +189,11 @@ def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.select(*[F.round(c, 6).alias(c) for c in summary.columns])
 
 
+# A metric without a value is NaN, which the two engines spell differently.
 _METRICS_TEXT = (
-    "printf('%.4f,%.4f,  %.4f,%.4f,%.4f,%.4f,%.4f', "
+    "replace(replace(printf('%.4f,%.4f,  %.4f,%.4f,%.4f,%.4f,%.4f', "
     + ", ".join(f"round({name}, 4)" for name in evaluation.METRICS)
-    + ")"
+    + "), '-nan', 'NaN'), 'nan', 'NaN')"
 )
 
 
@@ -307,7 +308,7 @@ def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
         predicted = with_items.withColumn("prediction", _smoothed(payers / pairs, trial))
         return rounded(evaluation.evaluate(predicted))
 
-    return run_trials(spark, random_trials(_trial_grid(spark), TRIALS, SEED), one).drop("error")
+    return run_trials(spark, random_trials(_trial_grid(spark), TRIALS, SEED), one, complete=True)
 
 
 @query(f"WITH {_SEARCH_SQL} SELECT trial, point, rank, reg, alpha, tp, fp, fn, tn, {_METRICS} FROM counts")
@@ -343,11 +344,11 @@ def metrics_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES_SQL = f"""WITH {_SEARCH_SQL}, metrics AS (
   SELECT trial, rank, reg, alpha, tp, {", ".join(f"{sql} AS {name}" for name, sql in _METRICS_SQL.items())} FROM counts)
 SELECT printf('%6d,%2d,%07.4f,%07.4f', trial, rank, round(reg, 4), round(alpha, 4)) || ',' || {_METRICS_TEXT} AS value
-FROM metrics WHERE tp > 0"""
+FROM metrics"""
 
 
 @query(_LINES_SQL)
 def trial_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report lines of the trials that found a payer, through text files."""
-    results = _search(spark, sf_dir).where("tp > 0")
+    """Report lines of all trials, through text files."""
+    results = _search(spark, sf_dir)
     return read_lines(spark, lines_to_files(results.select(evaluation.trial_line().alias("value")), "report"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,9 @@ from pyspark.sql import types as T
 
 _STAGED: list[str] = []
 
+# A path with a scheme other than the local one.
+_SHARED = re.compile(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]*:")
+
 
 @functools.cache
 def _local_scratch() -> str:
@@ -21,7 +25,8 @@ def _local_scratch() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
-    Only a local session without the setting gets a temporary folder.
+    Only a local session without the setting gets a temporary folder, and only
+    a local one may name a folder of its machine.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = _local_scratch()
+    if not context.master.startswith("local") and not _SHARED.match(folder):
+        raise ValueError(f"spark.checkpoint.dir is {folder}, a folder of one machine")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

@@ -251,6 +251,27 @@ def test_failing_trials_are_reported(spark):
     assert trials.best(result, "a").first()["trial"] == 3
     with pytest.raises(RuntimeError, match="no trial succeeded"):
         trials.run_trials(spark, [Row(trial=1)], one)
+    with pytest.raises(RuntimeError, match="1 of 4 trials failed"):
+        trials.run_trials(spark, [Row(trial=i) for i in range(4)], one, complete=True)
+
+
+def test_null_metrics_keep_their_type(spark):
+    def one(trial):
+        return spark.createDataFrame([(None,)], "auc double")
+
+    result = trials.run_trials(spark, [Row(trial=i) for i in range(2)], one)
+    assert dict(result.dtypes)["auc"] == "double"
+    assert trials.best(result, "auc").count() == 0
+
+
+def test_failing_fold_is_an_error(spark, monkeypatch):
+    def failing(train, test, settings, by=None):
+        raise RuntimeError("fold lost")
+
+    monkeypatch.setattr(jobs, "evaluate_model", failing)
+    rows = spark.createDataFrame([(i, i % 5, 1.0) for i in range(40)], "user_id int, item_id int, rating double")
+    with pytest.raises(RuntimeError, match="fold lost"):
+        jobs.cross_validate(rows, rows, recommend.Settings(rank=2, iterations=1, reg=0.1, alpha=1.0), seed=1)
 
 
 def test_sinks(spark, tmp_path, model):

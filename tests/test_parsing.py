@@ -3,7 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from propense.functions import labels, parsing
-from propense.sources.text import drop_equal_lines, read_lines
+from propense.sources.text import drop_equal_lines, first_line, read_lines
 
 
 def lines(spark, *values):
@@ -91,8 +91,38 @@ def test_headers(spark, tmp_path):
     assert sorted(r[0] for r in read_lines(spark, path, header=True).collect()) == sorted(
         ['1,"2",3', "user,item,amount", "4,5,6"] * 2
     )
-    assert sorted(r[0] for r in drop_equal_lines(read_lines(spark, path)).collect()) == sorted(['1,"2",3', "4,5,6"] * 2)
-    assert drop_equal_lines(spark.createDataFrame([], "value string")).count() == 0
+    header = first_line(spark, f"{path}/a.csv")
+    assert header == "user,item,amount"
+    lines = read_lines(spark, path)
+    assert sorted(r[0] for r in drop_equal_lines(lines, header).collect()) == sorted(['1,"2",3', "4,5,6"] * 2)
+    assert drop_equal_lines(spark.createDataFrame([], "value string"), header).count() == 0
+
+
+def test_header_in_some_files_only(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("user,item,amount\n1,1,1\n")
+    (tmp_path / "b.csv").write_text("7,7,7\n" * 50)
+    lines = read_lines(spark, str(tmp_path))
+    rest = drop_equal_lines(lines, first_line(spark, str(tmp_path / "a.csv")))
+    assert sorted(r[0] for r in rest.collect()) == ["1,1,1"] + ["7,7,7"] * 50
+
+
+def test_lines_stay_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("h\n1,2\u0001,3\n\n\"4\n")
+    (tmp_path / "b.csv").write_text("")
+    path = str(tmp_path)
+    assert sorted(r[0] for r in read_lines(spark, path, header=True).collect()) == ["", '"4', "1,2\u0001,3"]
+    assert read_lines(spark, path).count() == 4
+
+
+def test_first_lines_of_files_in_several_parts(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("h\n" + "".join(f"{name}{i:05d}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = read_lines(spark, str(tmp_path), header=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r[0] for r in found) == [f"{name}{i:05d}" for name in "ab" for i in range(3000)]
 
 
 def test_labels(spark):
@@ -118,6 +148,13 @@ def test_labels(spark):
     ]
 
 
+def test_nan_is_not_money(spark):
+    nan = spark.createDataFrame([(float("nan"), float("nan"), 0.5)], "amount double, days double, rate double")
+    assert nan.select(
+        labels.payer_class(F.col("amount")), labels.active_or_frequent(F.col("days"), F.col("rate"))
+    ).first() == (2, 0.0)
+
+
 def test_engaged(spark):
     data = spark.createDataFrame([("1", "2"), ("1", "1"), ("0", "5"), ("x", "2"), (None, "2")], "d string, t string")
     assert data.where(labels.engaged(F.col("d"), F.col("t"))).count() == 1

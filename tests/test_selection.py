@@ -1,10 +1,12 @@
 """Joins, order statistics and ranks against brute force, with skewed keys and values."""
 
 import random
+from decimal import Decimal
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from propense.operators import joins, lookalike, quantiles, quintiles
@@ -59,6 +61,45 @@ def test_quintiles(spark):
             assert result[i] == pytest.approx((bucket(days, 1) + base) / 100 + bucket(amount, 2) + base)
 
 
+def test_cut_points_ignore_nulls(spark):
+    data = spark.createDataFrame([(i if i < 4 else None, i) for i in range(20)], "few int, all int")
+    assert quintiles.cut_points(data, ["few", "all"]) == {"few": [], "all": [3.0, 7.0, 11.0, 15.0]}
+    data = spark.createDataFrame([(i if i < 10 else None, i) for i in range(20)], "few int, all int")
+    assert quintiles.cut_points(data, ["few"]) == {"few": [1.0, 3.0, 5.0, 7.0]}
+
+
+def test_top_share_ranks_numbers_only(spark):
+    rows = [(i, float(i)) for i in range(20)] + [(100 + i, float("nan")) for i in range(3)] + [(200, None)]
+    data = spark.createDataFrame(rows, "user_id long, score double")
+    assert sorted(r["user_id"] for r in lookalike.top_share(data, 20).collect()) == [16, 17, 18, 19]
+    assert lookalike.top_threshold(data, 4) == 16.0
+
+
+def test_top_share_of_wide_keys(spark):
+    for first in (2**53, -(2**62), 2**62):
+        data = spark.createDataFrame([(first + i, 1.0) for i in range(10)], "user_id long, score double")
+        assert sorted(r["user_id"] for r in lookalike.top_share(data, 40).collect()) == [first + i for i in range(4)]
+
+
+def test_shares_of_a_percent(spark):
+    data = spark.createDataFrame([(i, float(i), i % 2 == 0) for i in range(1000)], "user_id long, score double, is_target boolean")
+    assert lookalike.top_share(data, Decimal("1.74")).count() == 17
+    shares = (Decimal("1.74"), Decimal("1.1"), Decimal("0.01"))
+    found = lookalike.sweep(data, shares).select("percent", "size", "threshold", "predicted").collect()
+    assert [tuple(r) for r in found] == [(Decimal("1.74"), 17, 983.0, 17), (Decimal("1.1"), 11, 989.0, 11)]
+
+
+def test_broadcast_measures_nested_values(spark):
+    vectors = spark.range(2000).select(F.col("id"), array_to_vector(F.array_repeat(F.lit(1.0), 20_000)).alias("v"))
+    maps = spark.range(2000).select(F.map_from_arrays(F.sequence(F.lit(1), F.lit(5000)), F.sequence(F.lit(1), F.lit(5000))).alias("m"))
+    nested = spark.range(200).select(F.array_repeat(F.struct(F.lit("x" * 100).alias("s")), 5000).alias("a"))
+    assert not joins.fits_broadcast(vectors)
+    assert not joins.fits_broadcast(maps)
+    assert not joins.fits_broadcast(nested)
+    assert joins.fits_broadcast(spark.range(1000).select("id", F.struct(F.lit("x"), F.array(F.lit(1))).alias("s")))
+    assert not joins.fits_broadcast(spark.range(11), max_rows=10)
+
+
 def test_quintiles_of_few_rows_are_lowest(spark):
     data = spark.createDataFrame([(1, 5), (9, 7)], "days int, amount int")
     scores = [r["score"] for r in quintiles.quintile_scores(data, "days", "amount").collect()]
