@@ -47,23 +47,27 @@ def modeling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of one channel; the predicate is pushed to the scan of the lines."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "F")
-    return _summed(lines, table(spark, sf_dir, "orders"))
+    """One row per user and item, over all channels."""
+    return _summed(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
 
 
-MODELING_SQL = """modeling AS (
+_SUMS_SQL = """CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(round(l_extendedprice * 100) AS BIGINT) END) AS BIGINT) AS revenue,
+         count(DISTINCT CAST(o_orderdate AS DATE)) AS active_days,
+         sum(l_quantity) AS strength"""
+
+MODELING_SQL = f"""modeling AS (
   SELECT o_custkey AS user_id, l_suppkey AS item_id,
          CASE WHEN l_linestatus = 'F' THEN 2 ELSE 1 END AS channel,
-         CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(round(l_extendedprice * 100) AS BIGINT) END) AS BIGINT) AS revenue,
-         count(DISTINCT CAST(o_orderdate AS DATE)) AS active_days,
-         sum(l_quantity) AS strength
+         {_SUMS_SQL}
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   GROUP BY 1, 2, 3)"""
 
 INTERACTIONS_SQL = f"""{MODELING_SQL},
 interactions AS (
-  SELECT user_id, item_id, revenue, active_days, strength FROM modeling WHERE channel = {CHANNEL})"""
+  SELECT o_custkey AS user_id, l_suppkey AS item_id,
+         {_SUMS_SQL}
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  GROUP BY 1, 2)"""
 
 
 def draw_sql(seed: int, first: str, second: str | None = None) -> str:

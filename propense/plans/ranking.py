@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,15 +12,16 @@ from propense.operators import decompose as svd
 from propense.operators import lookalike
 from propense.operators.recommend import players_of
 from propense.plans.featuring import PLAYERS_SQL, entries_of
-from propense.plans.fixtures import CHANNEL, INTERACTIONS_SQL, TARGET_ITEM, interactions, modeling
+from propense.plans.fixtures import CHANNEL, INTERACTIONS_SQL, MODELING_SQL, TARGET_ITEM, interactions, modeling
 from propense.plans.registry import query
 from propense.sources.sinks import publish
 from propense.sources.staging import stage, staging_path
 
+_PLACED_SQL = """placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, user_id) AS place, count(*) OVER () AS n FROM scores)"""
 _SCORES_SQL = f"""{INTERACTIONS_SQL},
 scores AS (SELECT user_id, sum(strength) AS score, bool_or(item_id = {TARGET_ITEM}) AS is_target
   FROM interactions GROUP BY 1),
-placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, user_id) AS place, count(*) OVER () AS n FROM scores)"""
+{_PLACED_SQL}"""
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +32,26 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(rows, "scores")
 
 
-@query(f"WITH {_SCORES_SQL} SELECT user_id, score, is_target FROM placed WHERE place <= n * 10 // 100")
+def _share_sql(percent: str) -> str:
+    return f"WITH {_SCORES_SQL} SELECT user_id, score, is_target FROM placed WHERE place <= floor(n * {percent} / 100)"
+
+
+@query(_share_sql("1.74"))
+def top_share_of_a_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A share that is no whole percent."""
+    return lookalike.top_share(_scores(spark, sf_dir), Decimal("1.74"))
+
+
+@query(f"WITH {_SCORES_SQL} SELECT user_id, score, is_target FROM scores JOIN (SELECT score AS cut FROM placed "
+       "WHERE place = floor(n * 1.1 / 100)) ON score >= cut")
+def reached_share_of_a_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everyone who reaches the last score of the top 1.1 percent."""
+    scores = _scores(spark, sf_dir)
+    size = lookalike.share_size(scores.count(), Decimal("1.1"))
+    return lookalike.at_least(scores, lookalike.top_threshold(scores, size))
+
+
+@query(_share_sql("10"))
 def top_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exactly the top tenth of the users."""
     return lookalike.top_share(_scores(spark, sf_dir), 10)
@@ -63,7 +85,9 @@ def lookalike_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.recall(predicted, scores.where("is_target")).select(F.round("recall", 6).alias("recall"))
 
 
-_POTENTIAL_SQL = f"""WITH {_SCORES_SQL}, {PLAYERS_SQL}
+_POTENTIAL_SQL = f"""WITH {MODELING_SQL},
+scores AS (SELECT user_id, sum(strength) AS score FROM modeling WHERE channel = {CHANNEL} GROUP BY 1),
+{_PLACED_SQL}, {PLAYERS_SQL}
 SELECT user_id, {TARGET_ITEM} AS item_id, 1.0e0 AS prediction FROM scores
 WHERE score >= (SELECT score FROM placed WHERE place = n * 20 // 100) AND user_id NOT IN (SELECT user_id FROM players)"""
 
