@@ -55,12 +55,12 @@ FROM named"""
 
 MIXING_SQL = f"""
 WITH RECURSIVE keyed AS (
-  SELECT doc_id, coalesce(concat('=', source), '') AS source_key, source IS NULL AS unnamed,
+  SELECT doc_id, coalesce('=' || source, '') AS source_key,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
     -ln(({PLACE.format(digits=13)} + 0.5::DOUBLE) / {1 << 52}::DOUBLE) / coalesce(
       0.1::DOUBLE + 0.9::DOUBLE * length(regexp_replace(text, '[^\\p{{L}}\\s]+', '', 'g')) / nullif(length(text), 0), 0.1::DOUBLE) AS key
   FROM documents),
-sizes AS (SELECT CASE WHEN unnamed THEN '' ELSE source_key END AS source_key, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY 1),
+sizes AS (SELECT source_key, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY 1),
 weighted AS (
   SELECT *, {list(mixing.WEIGHTS)}[((row_number() OVER (ORDER BY source_key = '', source_key) - 1) % 3 + 1)::INTEGER] AS weight,
     {mixing.MOST_EPOCHS}::DOUBLE * source_size AS most FROM sizes),

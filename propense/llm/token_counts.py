@@ -24,11 +24,15 @@ from propense.llm.tables import by_bytes, texts_of
 BATCH_BYTES = 1 << 20
 PART_CHARS = 1 << 16
 
-# A model's context length, and the pre-tokenizer's word pattern.
+# Fixed value: a model's context length.
 LIMIT = 1024
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-# A word never holds white space after another character, so it may be cut before that white space.
+
+# Places that no word of the pre-tokenizer spans and that change no word on either side: before white
+# space, and where letters or digits end; not behind white space, whose last character may belong to
+# the next word. Only a special string may span the second kind.
 BEFORE_SPACE = regex.compile(r"(?<=\S)(?=\s)")
+WORD_END = regex.compile(r"(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
+SPECIAL_CHARS = 64
 
 
 @functools.lru_cache(maxsize=4)
@@ -46,17 +50,16 @@ def _tokenizer(path: str):
 def parts(text: str, part_chars: int = PART_CHARS) -> Iterator[str]:
     """Cut a text so that encoding the parts gives the tokens of the whole.
 
-    Cuts lie between a character that is not white space and white space. No
-    word of the pre-tokenizer and no special string spans such a place, and
-    what follows it does not change the words before. Without one among the
-    next `part_chars` characters after a part's size is reached, the text is
-    cut at the end of a pre-tokenizer's word instead, unless a special string
-    could begin there; a longer word stays whole.
+    Parts end at the next white space after `part_chars` characters. Without
+    any among as many more, they end where the next letters or digits do,
+    unless a special string, which starts with "<" and ends with ">", may be
+    open there; a text without such a place stays whole.
     """
     start = 0
     while len(text) - start > part_chars:
-        cut = BEFORE_SPACE.search(text, start + part_chars, min(len(text), start + 2 * part_chars))
-        end = cut.start() if cut else _word_end(text, start, part_chars)
+        first = start + part_chars
+        cut = BEFORE_SPACE.search(text, first, min(len(text), first + part_chars))
+        end = cut.start() if cut else _word_end(text, first)
         if end is None:
             break
         yield text[start:end]
@@ -64,15 +67,11 @@ def parts(text: str, part_chars: int = PART_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def _word_end(text: str, start: int, part_chars: int) -> int | None:
-    for word in WORDS.finditer(text, start):
-        end = word.end()
-        # Special strings start with "<" and end with ">": letters on both sides of a cut that is
-        # a change to or from digits may still be inside one, so none may be open.
-        if end - start >= part_chars and end < len(text):
-            near = text[max(start, end - 64) : end]
-            if near.rfind("<") <= near.rfind(">") and text[end] != "<":
-                return end
+def _word_end(text: str, first: int) -> int | None:
+    for cut in WORD_END.finditer(text, first):
+        near = text[max(0, cut.start() - SPECIAL_CHARS) : cut.start()]
+        if near.rfind("<") <= near.rfind(">"):
+            return cut.start()
     return None
 
 

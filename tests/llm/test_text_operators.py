@@ -1,0 +1,400 @@
+"""The operators on texts against brute force, the tokenizers' own libraries and hand-made cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from propense.llm import language_id, main_text, order_minhash, pii, sentence_pieces, token_counts
+from propense.llm.tables import read
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+ODD_TEXTS = [
+    None, "", " ", "a", "\n\n", "  two  spaces ", "▁ sign ▁", "\u0000nul", "日本語 한국어 é", "🏳️‍🌈 <s> </s> <|endoftext|> x",
+    "a" * 5000, "word " * 5000, "1" * 3000, " " * 300 + "x", "!?." * 400, "x@y.z", "mixed <|endoftext|><|endoftext|>",
+]
+
+
+def documents(spark, texts, extra=False):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    rows += [(None, "no id", None, None, None), (0, texts[0], "en", "s", 0), (0, texts[0], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    if extra:
+        # Names that operators could use themselves.
+        for name in ("size", "key", "_spans", "_language", "_key", "shard", "row", "copies", "Digest"):
+            docs = docs.withColumn(name, F.lit(1))
+    return docs
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# --- token counts
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BPE)
+
+
+def test_token_counts(spark, tokenizer):
+    docs = documents(spark, ODD_TEXTS, extra=True)
+    rows = token_counts.token_counts(docs, BPE, limit=900).collect()
+    texts = sorted((r["text"] or "") for r in docs.collect())
+    expected = sorted((len(t.encode()), len(tokenizer.encode(t, add_special_tokens=False))) for t in texts)
+    assert sorted((r["n_bytes"], r["n_tokens"]) for r in rows) == expected
+    assert all(r["over_limit"] == (r["n_tokens"] > 900) for r in rows)
+    assert token_counts.token_counts(empty(spark), BPE).count() == 0
+
+
+def test_long_texts_are_cut_at_safe_places(tokenizer):
+    rng = random.Random(2)
+    alphabet = ["a", "é", "日", " ", "  ", "\n", "'s", "'", "1", "<|endoftext|>", "<", ">", "|", "end", " ", "!"]
+    for _ in range(300):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 120)))
+        some = list(token_counts.parts(text, rng.randint(1, 20)))
+        assert "".join(some) == text
+        counted = sum(len(tokenizer.encode(p, add_special_tokens=False)) for p in some)
+        assert counted == len(tokenizer.encode(text, add_special_tokens=False)), (text, some)
+
+
+# --- subword encoding
+
+
+@pytest.fixture(scope="module")
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+
+def test_pieces_equal_the_library(library):
+    pieces = sentence_pieces.Pieces(PIECES)
+    rng = random.Random(4)
+    alphabet = list(" ab\n\té▁日t hein<s>0123.,*ꙮ") + ["   ", "the ", "ing", "🏳"]
+    texts = [t or "" for t in ODD_TEXTS]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(800)]
+    for text in texts:
+        ids = library.encode(text, add_eos=True)
+        assert pieces.encode(text) == ids, text
+        assert pieces.decode(ids) == library.decode(ids), text
+    for _ in range(500):
+        ids = [rng.randrange(32_000) if rng.random() < 0.5 else rng.randrange(260) for _ in range(10)]
+        assert pieces.decode(ids) == library.decode(ids), ids
+
+
+def test_cache_generations_change_nothing(library, monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "WORDS_KEPT", 3)
+    monkeypatch.setattr(sentence_pieces, "PAIRS_KEPT", 5)
+    pieces = sentence_pieces.Pieces(PIECES)
+    text = "some words come back and some words do not come back at all"
+    for _ in range(3):
+        assert pieces.encode(text) == library.encode(text, add_eos=True)
+
+
+def test_encoding_digests(spark, library):
+    docs = documents(spark, ODD_TEXTS, extra=True)
+    rows = sentence_pieces.encoding_digests(docs, PIECES).collect()
+    expected = []
+    for r in docs.collect():
+        ids = library.encode(r["text"] or "", add_eos=True)
+        joined = " ".join(map(str, ids)).encode()
+        decoded = library.decode(ids).encode()
+        expected.append((r["doc_id"], len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+    assert sorted(map(tuple, rows), key=str) == sorted(expected, key=str)
+    assert sentence_pieces.encoding_digests(empty(spark), PIECES).count() == 0
+
+
+def test_ids_and_texts_as_columns(spark, library):
+    docs = documents(spark, ODD_TEXTS)
+    ids = docs.select("text", sentence_pieces.encoded("text", PIECES).alias("ids"))
+    for r in ids.select("text", "ids", sentence_pieces.decoded("ids", PIECES).alias("back")).collect():
+        assert r["ids"] == library.encode(r["text"] or "", add_eos=True)
+        assert r["back"] == library.decode(r["ids"])
+
+
+# --- main text
+
+PAGES = {
+    "": [],
+    "plain words": ["plain words"],
+    "<nav>menu</nav><p>a</p>": ["a"],
+    "<article><header><h1>T</h1></header><p>a<b>b</b></p><aside>zzz</aside><p>c&nbsp; &amp; d<br>e</p><form>f<input></form>"
+    "</article><div>other and longer than all the article</div>": ["T", "ab", "c & d e"],
+    "<div class='content'><p>One  two</p><div class='ad'>buy</div><p>Three &lt;b&gt; &am;</p></div>"
+    "<section class='comments'><article class='comment'><p>" + "long " * 99 + "</p></article></section><footer>f</footer>": [
+        "One two",
+        "Three <b> &am;",
+    ],
+    "<article><p>a</p>" + "<div class='advert'>x</div>" * 9 + "<p>b</p></article>": ["a", "b"],
+    "<article><h1><a href='/'>Linked title</a></h1><p>a</p></article>": ["Linked title", "a"],
+    "<article class='sharepoint'><p>kept</p></article><script>var t='</p>';</script>": ["kept"],
+    "<div id=\"cookie-notice\">We use cookies</div><main><ul><li>x</li><li>y</li></ul></main>": ["x", "y"],
+    "<article><p>unclosed <b>bold<p>next": ["unclosed bold", "next"],
+    "x<!-- <p>hidden</p>": ["x"],
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_main_blocks(page):
+    assert main_text.main_blocks(page) == PAGES[page]
+
+
+def test_hostile_pages_take_linear_time():
+    for page in ("<a" * 200_000, "<p>" * 100_000, "<!--" * 100_000, "<a href='" * 50_000, "<div><b>" * 20_000):
+        main_text.main_blocks(page)
+
+
+def test_main_texts(spark, sf_dir):
+    rows = [(1, "u", "<article>é<p>b</article>"), (None, None, None), (1, "u", ""), (1, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(5))
+    found = main_text.main_texts(pages).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(
+        [(1, "u", "é\n\nb", 4), (None, None, "", 0), (1, "u", "", 0), (1, "u", "", 0)], key=str
+    )
+    assert main_text.main_texts(pages.limit(0)).count() == 0
+    for r in read(spark, sf_dir, "pages").join(main_text.main_texts(read(spark, sf_dir, "pages")), "page_id").collect():
+        # These pages mark their article, so its blocks are known.
+        article = re.search("<article>(.*?)</article>", r["html"], re.DOTALL)[1]
+        blocks = [re.sub("<[^>]+>", "", b) for b in re.split("</?(?:p|h1)>", article)]
+        import html
+
+        expected = [" ".join(html.unescape(b).split()) for b in blocks]
+        assert r[4] == "\n\n".join(b for b in expected if b)
+
+
+# --- personal data
+
+RULES = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def rule_spans(text):
+    spans = []
+    for k, (kind, pattern) in enumerate(RULES):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card":
+                doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+                if not 12 <= len(digits) <= 19 or sum(d - 9 * (d > 9) for d in doubled) % 10:
+                    continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            spans.append((m.start(), k, m.end()))
+    return [(RULES[k][0], s, e) for s, k, e in sorted(spans)]
+
+
+PERSONAL = [
+    "a@b.com_x@d.e 1.2.3.4.5.6.7.8 300.1.1.1 001.02.255.0 +1 234 567 8901 4465758382889437",
+    "é日 +12 (345) 678-90-12 x@y.z, 4465 7583 8288 9437; 4465-7583-8288-9438",
+    "1.2.3.4 " * 700, "+1 " * 500, "9" * 20_000, "+1 (555) 555-0199 " * 300, "x@y.zz " * 600,
+    'token = "0123456789abcdef0123456789abcdef" and password: hunter2hunter2hunter2', "call 555-123-4567 or 12345",
+]
+
+
+def test_personal_data(spark):
+    texts = ODD_TEXTS + PERSONAL
+    docs = documents(spark, texts, extra=True)
+    found = pii.personal_data(docs).collect()
+    assert len(found) == len(texts) + 3
+    for r in found:
+        text = "no id" if r["doc_id"] is None else texts[r["doc_id"]] or ""
+        spans = rule_spans(text)
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), text[:60]
+        assert [r[f"n_{k}"] for k, _ in RULES] == [sum(s[0] == k for s in spans) for k, _ in RULES]
+        every = set(r["spans"].split(",")) if r["spans"] else set()
+        assert {f"{k}:{s}:{e}" for k, s, e in spans} <= every
+    assert pii.personal_data(empty(spark)).count() == 0
+
+
+def test_model_adds_what_looks_alike(spark, sf_dir):
+    # The smallest table has too few candidates to learn from.
+    docs = read(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents")
+    hidden = spark.createDataFrame([(-1, 'the token = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567" of', "en", "s", 1)], SCHEMA)
+    spans = pii.personal_data(docs.union(hidden)).where("doc_id = -1").first()["spans"]
+    assert spans == "secret:13:53"
+
+
+def test_redact(spark):
+    texts = ["mail x@y.zz now", "ip 1.2.3.4, é +1 (555) 555-0199.", "nothing", None, "x@y.zz", "a@b.cc1.2.3.4"]
+    docs = documents(spark, texts, extra=True)
+    rows = pii.redact(docs)
+    assert rows.columns == docs.columns and rows.count() == len(texts) + 3
+    assert {r["doc_id"]: r["text"] for r in rows.collect()} == {
+        0: "mail [EMAIL] now", 1: "ip [IP], é [PHONE].", 2: "nothing", 3: None, 4: "[EMAIL]", 5: "[EMAIL]", None: "no id",
+    }
+
+
+# --- near-duplicates
+
+
+def test_labelled_kmers_and_similarity():
+    settings = order_minhash.Settings()
+
+    def hashes(text):
+        return order_minhash.word_hashes(order_minhash.normal_words(text))
+
+    def brute(a, b):
+        from collections import Counter
+
+        def kmers(words):
+            size = min(5, len(words))
+            seen, out = Counter(), []
+            for i in range(len(words) - size + 1):
+                k = tuple(words[i : i + size])
+                out.append((k, seen[k]))
+                seen[k] += 1
+            return out
+
+        x, y = kmers(order_minhash.normal_words(a)), kmers(order_minhash.normal_words(b))
+        best = [0] * (len(y) + 1)
+        for p in x:
+            last = 0
+            for j, q in enumerate(y, 1):
+                last, best[j] = best[j], max(best[j], best[j - 1], last + (p == q))
+        return best[-1] / (len(x) + len(y) - best[-1])
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(30)]
+    above = 0
+    for _ in range(300):
+        a = [rng.choice(vocabulary) for _ in range(rng.randint(1, 150))] * rng.choice([1, 1, 2])
+        b = list(a)
+        for _ in range(rng.choice([0, 1, 2, 4, 30])):
+            b.insert(rng.randrange(len(b) + 1), rng.choice(vocabulary))
+        if rng.random() < 0.2:
+            b = b[len(b) // 9 :] + b[: len(b) // 9]
+        expected = brute(" ".join(a), " ".join(b))
+        found = order_minhash.similarity(hashes(" ".join(a)), hashes(" ".join(b)), settings)
+        assert (found >= 0.8) == (expected >= 0.8)
+        if expected >= 0.8:
+            above += 1
+            assert found == pytest.approx(expected)
+    assert above > 50
+
+
+def copies(rng, base, edits):
+    words = base.split()
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_near_duplicates_equal_brute_force(spark, sf_dir):
+    rng = random.Random(8)
+    bases = [" ".join(f"t{rng.randrange(500)}" for _ in range(rng.randint(90, 200))) for _ in range(6)]
+    # A large group whose members are linked with some others only, exact copies, and short and odd texts.
+    texts = [copies(rng, bases[0], rng.randint(0, 4)) for _ in range(120)]
+    texts += [copies(rng, b, rng.randint(0, 3)) for b in bases for _ in range(8)]
+    texts += [bases[1].upper().replace(" ", ",  ")] * 30 + ["a b c", "A  b, c", "a b", "!!", "!!", "??", None, "", " "]
+    texts += [r["text"] for r in read(spark, sf_dir, "documents").orderBy("doc_id").limit(60).collect()]
+    docs = documents(spark, texts, extra=True)
+    settings = order_minhash.Settings()
+    rows = order_minhash.near_duplicates(docs, settings).collect()
+    assert len(rows) == len(texts) + 3
+    all_texts = {r["doc_id"]: r["text"] or "" for r in docs.where("doc_id IS NOT NULL").collect()}
+    words = {i: order_minhash.normal_words(t) for i, t in all_texts.items()}
+    parent = {i: i for i in words}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(words)
+    for i in ids:
+        for j in ids:
+            if i >= j or root(i) == root(j):
+                continue
+            if words[i] and words[j]:
+                hashes = [order_minhash.word_hashes(words[x]) for x in (i, j)]
+                linked = order_minhash.similarity(*hashes, settings) >= 0.8
+            else:
+                linked = words[i] == words[j] and all_texts[i].split() == all_texts[j].split()
+            if linked:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert {r["doc_id"]: r["class_id"] for r in rows if r["doc_id"] is not None} == {i: root(i) for i in ids}
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r["class_id"]] += 1
+    assert all(r["class_size"] == sizes[r["class_id"]] for r in rows)
+    left = order_minhash.deduplicated(docs, settings)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted({r["class_id"] for r in rows}, key=str)
+
+
+def test_near_duplicates_without_ids_or_rows(spark):
+    assert order_minhash.near_duplicates(empty(spark)).count() == 0
+    assert order_minhash.deduplicated(empty(spark)).count() == 0
+    same = spark.createDataFrame([(None, "one two three four five six", "en", "s", 1)] * 5, SCHEMA)
+    assert order_minhash.deduplicated(same).count() == 1
+    assert {tuple(r) for r in order_minhash.near_duplicates(same).collect()} == {(None, None, 5, True)}
+
+
+# --- languages
+
+
+def test_languages(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    odd = documents(spark, ODD_TEXTS, extra=False).withColumn("doc_id", F.col("doc_id") + 10_000)
+    rows = language_id.predictions(docs.union(odd)).collect()
+    assert len(rows) == docs.count() + len(ODD_TEXTS) + 3
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows if r["doc_id"] is not None)
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    for r in rows:
+        if r["doc_id"] is not None and r["doc_id"] >= 10_000:
+            text = ODD_TEXTS[r["doc_id"] - 10_000] or ""
+            assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in text))
+    assert any(r["doc_id"] is None and not r["held_out"] for r in rows)
+
+
+def test_language_is_learned_from_the_text_alone(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    first = {r["doc_id"]: r["lang_pred"] for r in language_id.predictions(docs).collect()}
+    hidden = docs.withColumn("lang", F.when(language_id.held_out(), F.lit("xx")).otherwise(F.col("lang")))
+    again = {r["doc_id"]: r["lang_pred"] for r in language_id.predictions(hidden.withColumn("source", F.lit("z"))).collect()}
+    assert first == again
+
+
+def test_no_labels_no_language(spark):
+    docs = documents(spark, ODD_TEXTS, extra=True).withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in language_id.predictions(docs).collect()} == {"und"}
+    assert language_id.accepted(docs).count() == 0
+    assert language_id.predictions(empty(spark)).count() == 0
+
+
+def test_accepted_keeps_columns(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").withColumn("_language", F.lit(1))
+    rows = language_id.accepted(docs)
+    assert rows.columns == docs.columns and rows.count() >= 0.98 * docs.where("text rlike '[a-z]'").count()
+
+
+def test_grams_do_not_depend_on_blocks():
+    import numpy as np
+
+    settings = language_id.Settings()
+    text = "Ein längerer Text, with 3 words more. " * 20
+    whole = sorted(np.concatenate(list(language_id.grams(text, settings))).tolist())
+    for block in (7, 64, 701):
+        assert sorted(np.concatenate(list(language_id.grams(text, settings, block))).tolist()) == whole
