@@ -37,15 +37,9 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its ids, the number of them, and the text they decode to."""
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    ids = docs.select("doc_id", "lang", "source", sentence_pieces.encoded("text", path).alias("ids"))
-    return ids.select(
-        "doc_id",
-        "lang",
-        "source",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        sentence_pieces.decoded("ids", path).alias("text"),
+    made = sentence_pieces.encoded_and_decoded("text", public_tokenizers.path("piece_bpe_32k.model"))
+    return docs.select("doc_id", "lang", "source", made.alias("made")).select(
+        "doc_id", "lang", "source", F.size("made.ids").cast("long").alias("n_tokens"), "made.*"
     )
 
 

@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ from propense.llm.tables import texts_of
 
 # Words and pairs a worker remembers. Words are kept for two generations of this size: one that
 # is met again moves to the newer one.
-WORDS_KEPT = 300_000
-PAIRS_KEPT = 1_000_000
+WORDS_KEPT = 150_000
+PAIRS_KEPT = 500_000
 # Longer words pass through the table each time instead of filling the cache.
 WORD_KEPT_CHARS = 64
 
@@ -256,6 +257,27 @@ def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def id_lists(texts: list[str]) -> pa.ListArray:
+    """Lists of ids from their text forms, without a Python number for each."""
+    arrays = [np.fromstring(t, np.int32, sep=" ") for t in texts]
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *arrays]))
+
+
+def encoded_and_decoded(text: Column | str, path: str) -> Column:
+    """Column struct<ids, text> of a text's ids, the end id last, and what they decode to, in one pass."""
+
+    @arrow_udf("struct<ids:array<int>,text:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = pieces_of(path)
+        for batch in batches:
+            ids = [pieces.encode_text(t) for t in texts_of(batch)]
+            back = pa.array((pieces.decode(list(map(int, i.split(" ")))) for i in ids), pa.string())
+            yield pa.StructArray.from_arrays([id_lists(ids), back], names=["ids", "text"])
+
+    return both(text)
+
+
 def encoded(text: Column | str, path: str) -> Column:
     """Column of the ids of a text, the end id last, as an array; a null text is encoded as an empty one."""
 
@@ -263,7 +285,7 @@ def encoded(text: Column | str, path: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = pieces_of(path)
         for batch in batches:
-            yield pa.array((pieces.encode(t) for t in texts_of(batch)), pa.list_(pa.int32()))
+            yield id_lists([pieces.encode_text(t) for t in texts_of(batch)])
 
     return encode(text)
 
