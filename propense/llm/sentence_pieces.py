@@ -31,7 +31,7 @@ from propense.llm.tables import texts_of
 
 # Words and pairs a worker remembers. Words are kept for two generations of this size: one that
 # is met again moves to the newer one.
-WORDS_KEPT = 150_000
+WORDS_KEPT = 250_000
 PAIRS_KEPT = 500_000
 # Longer words pass through the table each time instead of filling the cache.
 WORD_KEPT_CHARS = 64
@@ -86,6 +86,7 @@ class Pieces:
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
+        self.joins: dict[int, tuple[str, str] | None] = {}
         self.words: dict[str, str] = {}
         self.older_words: dict[str, str] = {}
         self.space_runs: dict[int, list[int]] = {}
@@ -99,8 +100,11 @@ class Pieces:
         self.surface[self.unknown] = self.unknown_text
         self.partial = frozenset(i for b, i in self.bytes.items() if b >= 0x80)
 
-    def joined(self, symbols: list[str]) -> list[str]:
-        """Join neighbours by score, the leftmost first among equals: what defines the model."""
+    def joined(self, symbols: list[str], whole: str | None = None) -> list[str]:
+        """Join neighbours by score, the leftmost first among equals: what defines the model.
+
+        The join that would make `whole` is left out.
+        """
         after = list(range(1, len(symbols))) + [-1]
         before = list(range(-1, len(symbols) - 1))
         heap = []
@@ -113,7 +117,7 @@ class Pieces:
             offer(left, left + 1)
         while heap:
             _, left, right, a, b = heapq.heappop(heap)
-            if symbols[left] != a or symbols[right] != b or after[left] != right:
+            if symbols[left] != a or symbols[right] != b or after[left] != right or a + b == whole:
                 continue
             symbols[left], symbols[right] = a + b, ""
             after[left] = after[right]
@@ -127,15 +131,41 @@ class Pieces:
         """Whether the characters of two tokens, one behind the other, encode to just these two.
 
         At a word's beginning `first` is the number behind the last id: then
-        `second` must encode to itself.
+        `second` must encode to itself. Otherwise the joins that made the two
+        are undone, the latest first: at no point may the pieces that meet at
+        the border join before the one just undone. Among equals the left one
+        comes first.
         """
-        pair = [self.pieces[i] for i in (first, second) if i < len(self.pieces)]
-        known = self.joined(list("".join(pair))) == pair
+        known = self.made(second) is not None
+        if known and first < len(self.pieces):
+            a, b, limit, equal = self.pieces[first], self.pieces[second], float("-inf"), False
+            while True:
+                score = self.score.get(a + b)
+                if score is not None and (score > limit or (equal and score == limit)):
+                    known = False
+                    break
+                score_a, score_b = self.score[a], self.score[b]
+                if len(a) > 1 and (len(b) == 1 or score_a < score_b):
+                    a, limit, equal = self.made(self.ids[a])[1], score_a, False
+                elif len(b) > 1:
+                    b, limit, equal = self.made(self.ids[b])[0], score_b, True
+                else:
+                    break
         if len(self.pairs) >= PAIRS_KEPT:
             self.pairs.clear()
         self.pairs[first << 32 | second] = known
         return known
 
+    def made(self, token: int) -> tuple[str, str] | None:
+        """The two pieces whose join makes a token, "" and itself for a character; None if its characters do not make it."""
+        if token not in self.joins:
+            piece = self.pieces[token]
+            parts = ["", piece]
+            if len(piece) > 1:
+                parts = self.joined(list(piece), whole=piece)
+            self.joins[token] = tuple(parts) if len(parts) == 2 and "".join(parts) == piece else None
+        return self.joins[token]
+
     def table(self, word: str) -> list[int]:
         """Ids of characters of the vocabulary, by the last token of every prefix."""
         pairs = self.pairs
