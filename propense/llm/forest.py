@@ -6,6 +6,10 @@ nearest open branch of any tree first, until the leaves it has reached hold
 enough rows, and its candidates there are ranked exactly. How many rows are
 enough is measured on the sample, against brute force.
 
+Rows of the sample that lie in the leaves a query reads are candidates of it, so
+the last of the best among them is a floor: a leaf sends no row below it. This
+changes no result, only how many rows the leaves of a query send.
+
 The inner product is turned into a distance by one more component that gives
 all rows the same length, so that the trees fit it as well.
 """
@@ -34,7 +38,8 @@ class Settings:
     The trees are grown on at most `sample` rows and have leaves of about
     `leaf` rows, but at most 2 ** `depth` leaves. `tests` rows of the sample
     are queries that measure how much of the forest must be read for `recall`.
-    A task ranks at most about `block` rows against as many queries.
+    A task ranks at most about `block` rows against as many queries. Floors come
+    from as much of the sample as fits `floor_bytes`, which every task holds.
     """
 
     neighbours: int = 20
@@ -45,6 +50,7 @@ class Settings:
     tests: int = 256
     recall: float = 0.96
     block: int = 4096
+    floor_bytes: int = 1 << 26
     seed: int = 5
 
 
@@ -143,10 +149,35 @@ class Forest:
         return float(np.quantile(needed, settings.recall)) / (len(sample) * len(self.trees)) if needed else 1.0
 
 
-def best_of(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, wanted: int):
-    """Per query the `wanted` rows of largest inner product but its own, ties to smaller ids: (query, id, score) arrays."""
+class Floors:
+    """Rows of the sample, one per id, and their leaves."""
+
+    def __init__(self, forest: Forest, ids: np.ndarray, sample: np.ndarray, settings: Settings):
+        once = np.sort(np.unique(ids, return_index=True)[1])[: settings.floor_bytes // (8 * sample.shape[1])]
+        self.ids, self.rows = ids[once], sample[once]
+        self.places = forest.leaves(self.rows)
+        self.norm, self.wanted = forest.norm, settings.neighbours
+
+    def of(self, query_id: int, query: np.ndarray, visited: list[tuple[int, int]]) -> float:
+        """A score that `wanted` rows in the visited leaves reach, other than the query's own, less what rounding may shift."""
+        met = np.zeros(len(self.ids), bool)
+        for tree in range(self.places.shape[1]):
+            met |= np.isin(self.places[:, tree], [leaf for t, leaf in visited if t == tree])
+        scores = self.rows[met & (self.ids != query_id)] @ query
+        if len(scores) < self.wanted:
+            return -math.inf
+        return float(np.partition(scores, -self.wanted)[-self.wanted]) - 1e-11 * self.norm * float(np.linalg.norm(query))
+
+
+def best_of(
+    ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, wanted: int
+):
+    """Per query the `wanted` rows of largest inner product but its own, ties to smaller ids: (query, id, score) arrays.
+
+    Rows below the query's floor are left out.
+    """
     close = queries @ rows.T
-    close[query_ids[:, None] == ids[None, :]] = -np.inf
+    close[(query_ids[:, None] == ids[None, :]) | (close < floors[:, None])] = -np.inf
     out = ([], [], [])
     for k in range(len(query_ids)):
         line = close[k]
@@ -161,19 +192,19 @@ def best_of(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: n
     return [np.concatenate(o) if o else np.array([]) for o in out]
 
 
-def fit(rows: DataFrame, settings: Settings) -> tuple[Forest, float] | None:
-    """A forest on a bounded sample of the rows, drawn by a hash, and the share of it a query reads."""
+def fit(rows: DataFrame, settings: Settings) -> tuple[Forest, Floors, float] | None:
+    """A forest on a bounded sample of the rows, drawn by a hash, floors from it, and the share of it a query reads."""
     squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x)
     total, norm = rows.agg(F.count("*"), F.max(F.sqrt(squares))).first()
     if not total:
         return None
     draw = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 30))
     share = min(1 << 30, math.ceil((1 << 30) * 1.1 * settings.sample / total))
-    drawn = rows.where(draw < share).orderBy(draw, "vec_id").limit(settings.sample).select("vector").toArrow()
+    drawn = rows.where(draw < share).orderBy(draw, "vec_id").limit(settings.sample).select("vec_id", "vector").toArrow()
     sample = matrix(drawn["vector"])
     depth = min(settings.depth, max(0, math.ceil(math.log2(max(1, total / settings.leaf)))))
     forest = Forest(sample, norm, depth, settings)
-    return forest, forest.enough(sample, settings)
+    return forest, Floors(forest, drawn["vec_id"].to_numpy(), sample, settings), forest.enough(sample, settings)
 
 
 def nearest(vectors: DataFrame, is_query, settings: Settings = Settings()) -> DataFrame:
@@ -195,42 +226,47 @@ def nearest(vectors: DataFrame, is_query, settings: Settings = Settings()) -> Da
     schema = "query_id long, rank int, vec_id long, score double"
     if fitted is None:
         return spark.createDataFrame([], schema)
-    forest, share = fitted
+    forest, floors, share = fitted
     sent = spark.sparkContext.broadcast(forest)
+    under = spark.sparkContext.broadcast(floors)
 
     @arrow_udf("array<int>")
     def leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array(list(sent.value.leaves(matrix(batch))) if len(batch) else [], pa.list_(pa.int32()))
 
-    placed = rows.select("vec_id", "vector", F.posexplode(leaves("vector")).alias("tree", "leaf"))
+    placed = stage(rows.select("vec_id", "vector", leaves("vector").alias("leaves")), "ann_rows")
+    placed = placed.select("vec_id", "vector", F.posexplode("leaves").alias("tree", "leaf"))
     # One number per leaf: at most trees * 2 ** depth.
     counts = {(r["tree"], r["leaf"]): r["count"] for r in placed.groupBy("tree", "leaf").count().collect()}
     budget = share * sum(counts.values())
     sizes = spark.sparkContext.broadcast(counts)
     least = settings.neighbours + 1
 
-    @arrow_udf("array<struct<tree:int,leaf:int>>")
-    def visits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+    @arrow_udf("struct<floor:double,leaves:array<struct<tree:int,leaf:int>>>")
+    def visits(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, vectors in batches:
             out = []
-            for query in matrix(batch) if len(batch) else ():
+            for query_id, query in zip(ids.to_pylist(), matrix(vectors), strict=True):
                 read, met = 0, []
                 per_tree = [0] * len(sent.value.trees)
                 for tree, leaf in sent.value.walk(query):
                     rows_there = sizes.value.get((tree, leaf), 0)
                     if rows_there:
-                        met.append({"tree": tree, "leaf": leaf})
+                        met.append((tree, leaf))
                         read += rows_there
                         per_tree[tree] += rows_there
                     # One tree alone must hold enough different rows.
                     if read >= budget and max(per_tree) >= least:
                         break
-                out.append(met)
-            yield pa.array(out, pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int32())])))
-
-    asked = stage(rows.where(is_query).select("vec_id", "vector", visits("vector").alias("visits")), "ann_queries")
-    walked = asked.select("vec_id", "vector", F.explode("visits").alias("v")).select("vec_id", "vector", "v.*")
+                leaves_met = [{"tree": tree, "leaf": leaf} for tree, leaf in met]
+                out.append({"floor": under.value.of(query_id, query, met), "leaves": leaves_met})
+            kind = pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int32())]))
+            yield pa.array(out, pa.struct([("floor", pa.float64()), ("leaves", kind)]))
+
+    asked = rows.where(is_query).select("vec_id", "vector", visits("vec_id", "vector").alias("visits"))
+    asked = stage(asked.select("vec_id", "vector", "visits.*"), "ann_queries")
+    walked = asked.select("vec_id", "vector", "floor", F.explode("leaves").alias("v")).select("vec_id", "vector", "floor", "v.*")
     wanted = {(r["tree"], r["leaf"]): r["count"] for r in walked.groupBy("tree", "leaf").count().collect()}
     # Blocks of a leaf's rows and of its queries: every block of the one meets every block of the other.
     grid = [
@@ -242,9 +278,9 @@ def nearest(vectors: DataFrame, is_query, settings: Settings = Settings()) -> Da
     def dealt(side: int, own: str, other: str):
         block = F.pmod(F.xxhash64("vec_id", "vector"), F.col(f"{own}_blocks")).cast("int").alias(f"{own}_block")
         others = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
-        return [F.lit(side).alias("side"), "tree", "leaf", "vec_id", "vector", block, others]
+        return [F.lit(side).alias("side"), "tree", "leaf", "vec_id", "vector", "floor", block, others]
 
-    met = placed.join(grid, ["tree", "leaf"]).select(*dealt(0, "row", "query")).unionByName(
+    met = placed.withColumn("floor", F.lit(None).cast("double")).join(grid, ["tree", "leaf"]).select(*dealt(0, "row", "query")).unionByName(
         walked.join(grid, ["tree", "leaf"]).select(*dealt(1, "query", "row"))
     )
     neighbours = settings.neighbours
@@ -254,7 +290,12 @@ def nearest(vectors: DataFrame, is_query, settings: Settings = Settings()) -> Da
         some, asking = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
         if len(some) and len(asking):
             q, v, s = best_of(
-                some["vec_id"].to_numpy(), matrix(some["vector"]), asking["vec_id"].to_numpy(), matrix(asking["vector"]), neighbours
+                some["vec_id"].to_numpy(),
+                matrix(some["vector"]),
+                asking["vec_id"].to_numpy(),
+                matrix(asking["vector"]),
+                asking["floor"].to_numpy(),
+                neighbours,
             )
         else:
             q, v, s = [], [], []

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import duckdb
 import numpy as np
@@ -251,6 +252,9 @@ def test_forest_recall(spark, block):
     assert sum(s >= lowest[q] - 1e-9 for q, f in found.items() for _, s in f) >= 0.9 * 20 * len(expected)
     scores = {(q, i): s for q, e in expected.items() for i, s in e}
     assert all(scores.get((q, i), s) == s for q, f in found.items() for i, s in f)
+    # Floors leave out rows that are no result, nothing else.
+    without = forest.nearest(vectors, F.col("vec_id") % 20 == 0, replace(settings, floor_bytes=0))
+    assert {(r["query_id"], r["vec_id"], r["score"]) for r in without.collect()} == {(q, *f) for q, fs in found.items() for f in fs}
 
 
 # --- pipeline
