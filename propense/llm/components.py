@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from propense.operators.joins import lookup_join
 from propense.sources.staging import stage
 
 
@@ -41,8 +42,29 @@ def components(links: DataFrame) -> DataFrame:
     return stage(named.union(links.select("down", "down").distinct()), "components")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (`id`, `component`) that `components` has given, joined further by new links `a`, `b`.
+
+    Only links between components are followed, so the work of many rounds is
+    that of their new links, and none where there are none.
+    """
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        named = labels.toDF(end, "_named")
+        ends = lookup_join(ends, named, end).withColumn(end, F.coalesce("_named", end)).drop("_named")
+    ends = stage(ends.where("a != b").distinct(), "links")
+    if ends.isEmpty():
+        return labels
+    moved = components(ends)
+    left = lookup_join(labels, moved.toDF("component", "_moved"), "component")
+    fresh = moved.join(labels.select("id"), "id", "left_anti")
+    return stage(left.select("id", F.coalesce("_moved", "component").alias("component")).union(fresh), "components")
+
+
 def _stars(links: DataFrame) -> bool:
     """Whether every id has one smaller neighbour at most, and that has none."""
-    if not links.groupBy("up").count().where("count > 1").isEmpty():
-        return False
-    return links.select("up").join(links.select(F.col("down").alias("up")), "up", "left_semi").isEmpty()
+    ends = links.select(F.col("up").alias("id"), F.lit(1).alias("smaller"), F.lit(0).alias("larger")).union(
+        links.select("down", F.lit(0), F.lit(1))
+    )
+    counts = ends.groupBy("id").agg(F.sum("smaller").alias("smaller"), F.max("larger").alias("larger"))
+    return counts.where("smaller > 1 OR (smaller = 1 AND larger = 1)").isEmpty()

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from propense.llm.components import components
+from propense.llm.components import components, merged
 from propense.llm.tables import free_name, texts_of
 from propense.operators.joins import lookup_join
 from propense.sources.staging import stage
@@ -266,10 +266,6 @@ def _verified(pairs: DataFrame, words: DataFrame, settings: Settings) -> DataFra
     )
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return components(links).select(F.col("id").alias("digest"), "component")
-
-
 def linked_texts(docs: DataFrame, texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """`digest` and `component` of the different texts that have near-duplicates.
 
@@ -293,8 +289,7 @@ def linked_texts(docs: DataFrame, texts: DataFrame, settings: Settings = Setting
         .where(possible("pivot_", settings))
     )
     pairs = stage(pairs.select(F.col("digest").alias("a"), "pivot"), "omh_pairs")
-    links = stage(_verified(pairs, words, settings), "omh_links")
-    labels = _labels(links)
+    labels = components(_verified(pairs, words, settings))
     used = members.select("sketch", "pivot").distinct()
     tested = pairs.select(F.least("a", "pivot").alias("low"), F.greatest("a", "pivot").alias("high"))
     # A pair that is not possible has been compared as well: by its marks.
@@ -302,9 +297,9 @@ def linked_texts(docs: DataFrame, texts: DataFrame, settings: Settings = Setting
     pivots = 1
     while True:
         pivots *= 16
-        members = _open(members.drop("component"), labels, used)
+        members = _open(members.drop("component"), labels.withColumnRenamed("id", "digest"), used)
         if members.isEmpty():
-            return labels
+            return labels.withColumnRenamed("id", "digest")
         fresh = stage(
             members.join(used.withColumnRenamed("pivot", "digest"), ["sketch", "digest"], "left_anti")
             .groupBy("sketch", F.pmod(F.xxhash64("digest"), F.lit(pivots)).alias("slot"))
@@ -324,8 +319,7 @@ def linked_texts(docs: DataFrame, texts: DataFrame, settings: Settings = Setting
         if pairs.isEmpty():
             continue
         new = _verified(pairs.select(F.col("low").alias("a"), F.col("high").alias("pivot")), words, settings)
-        links = stage(links.union(new), "omh_links")
-        labels = _labels(links)
+        labels = merged(labels, stage(new, "omh_links"))
         tested = stage(tested.union(pairs), "omh_tested")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from propense.llm import embedding_dedup, forest, language_id, mixing, order_minhash, pii, sharding
-from propense.llm.components import components
+from propense.llm.components import components, merged
 from propense.llm.queries import MIXING_SQL, sharding_sql
 from propense.llm.tables import read
 
@@ -142,6 +142,11 @@ def test_components(spark):
     # An id that is linked with itself only has no link.
     assert found == {i: root(i) for i in parent if i in found} and len(found) >= len(parent) - 20
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    # In two goes: the second one's links join components, single ids, and what is joined already.
+    first = components(spark.createDataFrame(links[::2], "a long, b long"))
+    both = merged(first, spark.createDataFrame(links[1::2], "a long, b long"))
+    assert sorted((r["id"], r["component"]) for r in both.collect()) == sorted(found.items())
+    assert merged(both, spark.createDataFrame(links[:3], "a long, b long")) is both
 
 
 # --- vectors
