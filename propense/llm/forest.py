@@ -156,14 +156,17 @@ class Floors:
         once = np.sort(np.unique(ids, return_index=True)[1])[: settings.floor_bytes // (8 * sample.shape[1])]
         self.ids, self.rows = ids[once], sample[once]
         self.places = forest.leaves(self.rows)
+        self.leaves = 1 << forest.trees[0].depth
         self.norm, self.wanted = forest.norm, settings.neighbours
 
     def of(self, query_id: int, query: np.ndarray, visited: list[tuple[int, int]]) -> float:
         """A score that `wanted` rows in the visited leaves reach, other than the query's own, less what rounding may shift."""
         met = np.zeros(len(self.ids), bool)
         for tree in range(self.places.shape[1]):
-            met |= np.isin(self.places[:, tree], [leaf for t, leaf in visited if t == tree])
-        scores = self.rows[met & (self.ids != query_id)] @ query
+            read = np.zeros(self.leaves, bool)
+            read[[leaf for t, leaf in visited if t == tree]] = True
+            met |= read[self.places[:, tree]]
+        scores = (self.rows @ query)[met & (self.ids != query_id)]
         if len(scores) < self.wanted:
             return -math.inf
         return float(np.partition(scores, -self.wanted)[-self.wanted]) - 1e-11 * self.norm * float(np.linalg.norm(query))
