@@ -82,7 +82,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def labelled_kmers(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each k-mer and its occurrence, in text order; a shorter text is a single k-mer."""
+    """Hash of each k-mer and its occurrence, in text order; a shorter text is a single k-mer.
+
+    A k-mer's first occurrence has the same hash whether or not the text repeats any.
+    """
     size = max(1, min(size, len(hashes)))
     count = len(hashes) - size + 1
     kmers = np.full(count, size, np.uint64)
@@ -98,7 +101,7 @@ def labelled_kmers(hashes: np.ndarray, size: int) -> np.ndarray:
     first = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), places, 0))
     occurrence = np.empty(count, np.uint64)
     occurrence[order] = (places - first).astype(np.uint64)
-    return mixed(kmers + occurrence * ODD)
+    return np.where(occurrence > 0, mixed(kmers + occurrence * ODD), kmers)
 
 
 def sketches(kmers: np.ndarray, settings: Settings) -> np.ndarray:

@@ -341,6 +341,49 @@ def test_near_duplicates_equal_brute_force(spark, sf_dir):
     assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted({r["class_id"] for r in rows}, key=str)
 
 
+def test_near_copies_of_which_one_repeats_a_run(spark):
+    settings = order_minhash.Settings()
+    rng = random.Random(12)
+
+    def runs(words):
+        """The runs of five words as they stand, each with the number of the same ones before it."""
+        seen, out = defaultdict(int), []
+        for i in range(len(words) - 4):
+            run = tuple(words[i : i + 5])
+            out.append((run, seen[run]))
+            seen[run] += 1
+        return out
+
+    def brute(a, b):
+        x, y = runs(a), runs(b)
+        best = [0] * (len(y) + 1)
+        for p in x:
+            last = 0
+            for j, q in enumerate(y, 1):
+                last, best[j] = best[j], max(best[j], best[j - 1], last + (p == q))
+        return best[-1] / (len(x) + len(y) - best[-1])
+
+    for n in (40, 120, 300):
+        a = [f"n{n}x{i}" for i in range(n)]
+        place = rng.randrange(n - 10)
+        for b in (a + a[:8], a[: place + 6] + a[place:], a + a[:6] + ["end"] + a[:6]):
+            found = order_minhash.similarity(
+                *(order_minhash.word_hashes([w.encode() for w in words]) for words in (a, b)), settings
+            )
+            expected = brute(a, b)
+            assert (found >= 0.8) == (expected >= 0.8)
+            if expected >= 0.8:
+                assert found == pytest.approx(expected)
+    words = [f"w{i}" for i in range(300)]
+    assert brute(words, words + words[:10]) > 0.96
+    texts = [" ".join(words), " ".join(words + words[:10])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert {(r["doc_id"], r["class_id"], r["kept"]) for r in order_minhash.near_duplicates(docs).collect()} == {
+        (0, 0, True), (1, 0, False),
+    }
+    assert [r["doc_id"] for r in order_minhash.deduplicated(docs).collect()] == [0]
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     assert order_minhash.near_duplicates(empty(spark)).count() == 0
     assert order_minhash.deduplicated(empty(spark)).count() == 0
