@@ -26,7 +26,7 @@ from propense.llm.tables import texts_of
 WINDOW = 3
 
 # HTML's elements and the words sites use for what surrounds an article.
-RAW = "script|style|noscript|template|iframe|svg|math|object|textarea|select|title|canvas|audio|video"
+RAW = "script|style|noscript|template|iframe|svg|annotation-xml|annotation|object|textarea|select|title|canvas|audio|video"
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption"
     " figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup"
@@ -42,53 +42,144 @@ SURROUNDING_NAMES = re.compile(
     r"|related|recommend(?:ed|ations)?|widgets?|login|pagination|pager|toolbar|skip-?link)(?![a-z])",
     re.IGNORECASE,
 )
+# A name that says that its element has such a thing beside it, or none, is not the thing's own.
+MODIFIED = re.compile(r"(?<![a-z])(?:has|have|no|non|not|with|without)(?![a-z])", re.IGNORECASE)
+COMMENT_NAMES = re.compile(r"(?<![a-z])(?:comments?|commentlist|respond|replies|disqus)(?![a-z])", re.IGNORECASE)
+# Headings that a story's sections are named after.
+SECTION_NAMES = frozenset("discussion recommendation recommendations consent notice notices navigation".split())
 SURROUNDING_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<svg(?=[\s/])(?:[^<>\"'/]|/(?!>)|\"[^\"<]*\"|'[^'<]*')*+/>"
     rf"|<(?P<raw>{RAW})(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*)(?P<rest>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/<>]*)(?P<rest2>[^<>]*+)>"
     r"|<[!?][^<>]*+>",
     re.IGNORECASE | re.DOTALL,
 )
+STORY = re.compile(r"<(?:article|main)(?=[\s/>])", re.IGNORECASE)
 NAMED = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-z]+)", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 
 
-def surrounds(tag: str, rest: str, in_story: bool) -> bool:
-    """Whether an element holds something other than the article."""
+def names_of(rest: str) -> list[str]:
+    """The classes and the id of an element that name something around an article."""
+    names = [name for found in NAMED.findall(rest) for value in found for name in value.split()]
+    return [name for name in names if SURROUNDING_NAMES.search(name) and not MODIFIED.search(name)]
+
+
+def surrounds_by_kind(tag: str, rest: str, in_story: bool) -> bool:
+    """Whether an element's tag or attributes other than its names say that it holds something other than the article."""
     if tag in SURROUNDINGS:
         # A story's own header holds its title.
         return not (in_story and tag == "header")
     if not rest or tag in ("html", "body", "main"):
         return False
-    if HIDDEN.search(rest) or ((role := ROLE.search(rest)) and role[1].lower() in SURROUNDING_ROLES):
-        return True
-    names = [name for found in NAMED.findall(rest) for name in found if name]
-    return any(SURROUNDING_NAMES.search(name) for name in names)
+    return bool(HIDDEN.search(rest) or ((role := ROLE.search(rest)) and role[1].lower() in SURROUNDING_ROLES))
+
+
+def surrounds_by_name(tag: str, rest: str, in_story: bool) -> bool:
+    """Whether an element's names say that it holds something other than the article; an article's only if it is a comment."""
+    if not rest or tag in ("html", "body", "main"):
+        return False
+    names = names_of(rest)
+    if tag == "article":
+        return any(COMMENT_NAMES.search(name) for name in names)
+    if tag == "section" and in_story:
+        names = [name for name in names if name.lower() not in SECTION_NAMES]
+    return bool(names)
+
+
+def story_holders(page: str) -> frozenset[int]:
+    """The numbers of the containers that hold the page's story although they are named or formed like surroundings.
+
+    Such a story is the longest article or main element in one of them, and is
+    longer than all the text outside surroundings. Comments hold the story only
+    of a page that has no other text.
+    """
+    # Open containers: tag, whether it surrounds by kind, by name, and as comments, whether it counts as a story,
+    # and the numbers of the named containers around it, as pairs of a number and the further ones.
+    open_tags: list[tuple[str, bool, bool, bool, bool, tuple | None]] = []
+    stories: list[int] = []  # places of the open stories in `lengths`
+    lengths: list[int] = []
+    found: list[tuple[tuple | None, bool]] = []
+    kinds = named = commented = outside = number = 0
+    links = 0
+    place = 0
+    for token in TOKEN.finditer(page):
+        if not kinds and token.start() > place:
+            size = len(page[place : token.start()].strip())
+            if stories:
+                lengths[stories[-1]] += size
+            if not named and not links:
+                outside += size
+        place = token.end()
+        tag = (token["tag"] or token["tag2"] or "").lower()
+        if tag == "a":
+            links = 0 if token["end"] or token["end2"] else 1
+        if tag == "p" or tag == "li":
+            links = 0
+        if tag not in CONTAINERS:
+            continue
+        rest = token["rest"] or token["rest2"] or ""
+        if token["end"] or token["end2"]:
+            places = [i for i, one in enumerate(open_tags) if one[0] == tag]
+            if places:
+                for _, kind, by_name, comment, story, _ in open_tags[places[-1] :]:
+                    kinds, named, commented = kinds - kind, named - by_name, commented - comment
+                    if story:
+                        stories.pop()
+                del open_tags[places[-1] :]
+        elif not rest.endswith("/"):
+            number += 1
+            in_story = bool(stories)
+            kind = tag != "form" and surrounds_by_kind(tag, rest, in_story)
+            by_name = tag == "form" or surrounds_by_name(tag, rest, in_story)
+            comment = by_name and any(COMMENT_NAMES.search(name) for name in names_of(rest))
+            around = open_tags[-1][-1] if open_tags else None
+            if by_name:
+                around = (number, around)
+            story = tag in STORIES and not kinds and not kind
+            if story:
+                stories.append(len(lengths))
+                lengths.append(0)
+                found.append((around, bool(commented) or comment))
+            open_tags.append((tag, kind, by_name, comment, story, around))
+            kinds, named, commented = kinds + kind, named + by_name, commented + comment
+    best, around = outside, None
+    for length, (containers, comment) in zip(lengths, found, strict=True):
+        if length > best and containers and not (comment and outside):
+            best, around = length, containers
+    holders = set()
+    while around:
+        number, around = around
+        holders.add(number)
+    return frozenset(holders)
 
 
-def lines_of(page: str) -> Iterator[tuple[str, int, bool]]:
-    """The page's lines in order: a block's text, its weight, and whether it stands in a story; ("", 0, _) when empty.
+def lines_of(page: str) -> Iterator[tuple[str, int, bool, int]]:
+    """The page's lines in order: a block's text, its weight, whether it stands in a story, and the number of its container.
 
     The weight is the length; a block of links alone has none outside a story.
-    A story's begin and end give a window of empty lines, surroundings one; any
-    number of them in a row inside a story count as one.
+    A story's begin and end give a window of empty lines, ("", 0, _, _), any
+    number of surroundings in a row a single one inside a story. A container that holds the
+    page's story is none of the surroundings.
     """
     held: list[str] = []
     linked = length = 0
-    open_tags: list[tuple[str, bool]] = []  # containers that are open, and whether each holds surroundings
-    inside = stories = links = 0
+    holders: frozenset[int] | None = None if STORY.search(page) else frozenset()
+    open_tags: list[tuple[str, bool, int]] = []  # containers that are open, whether each holds surroundings, their numbers
+    inside = stories = links = number = 0
     empty = False
 
-    def line() -> Iterator[tuple[str, int, bool]]:
+    def line() -> Iterator[tuple[str, int, bool, int]]:
         nonlocal linked, length, empty
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                yield text, len(text) if stories or length > linked else 0, stories > 0
+                yield text, len(text) if stories or length > linked else 0, stories > 0, open_tags[-1][2] if open_tags else 0
                 empty = False
             held.clear()
         linked = length = 0
@@ -120,24 +211,29 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool]]:
             if tag not in CONTAINERS:
                 continue
             if ends:
-                places = [i for i, (name, _) in enumerate(open_tags) if name == tag]
+                places = [i for i, (name, _, _) in enumerate(open_tags) if name == tag]
                 if places:
-                    for name, aside in open_tags[places[-1] :]:
+                    for name, aside, _ in open_tags[places[-1] :]:
                         inside -= aside
                         if name in STORIES and inside == 0:
                             stories -= 1
                             if stories == 0:
-                                yield from [("", 0, False)] * WINDOW
+                                yield from [("", 0, False, 0)] * WINDOW
                     del open_tags[places[-1] :]
             elif not rest.endswith("/"):
-                aside = surrounds(tag, rest, stories > 0)
+                number += 1
+                aside = surrounds_by_kind(tag, rest, stories > 0) or surrounds_by_name(tag, rest, stories > 0)
+                if aside and inside == 0:
+                    if holders is None:
+                        holders = story_holders(page)
+                    aside = number not in holders
                 if aside and inside == 0 and not (stories and empty):
-                    yield "", 0, stories > 0
+                    yield "", 0, stories > 0, 0
                     empty = True
-                open_tags.append((tag, aside))
+                open_tags.append((tag, aside, number))
                 if tag in STORIES and inside == 0 and not aside:
                     if stories == 0:
-                        yield from [("", 0, False)] * WINDOW
+                        yield from [("", 0, False, 0)] * WINDOW
                     stories += 1
                 inside += aside
     if inside == 0 and place < len(page):
@@ -152,15 +248,15 @@ def main_blocks(page: str, window: int = WINDOW) -> list[str]:
     Runs in a story come before all others, whatever their weight.
     """
     lines = list(lines_of(page))
-    lengths = np.array([0] * window + [n for _, n, _ in lines] + [0] * window, dtype=np.int64)
+    lengths = np.array([0] * window + [n for _, n, _, _ in lines] + [0] * window, dtype=np.int64)
     sums = np.convolve(lengths, np.ones(window, np.int64), "valid")  # of the lines from i to i + window - 1
     full = sums > 0
     # The run's own lines begin where the window reaches the first and end where it leaves the last.
     surges = np.flatnonzero(full[1:] & ~full[:-1])
     dives = np.flatnonzero(full[:-1] & ~full[1:]) + 1 - window
     runs = [lines[first:end] for first, end in zip(surges, dives, strict=True)]
-    best = max(runs, key=lambda run: (any(s and n for _, n, s in run), sum(n for _, n, _ in run)), default=[])
-    return [text for text, _, _ in best if text]
+    best = max(runs, key=lambda run: (any(s and n for _, n, s, _ in run), sum(n for _, n, _, _ in run)), default=[])
+    return [text for text, _, _, _ in best if text]
 
 
 def main_text(page: Column | str) -> Column:

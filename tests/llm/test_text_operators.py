@@ -150,11 +150,41 @@ def test_main_blocks(page):
     assert main_text.main_blocks(page) == PAGES[page]
 
 
+STORY = "A sentence of the story that is told here. " * 4
+LONG = "A reader has much to say about it. " * 30
+# What is named after surroundings, or stands in them, without being any.
+NAMED_PAGES = {
+    '<body><div class="has-sidebar"><article><p>a</p></article></div></body>': ["a"],
+    '<article class="post no-comments"><p>a</p></article>': ["a"],
+    '<article class="post sponsored"><p>a</p></article>': ["a"],
+    '<div id="content-with-sidebar"><p>a</p></div>': ["a"],
+    '<div class="widget"><div class="sidebar"><article><p>a</p></article></div></div><div class="sidebar">b</div>': ["a"],
+    '<form id="page"><main><p>a</p></main></form>': ["a"],
+    '<article><p>a</p><section id="discussion"><p>d</p></section></article>': ["a", "d"],
+    "<article><p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>\\x=2</annotation></math></p></article>": ["a x=2"],
+    '<article><p>a</p><svg width="1" title="/>"/><p>b</p><svg><path d="x"/>t</svg><p>c</p></article>': ["a", "b", "c"],
+    # Still surroundings.
+    f'<article><p>a</p></article><section class="comments"><article><p>{LONG}</p></article></section>': ["a"],
+    f'<div class="related"><article><p>b</p></article></div><div><p>{STORY}</p></div>': [STORY.strip()],
+    f'<article><p>a</p><div class="site-sidebar">{LONG}</div></article><div class="menu open">b</div>': ["a"],
+}
+
+
+@pytest.mark.parametrize("page", NAMED_PAGES)
+def test_names_of_containers(page):
+    assert main_text.main_blocks(page) == NAMED_PAGES[page]
+
+
 def test_hostile_pages_take_linear_time():
     for page in ("<a" * 200_000, "<p>" * 100_000, "<!--" * 100_000, "<a href='" * 50_000, "<div><b>" * 20_000):
         main_text.main_blocks(page)
 
 
+def test_hostile_stories_and_drawings_take_linear_time():
+    for page in ("<div class=ad><article>x" * 20_000, "<svg " * 100_000, "<svg a='/" * 50_000, "<main id=ad>" * 50_000):
+        main_text.main_blocks(page)
+
+
 def test_main_texts(spark, sf_dir):
     rows = [(1, "u", "<article>é<p>b</article>"), (None, None, None), (1, "u", ""), (1, "u", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(5))
