@@ -164,7 +164,7 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool, int]]:
 
     The weight is the length; a block of links alone has none outside a story.
     A story's begin and end give a window of empty lines, ("", 0, _, _), any
-    number of surroundings in a row a single one inside a story. A container that holds the
+    number of surroundings in a row a single one. A container that holds the
     page's story is none of the surroundings.
     """
     held: list[str] = []
@@ -227,7 +227,7 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool, int]]:
                     if holders is None:
                         holders = story_holders(page)
                     aside = number not in holders
-                if aside and inside == 0 and not (stories and empty):
+                if aside and inside == 0 and not empty:
                     yield "", 0, stories > 0, 0
                     empty = True
                 open_tags.append((tag, aside, number))
@@ -245,7 +245,8 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool, int]]:
 def main_blocks(page: str, window: int = WINDOW) -> list[str]:
     """The article's blocks: the text between the surge and the dive of the heaviest run of lines.
 
-    Runs in a story come before all others, whatever their weight.
+    Runs in a story come before all others, whatever their weight. Neighbouring
+    runs with blocks in the same container are parts of one.
     """
     lines = list(lines_of(page))
     lengths = np.array([0] * window + [n for _, n, _, _ in lines] + [0] * window, dtype=np.int64)
@@ -254,9 +255,23 @@ def main_blocks(page: str, window: int = WINDOW) -> list[str]:
     # The run's own lines begin where the window reaches the first and end where it leaves the last.
     surges = np.flatnonzero(full[1:] & ~full[:-1])
     dives = np.flatnonzero(full[:-1] & ~full[1:]) + 1 - window
-    runs = [lines[first:end] for first, end in zip(surges, dives, strict=True)]
-    best = max(runs, key=lambda run: (any(s and n for _, n, s, _ in run), sum(n for _, n, _, _ in run)), default=[])
-    return [text for text, _, _, _ in best if text]
+    runs: list[tuple[int, int]] = []
+    last: set[tuple[bool, int]] = set()
+    for first, end in zip(surges.tolist(), dives.tolist(), strict=True):
+        homes = {(s, home) for _, n, s, home in lines[first:end] if n}
+        if last & homes:
+            runs[-1] = (runs[-1][0], end)
+            last |= homes
+        else:
+            runs.append((first, end))
+            last = homes
+
+    def weight(run: tuple[int, int]) -> tuple[bool, int]:
+        own = lines[slice(*run)]
+        return any(s and n for _, n, s, _ in own), sum(n for _, n, _, _ in own)
+
+    best = max(runs, key=weight, default=(0, 0))
+    return [text for text, _, _, _ in lines[slice(*best)] if text]
 
 
 def main_text(page: Column | str) -> Column:

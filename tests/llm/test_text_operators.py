@@ -175,6 +175,25 @@ def test_names_of_containers(page):
     assert main_text.main_blocks(page) == NAMED_PAGES[page]
 
 
+ADS = "<div class='ad'>x</div><div class='share'>y</div><section class='related'>z</section>"
+LINKS = "<ul><li><a href='/1'>x</a></li><li><a href='/2'>y</a></li><li><a href='/3'>z</a></li></ul>"
+
+
+@pytest.mark.parametrize("wrapper", ("<article>{}</article>", "<div>{}</div>", "{}", "<div><section>{}</section></div>"))
+def test_inserts_do_not_cut_a_story(wrapper):
+    page = "<html><body><header>h</header><nav>n</nav>{}<footer>f</footer></body></html>"
+    story = "<h2>a</h2><p>b</p>" + ADS + "<p>c</p>" + LINKS + "<p>d</p>" + ADS * 2 + "<p>e</p>"
+    assert main_text.main_blocks(page.format(wrapper.format(story))) == ["a", "b", "c", "x", "y", "z", "d", "e"]
+    # Parts that each have a container of their own.
+    story = "".join(f"<div><p>{word}</p></div>{ADS}" for word in "abc")
+    assert main_text.main_blocks(page.format(wrapper.format(story))) == ["a", "b", "c"]
+
+
+def test_other_containers_are_no_part_of_a_story():
+    page = f"<div><p>{STORY}</p></div><div>{LINKS}</div><div><p>bottom</p></div>"
+    assert main_text.main_blocks(page) == [STORY.strip()]
+
+
 def test_hostile_pages_take_linear_time():
     for page in ("<a" * 200_000, "<p>" * 100_000, "<!--" * 100_000, "<a href='" * 50_000, "<div><b>" * 20_000):
         main_text.main_blocks(page)
