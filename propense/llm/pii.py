@@ -3,8 +3,9 @@
 Exact rules give the base spans. Beside them generators of high recall propose
 further spans, which may overlap; boosted trees judge their format and context,
 and a calibrated threshold selects those that are redacted as well. The trees
-learn from all candidates of the corpus: one that holds a base span is personal
-data, any other is not. They see candidates as small numbers, so that the whole
+learn from all candidates of the corpus: an address that holds a base span is
+personal data, a number if base spans cover all its digits, a secret if the word
+before it says so, any other is not. They see candidates as small numbers, so that the whole
 corpus comes down to a table of the different candidates and their counts.
 
 Everything about a text happens within its row: there is no shuffle of texts.
@@ -41,7 +42,9 @@ VALID_IP = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
 ADDRESS_LIKE = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|[\[(]at[\])])\x20?[A-Za-z0-9.-]++"
 NUMBER_LIKE = r"(?<![A-Za-z0-9+(])[+(]{0,2}[0-9](?:[\x20().-]{0,2}+[0-9]){4,}+(?![A-Za-z])"
 SECRET_LIKE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{20,}+"
-GENERATED = f"(?:{ADDRESS_LIKE})|(?:{SECRET_LIKE})|(?:{NUMBER_LIKE})"
+# What a number is as well, and a name that stands before a secret.
+NUMBER_ONLY = r"^[0-9](?:[().-]{0,2}+[0-9]){4,}+$"
+NAMED_SECRET = r"^([A-Za-z0-9_+/-]++=)(?=[^0-9]*+[0-9])[A-Za-z0-9_+/-][A-Za-z0-9_+/=-]{11,}+$"
 ADDED = ("address", "secret", "number")
 # Words before a span that say what it is, in the order of their numbers.
 CONTEXT = (
@@ -218,30 +221,85 @@ CANDIDATE = (
 )
 
 
+def _proposed(text: Column) -> Column:
+    """Array of the spans that each generator finds for itself; a secret behind a name and an equals sign begins there."""
+
+    def split(span: Column) -> Column:
+        def parts(name: Column) -> Column:
+            size = F.length(name)
+            value = F.struct(
+                (span["start"] + size).alias("start"),
+                span["end"].alias("end"),
+                F.substr(span["value"], size + 1, F.length(span["value"])).alias("value"),
+                F.substring(F.concat(span["before"], name), -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"),
+                span["behind"].alias("behind"),
+            )
+            # A name that could be a secret itself stays as well.
+            return (
+                F.when(size == 0, F.array(span)).when(name.rlike(f"^{SECRET_LIKE}"), F.array(span, value)).otherwise(F.array(value))
+            )
+
+        return _let(F.regexp_extract(span["value"], NAMED_SECRET, 1), parts)
+
+    secrets = F.filter(_matches(text, SECRET_LIKE), lambda span: ~span["value"].rlike(NUMBER_ONLY))
+    return F.concat(
+        F.when(text.rlike(r"@|[\[(]at[\])]"), _matches(text, ADDRESS_LIKE)).otherwise(_none(FOUND)),
+        F.flatten(F.transform(secrets, split)),
+        _matches(text, NUMBER_LIKE),
+    )
+
+
+def _beside(span: Column, base: Column) -> Column:
+    """Letters and digits of a span outside the base spans that it meets."""
+
+    def letters(first: Column, end: Column) -> Column:
+        part = F.substr(span["value"], first - span["start"] + 1, F.greatest(end - first, F.lit(0)))
+        return F.length(F.regexp_replace(part, r"[^\p{L}0-9]+", ""))
+
+    def passed(sum_: Column, b: Column) -> Column:
+        return F.struct(
+            F.greatest(sum_["reached"], F.least(b["end"], span["end"])).alias("reached"),
+            (sum_["count"] + letters(sum_["reached"], b["start"])).alias("count"),
+        )
+
+    start = F.struct(span["start"].alias("reached"), F.lit(0).alias("count"))
+    return F.aggregate(base, start, passed, lambda sum_: sum_["count"] + letters(sum_["reached"], span["end"]))
+
+
 def candidates(text: Column, base: Column) -> Column:
-    """Array of what the generators propose: start, end, number of the kind, features, and whether it holds a base span.
+    """Array of what the generators propose: start, end, number of the kind, features, label, and whether base spans cover it.
 
-    A secret's label is its context instead: no base kind covers secrets.
+    Candidates may overlap each other. An address is labelled by holding a base
+    span, a number by being covered by them but for signs between, a secret by
+    its context, as no base kind covers secrets.
     """
     text = F.coalesce(text, F.lit(""))
 
     def candidate(span: Column, base: Column) -> Column:
         value = span["value"]
         kind = F.when(value.rlike(r"@|[\[(]at[\])]"), 0).when(value.rlike("[A-Za-z]"), 1).otherwise(2)
-        holds = F.exists(base, lambda b: (b["start"] < span["end"]) & (b["end"] > span["start"]))
         features = F.struct(*[make(span).cast("int").alias(name) for name, make in FEATURES.items()])
-        return F.struct(
-            span["start"].alias("start"),
-            (kind + len(KINDS)).alias("kind"),
-            span["end"].alias("end"),
-            features.alias("x"),
-            F.when(kind == 1, F.lower(span["before"]).rlike(CONTEXT[0])).otherwise(holds).alias("label"),
-            holds.alias("known"),
-        )
+
+        def judged(met: Column) -> Column:
+            holds = F.size(met) > 0
+            covered = holds & (F.when(holds, _beside(span, met)).otherwise(1) == 0)
+            return F.struct(
+                span["start"].alias("start"),
+                (kind + len(KINDS)).alias("kind"),
+                span["end"].alias("end"),
+                features.alias("x"),
+                F.when(kind == 1, F.lower(span["before"]).rlike(CONTEXT[0]))
+                .when(kind == 0, holds)
+                .otherwise(covered)
+                .alias("label"),
+                covered.alias("known"),
+            )
+
+        return _let(F.filter(base, lambda b: (b["start"] < span["end"]) & (b["end"] > span["start"])), judged)
 
     # The base spans are an argument once, not an expression in every candidate.
     found = _let(
-        F.struct(_matches(text, GENERATED).alias("spans"), base.alias("base")),
+        F.struct(_proposed(text).alias("spans"), base.alias("base")),
         lambda both: F.transform(both["spans"], lambda span: candidate(span, both["base"])),
     )
     # Without a digit or an at sign there is nothing to propose.

@@ -281,6 +281,45 @@ def test_model_adds_what_looks_alike(spark, sf_dir):
     assert spans == "secret:13:53"
 
 
+def test_secrets_that_hold_a_card_or_follow_a_name(spark, sf_dir):
+    docs = read(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents")
+    card = "ab4465758382889437cdef0123456789abcdef12"
+    texts = [
+        f'the token = "{card}" of',
+        "set api_key=0a1b2c3d4e5f60718293a4b5c6d7e8f901234567 now",
+        "mail to someone@example.com. Then pay 4465758382889437.",
+    ]
+    hidden = spark.createDataFrame([(-1 - i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    found = pii.personal_data(docs.union(hidden)).where("doc_id < 0").select("doc_id", "spans").collect()
+    assert {r["doc_id"]: r["spans"] for r in found} == {
+        -1: "secret:13:53,card:15:31",
+        -2: "secret:12:52",
+        -3: "email:8:27,card:38:54",
+    }
+    left = pii.redact(docs.union(hidden)).where("doc_id = -1").first()["text"]
+    assert left == 'the token = "[SECRET]" of'
+
+
+def test_candidates_overlap(spark):
+    texts = [
+        "api_key=sk1234567890abcdefghij",
+        "0123456789abcdef0123456789abcdef=x1234567890123456",
+        "12345678901234567890123 4",
+        "joe1joe2joe3joe4joe5joe6@x.org",
+        "pad QWxhZGRpbjEyMzQ1Njc4OTA=",
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    found = docs.select("i", F.explode(pii.candidates(F.col("text"), pii.base_spans(F.col("text")))).alias("c"))
+    rows = sorted((r["i"], r["c"]["kind"], r["c"]["start"], r["c"]["end"], r["c"]["label"], r["c"]["known"]) for r in found.collect())
+    assert rows == [
+        (0, 5, 8, 30, True, False),
+        (1, 5, 0, 50, False, False), (1, 5, 33, 50, False, False),
+        (2, 6, 0, 25, False, False),
+        (3, 4, 0, 30, True, True), (3, 5, 0, 24, False, True),
+        (4, 5, 4, 28, False, False),
+    ]
+
+
 def test_redact(spark):
     texts = ["mail x@y.zz now", "ip 1.2.3.4, é +1 (555) 555-0199.", "nothing", None, "x@y.zz", "a@b.cc1.2.3.4"]
     docs = documents(spark, texts, extra=True)
