@@ -39,8 +39,8 @@ from propense.plans.splitting import held_out
 from propense.sources.sinks import load_model, save_model
 from propense.sources.staging import stage, staging_path
 
-# Fewer iterations than in production keep the queries short; the other numbers are a production setting.
-IMPLICIT = Settings(rank=8, iterations=5, reg=0.1662, alpha=32.6604, seed=SEED)
+# The settings of a production model.
+IMPLICIT = Settings(rank=56, iterations=100, reg=0.1662, alpha=32.6604, seed=SEED)
 SAMPLE_USER = 7
 
 
@@ -94,7 +94,7 @@ def als_explicit_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     scored = quintile_scores(stage(rows, "activity"), "active_days", "revenue").withColumnRenamed("score", "rating")
     parts = scored.withColumn("split", split_number([0.9, 0.1], SEED))
-    explicit = Settings(rank=8, iterations=5, reg=0.01, implicit=False, seed=SEED)
+    explicit = Settings(rank=8, iterations=50, reg=0.01, implicit=False, seed=SEED)
     model = recommend.fit(parts.where("split = 0"), explicit)
     return evaluation.mean_squared_error(recommend.predict(model, parts.where("split = 1")))
 
@@ -102,7 +102,7 @@ def als_explicit_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {RATED_SQL} SELECT DISTINCT user_id, TRUE AS nonnegative FROM rated")
 def als_nonnegative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No factor of a non-negative model is below zero."""
-    settings = Settings(rank=8, iterations=5, reg=0.01, alpha=0.01, nonnegative=True, seed=SEED)
+    settings = Settings(rank=10, iterations=20, reg=0.01, alpha=0.01, nonnegative=True, seed=SEED)
     factors = recommend.user_factors(recommend.fit(stage(rated(spark, sf_dir), "rated"), settings))
     return factors.select(F.col("user_id").cast("bigint"), (F.array_min("user_factor") >= 0).alias("nonnegative"))
 
@@ -164,16 +164,16 @@ def als_random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stratified hold-out metrics of randomly chosen parameters."""
     strata = with_stratified_split(rated(spark, sf_dir), TARGET_ITEM, [0.9, 0.1], [0.99, 0.01], SEED)
     parts = stage(strata, "strata", partition_by="split")
-    points = grid(spark, choices("rank", 4, 8), log_spaced("reg", 0.01, 50, 100), log_spaced("alpha", 0.01, 50, 100))
-    return jobs.search_parameters(parts, points, 3, Settings(iterations=3, seed=SEED), ["population"])
+    points = grid(spark, choices("rank", *range(2, 100, 2)), log_spaced("reg", 0.01, 50, 100), log_spaced("alpha", 0.01, 50, 100))
+    return jobs.search_parameters(parts, points, 3, Settings(iterations=100, seed=SEED), ["population"])
 
 
 @query()
 def als_auc_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean per-user AUC of a small grid and of the popularity baseline, best first."""
     rows, train, held = held_out(spark, sf_dir)
-    points = grid(spark, choices("rank", 4, 8), choices("reg", 1.0, 0.0001), choices("alpha", 1.0, 40.0))
-    return jobs.compare_auc(train, held, rows, points, 8, Settings(iterations=3, seed=SEED))
+    points = grid(spark, choices("rank", 10, 50), choices("reg", 1.0, 0.0001), choices("alpha", 1.0, 40.0))
+    return jobs.compare_auc(train, held, rows, points, 8, Settings(iterations=10, seed=SEED))
 
 
 @query()
@@ -245,19 +245,19 @@ def kmeans_report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def kmeans_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster sizes of all, target and held-out users under the best number of clusters."""
-    _, _, assigned = jobs.best_clustering(_clustered(spark, sf_dir), (5, 10), SEED, 10, parallelism=2)
+    _, _, assigned = jobs.best_clustering(_clustered(spark, sf_dir), clusters.CLUSTER_NUMBERS, SEED, parallelism=2)
     return clusters.report(assigned)
 
 
 @query()
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hold-out recall and cost for several numbers of clusters."""
-    return clusters.sweep(_clustered(spark, sf_dir), (10, 20, 30), SEED, 10, parallelism=3)
+    return clusters.sweep(_clustered(spark, sf_dir), clusters.CLUSTER_NUMBERS, SEED, parallelism=3)
 
 
 @query()
 def kmeans_lowest_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trials = clusters.sweep(_clustered(spark, sf_dir), (2, 10, 30), SEED, 10, parallelism=3)
+    trials = clusters.sweep(_clustered(spark, sf_dir), tuple(range(2, 201)), SEED, parallelism=3)
     return clusters.lowest_cost(trials)
 
 

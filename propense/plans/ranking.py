@@ -171,7 +171,7 @@ def svd_reconstruct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _svd_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.rank_lookalikes(interactions(spark, sf_dir), "active_days", TARGET_ITEM, k=8)
+    return jobs.rank_lookalikes(interactions(spark, sf_dir), "active_days", TARGET_ITEM, k=30)
 
 
 @query()

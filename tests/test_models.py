@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from propense import jobs
 from propense.operators import clusters, decompose, features, lookalike, popularity, recommend, topics, trials
+from propense.plans import modelling, ranking
 from propense.sources import sinks, staging, tables
 from propense.sources.text import read_lines
 
@@ -310,3 +311,39 @@ def test_local_matrices(spark):
     arrays = rows.select("row_id", vector_to_array("features").alias("values"))
     turned = {(r["column"], r["row_id"]): r["value"] for r in decompose.transpose(arrays, "row_id", "values").collect()}
     assert turned == {(0, 0): 1.0, (1, 0): 2.0, (0, 1): 3.0, (1, 1): 4.0}
+
+
+def test_queries_take_the_production_settings(spark, sf_dir, monkeypatch):
+    assert (modelling.IMPLICIT.rank, modelling.IMPLICIT.iterations) == (56, 100)
+
+    class Asked(Exception):
+        pass
+
+    def asked(*args, **named):
+        raise Asked(args, named)
+
+    def call(query):
+        with pytest.raises(Asked) as found:
+            query(spark, sf_dir)
+        return found.value.args
+
+    monkeypatch.setattr(modelling, "_clustered", lambda spark, sf_dir: None)
+    monkeypatch.setattr(modelling.clusters, "sweep", asked)
+    monkeypatch.setattr(jobs, "best_clustering", asked)
+    numbers = {name: call(getattr(modelling, name)) for name in ("kmeans_sweep", "kmeans_lowest_cost", "kmeans_report")}
+    assert {name: (args[1], args[3:]) for name, (args, _) in numbers.items()} == {
+        "kmeans_sweep": (tuple(range(10, 31)), ()),
+        "kmeans_lowest_cost": (tuple(range(2, 201)), ()),
+        "kmeans_report": (tuple(range(10, 31)), ()),
+    }
+    monkeypatch.setattr(jobs, "rank_lookalikes", asked)
+    assert call(ranking.svd_lookalike_sweep)[1]["k"] == 30
+    monkeypatch.setattr(recommend, "fit", asked)
+    settings = [call(query)[0][1] for query in (modelling.als_explicit_mse, modelling.als_nonnegative)]
+    assert [(s.rank, s.iterations) for s in settings] == [(8, 50), (10, 20)]
+    monkeypatch.setattr(jobs, "search_parameters", asked)
+    monkeypatch.setattr(jobs, "compare_auc", asked)
+    (_, points, _, base, *_), _ = call(modelling.als_random_search)
+    assert (points.count(), points.select("rank").distinct().count(), base.iterations) == (490_000, 49, 100)
+    (_, _, _, points, n, base), _ = call(modelling.als_auc_grid)
+    assert ({r["rank"] for r in points.collect()}, points.count(), n, base.iterations) == ({10, 50}, 8, 8, 10)
