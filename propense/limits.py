@@ -14,6 +14,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # There can be at most 1 / HOT_SHARE such keys.
 HOT_SHARE = 0.005
 SALTS = 64
+# Keys that the sketch of frequent keys follows: its counts are too low by less than 4 in so many rows.
+SKETCHED_KEYS = 8192
 
 # Rows an exact quantile may look at in one aggregation buffer or one window.
 EXACT_ROWS = 100_000

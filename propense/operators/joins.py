@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from propense.limits import BROADCAST_BYTES, BROADCAST_ROWS, HOT_SHARE, SALTS
-from propense.sources.staging import stage
+from propense.limits import BROADCAST_BYTES, BROADCAST_ROWS, HOT_SHARE, SALTS, SKETCHED_KEYS
 
 
 # Types whose values take eight bytes at most; a decimal takes sixteen.
@@ -47,43 +48,46 @@ def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
     return rows <= max_rows and size <= max_bytes
 
 
-def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that own more than `share` of the rows: at most `1 / share` of them."""
-    counts = stage(df.groupBy(*on).agg(F.count("*").alias("_rows")), "key_counts")
-    total = counts.agg(F.sum("_rows")).first()[0] or 0
-    rows = counts.where(F.col("_rows") > int(total * share)).select(*on).collect()
-    return df.sparkSession.createDataFrame(rows, df.select(*on).schema)
+def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> list[int]:
+    """Hashes of the keys that own more than `share` of the rows: at most `2 / share`, none missing.
+
+    One aggregation keeps a sketch of the most frequent keys, whose size follows
+    from the share alone, so nothing is staged and no table of all keys is made.
+    The sketch counts too few rows of a key, by a known share of all; a key that
+    is taken in for that is salted as well, which changes no result.
+    """
+    top = F.expr(f"approx_top_k(_key, {math.ceil(2 / share)}, {SKETCHED_KEYS})")
+    row = df.select(F.xxhash64(*on).alias("_key")).agg(F.count("*").alias("rows"), top.alias("top")).first()
+    return [item["item"] for item in row["top"] or [] if item["count"] > row["rows"] * (share - 4 / SKETCHED_KEYS)]
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, on: list[str], how: str, salts: int = SALTS, share: float = HOT_SHARE
+    big: DataFrame,
+    small: DataFrame,
+    on: list[str],
+    how: str,
+    salts: int = SALTS,
+    share: float = HOT_SHARE,
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """Shuffle join that spreads the big side's hot keys over `salts` tasks.
 
     Only the small side's rows of the hot keys are repeated. The salt is a hash
     of the row and of its input partition: a retried task puts its rows where
     the first attempt did, and even equal rows are spread. Rows without a key
-    match nothing and are spread as well.
+    match nothing and are spread as well. `hot` gives the hot keys' hashes where
+    they are known.
     """
-    hot = F.broadcast(hot_keys(big, on, share).withColumn("_hot", F.lit(True)))
+    hashes = hot_keys(big, on, share) if hot is None else hot
+    is_hot = F.xxhash64(*on).isin(hashes)
     row = F.xxhash64(*[f"`{c}`" for c in big.columns], F.spark_partition_id())
-    spread = F.pmod(row, F.lit(salts)).cast("int")
     keyless = F.lit(False)
     for key in on:
         keyless = keyless | F.col(key).isNull()
-    left = (
-        big.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | keyless, spread).otherwise(0))
-        .drop("_hot")
-    )
-    right = (
-        small.join(hot, on, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-        )
-        .drop("_hot")
-    )
+    spread = F.pmod(row, F.lit(salts)).cast("int")
+    left = big.withColumn("_salt", F.when(is_hot | keyless, spread).otherwise(0))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    right = small.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
