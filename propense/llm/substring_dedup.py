@@ -7,19 +7,22 @@ words; windows are judged on the input, not on what is left.
 1. A window's anchor is the smallest hash of the runs of `anchor` words in it.
    Equal windows have equal anchors, and neighbouring windows mostly share
    theirs, so a text falls into sections: runs of windows with one anchor. Only
-   anchors that occur at two places can belong to a recurring window; counting
-   them takes a number per several words, and most text is done with then.
-2. The sections of those anchors go out with their text. Sections that are equal
-   are counted before they are shuffled, with the place of the first.
-3. An anchor's different sections confirm which of its windows recur: they are
-   counted, and those that occur twice are compiled into an Aho-Corasick automaton
-   whose letters are words. An automaton serves a shard of anchors; an anchor
-   with very many different sections is spread over several automata by its
-   windows, and one with very many sections has copies of its automaton.
-4. All sections of all documents are streamed through their shard's automaton.
+   anchors that occur at two places can belong to a recurring window. They are
+   found from hashes alone, a number per several words, and a mask says which of
+   a text's sections are left; most text is done with then.
+2. The sections that are left go out with their text, to the shard that their
+   anchor belongs to. There their windows are counted, those that occur twice
+   are confirmed, and an Aho-Corasick automaton whose letters are words is
+   compiled from them.
+3. All sections of all documents are streamed through their shard's automaton.
    It finds every occurrence of every phrase; those that are not the phrase's
    first one are removed.
 
+An anchor with more sections than a shard takes has shards of its own. Its equal
+sections are counted before they are shuffled, so that confirming takes the
+different ones only; they are spread over `parts` automata by their windows, and
+each of these has `copies`, among which the streamed sections are dealt.
+
 Words are compared themselves, so nothing rests on hashes being different but
 where two different texts under one document id are put in order.
 
@@ -46,8 +49,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from propense.limits import HOT_SHARE
 from propense.llm.tables import free_name, texts_of
-from propense.operators.joins import lookup_join
+from propense.operators.joins import lookup_join, salted_join
 from propense.sources.staging import stage
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -64,15 +68,11 @@ SECTION_CHARS = 4 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """Words of a window and of an anchor; different sections of a shard, and sections that pass one automaton, about.
-
-    The last two bound a task's memory and time and have no part in the result.
-    """
+    """Words of a window and of an anchor, and sections of a shard, about: this one bounds a task and changes no result."""
 
     window: int = 20
-    anchor: int = 8
-    shard_phrases: int = 4096
-    shard_sections: int = 8192
+    anchor: int = 5
+    shard_sections: int = 4096
 
 
 def split_words(text: str) -> list[bytes]:
@@ -110,19 +110,26 @@ def anchors(words: list[bytes], settings: Settings) -> np.ndarray:
     return slid(run_hashes(words, settings.anchor), settings.window - settings.anchor + 1, np.minimum)
 
 
-def anchor_places(words: list[bytes], settings: Settings) -> np.ndarray:
-    """The hash of every run of words that is the anchor of a window, each at most twice."""
+def section_starts(of_windows: np.ndarray) -> np.ndarray:
+    """The first window of each section."""
+    return np.flatnonzero(np.concatenate([[True], of_windows[1:] != of_windows[:-1]]))
+
+
+def section_anchors(words: list[bytes], settings: Settings) -> np.ndarray:
+    """The anchor of every section, and behind them once more those that occur at two places of their section."""
     runs, width = run_hashes(words, settings.anchor), settings.window - settings.anchor + 1
     of_windows = slid(runs, width, np.minimum)
-    edge = np.zeros(width - 1, np.uint64)
-    # A run is an anchor if the largest anchor of the windows around it is its own hash.
-    largest = slid(np.concatenate([edge, of_windows, edge]), width, np.maximum)
-    values, times = np.unique(runs[largest == runs], return_counts=True)
-    return np.repeat(values, np.minimum(times, 2))
+    starts = section_starts(of_windows)
+    lasts = np.concatenate([starts[1:], [len(of_windows)]]) - 1
+    found, within = of_windows[starts], np.arange(width)
+    # A section's first window holds the anchor's first place, and its last window the last one.
+    first = starts + (runs[starts[:, None] + within] == found[:, None]).argmax(axis=1)
+    last = lasts + width - 1 - (runs[lasts[:, None] + within[::-1]] == found[:, None]).argmax(axis=1)
+    return np.concatenate([found, found[first != last]])
 
 
 def anchor_hashes(text: Column | str, settings: Settings) -> Column:
-    """Column of the hashes that `anchor_places` gives."""
+    """Column of the hashes that `section_anchors` gives."""
 
     @arrow_udf("array<long>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -130,31 +137,49 @@ def anchor_hashes(text: Column | str, settings: Settings) -> Column:
             out = []
             for one in texts_of(batch):
                 words = split_words(one)
-                out.append(anchor_places(words, settings).view(np.int64) if len(words) >= settings.window else [])
+                out.append(section_anchors(words, settings).view(np.int64) if len(words) >= settings.window else [])
             yield pa.array(out, pa.list_(pa.int64()))
 
     return found(text)
 
 
+def mask_of(places: Column | str) -> Column:
+    """Column of a bit mask with the given places set."""
+
+    @arrow_udf("binary")
+    def masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for some in batch:
+                numbers = some.values.to_numpy()
+                bits = np.zeros(int(numbers.max()) + 1, np.uint8)
+                bits[numbers] = 1
+                out.append(np.packbits(bits).tobytes())
+            yield pa.array(out, pa.binary())
+
+    return masked(places)
+
+
 def text_sections(settings: Settings):
-    """Task that gives the sections of each text: document, anchor, start, and the words, a space between."""
+    """Task that gives the masked sections of each text: document, anchor, start, and the words, a space between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             documents = zip(*(batch.column(name).to_pylist() for name in DOCUMENT), strict=True)
             owners, hashes, starts, contents, held = [], [], [], [], 0
-            for document, one in zip(documents, texts_of(batch.column("text")), strict=True):
+            for document, mask, one in zip(documents, batch.column("mask"), texts_of(batch.column("text")), strict=True):
                 words = split_words(one)
-                if len(words) < settings.window:
-                    continue
                 of_windows = anchors(words, settings)
-                first = np.flatnonzero(np.concatenate([[True], of_windows[1:] != of_windows[:-1]]))
-                begin = first.tolist()
-                ends = [*begin[1:], len(of_windows)]
-                owners += [document] * len(begin)
-                hashes.append(of_windows[first].view(np.int64))
+                first = section_starts(of_windows)
+                ends = np.concatenate([first[1:], [len(of_windows)]]) + settings.window - 1
+                wanted = np.flatnonzero(np.unpackbits(np.frombuffer(mask.as_py(), np.uint8))[: len(first)])
+                if not len(wanted):
+                    continue
+                owners += [document] * len(wanted)
+                hashes.append(of_windows[first[wanted]].view(np.int64))
+                begin = first[wanted].tolist()
                 starts += begin
-                contents += [b" ".join(words[a : b + settings.window - 1]) for a, b in zip(begin, ends, strict=True)]
+                contents += [b" ".join(words[a:b]) for a, b in zip(begin, ends[wanted].tolist(), strict=True)]
                 held += len(one)
                 if held > SECTION_CHARS:
                     yield _section_batch(owners, hashes, starts, contents)
@@ -188,60 +213,77 @@ def with_document(docs: DataFrame) -> DataFrame:
     )
 
 
-def recurring_sections(docs: DataFrame, settings: Settings) -> DataFrame:
-    """no_id, id, version, anchor, start, content of every section whose anchor occurs at two places."""
-    places = docs.select(F.explode(anchor_hashes("text", settings)).alias("anchor"))
-    recurring = stage(places.groupBy("anchor").count().where("count > 1").select("anchor"), "phrase_anchors")
-    rows = with_document(docs).mapInArrow(text_sections(settings), SECTIONS)
-    return lookup_join(rows, recurring, "anchor", "left_semi")
+@dataclass(frozen=True)
+class Sections:
+    """The sections whose anchors recur; how many there are, and the anchors with more of them than a shard takes."""
+
+    rows: DataFrame
+    count: int
+    heavy: DataFrame
 
 
-def sharded(sections: DataFrame, settings: Settings) -> DataFrame:
-    """Different sections and all sections, each where its shard's automaton is made.
+def recurring_sections(docs: DataFrame, settings: Settings) -> Sections:
+    """no_id, id, version, anchor, start, content of every section whose anchor occurs at two places.
 
-    An anchor's shard follows from its hash. An anchor with more different
-    sections than a shard holds has `parts`, each of which confirms some of its
-    windows, and one with more sections than pass one automaton has `copies`.
+    Sections are chosen by number under a hash of their document. Should two
+    documents share that hash, each has the other's sections as well, which
+    then find nothing.
     """
+    named = with_document(docs)
+    key = F.xxhash64(*DOCUMENT)
+    hashed = stage(named.select(key.alias("key"), anchor_hashes("text", settings).alias("anchors")), "phrase_hashes")
+    counts = hashed.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n"))
+    recurring = stage(counts.where("n > 1"), "phrase_anchors")
+    total = recurring.agg(F.sum("n")).first()[0] or 0
+    hot = [row[0] for row in recurring.where(F.col("n") > int(total * HOT_SHARE)).select(F.xxhash64("anchor")).collect()]
+    places = hashed.select("key", F.posexplode("anchors").alias("number", "anchor"))
+    # Joined alike at every size; the few anchors with much of all sections are salted.
+    left = salted_join(places, recurring.select("anchor"), ["anchor"], "left_semi", hot=hot)
+    masks = left.groupBy("key").agg(F.collect_set("number").alias("numbers"))
+    masks = stage(masks.select("key", mask_of("numbers").alias("mask")), "phrase_masks")
+    rows = lookup_join(named.withColumn("key", key), masks, "key", "inner").select(*DOCUMENT, "text", "mask")
+    heavy = recurring.where(F.col("n") > settings.shard_sections)
+    return Sections(rows.mapInArrow(text_sections(settings), SECTIONS), total, heavy)
+
+
+def sharded(sections: Sections, settings: Settings) -> DataFrame:
+    """All sections, each where its shard's automaton is made, and before them what the shards of heavy anchors confirm."""
+    shards = max(1, sections.count // settings.shard_sections)
+
+    def placed(rows: DataFrame, own: bool, kind: int, shard: Column) -> DataFrame:
+        return rows.select(
+            F.lit(own).alias("own"), shard.alias("shard"), F.lit(kind).alias("kind"), "part", "parts", "n", *DOCUMENT, "start", "content"
+        )
+
+    single = {"part": F.lit(0), "parts": F.lit(1), "n": F.lit(1).cast("long")}
+    if sections.heavy.isEmpty():
+        return placed(sections.rows.withColumns(single), False, 1, F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    rows = stage(sections.rows, "phrase_sections")
+    light = lookup_join(rows, sections.heavy, "anchor", "left_anti").withColumns(single)
+    of_heavy = lookup_join(rows, sections.heavy.select("anchor", F.col("n").alias("all")), "anchor", "inner")
     different = stage(
-        sections.groupBy("anchor", "content").agg(
-            F.count("*").alias("n"), F.min(F.struct(*DOCUMENT, "start")).alias("first")
+        of_heavy.groupBy("anchor", "content").agg(
+            F.count("*").alias("n"), F.min(F.struct(*DOCUMENT, "start")).alias("first"), F.max("all").alias("all")
         ),
-        "phrase_sections",
+        "phrase_different",
     )
-    shards = max(1, different.count() // settings.shard_phrases)
-    sizes = different.groupBy("anchor").agg(F.count("*").alias("phrases"), F.sum("n").alias("n"))
-    heavy = sizes.where((F.col("phrases") > settings.shard_phrases) | (F.col("n") > settings.shard_sections)).select(
-        "anchor",
-        F.ceil(F.col("phrases") / settings.shard_phrases).cast("int").alias("parts"),
-        F.ceil(F.col("n") / settings.shard_sections).cast("int").alias("copies"),
+    sizes = different.groupBy("anchor").agg(
+        F.ceil(F.count("*") / settings.shard_sections).cast("int").alias("parts"),
+        F.ceil(F.max("all") / settings.shard_sections).cast("int").alias("copies"),
+    )
+    sizes = stage(sizes, "phrase_sizes")
+    parts, copies = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("parts", "copies"))
+    shard = F.xxhash64("anchor", "part", "copy")
+    phrases = lookup_join(different, sizes, "anchor", "inner").select("*", parts.alias("part"))
+    phrases = phrases.select("*", copies.alias("copy"), "first.*")
+    streamed = lookup_join(of_heavy, sizes, "anchor", "inner").select(
+        "*", parts.alias("part"), F.pmod(F.xxhash64(*DOCUMENT, "start"), F.col("copies")).cast("int").alias("copy"), F.lit(0).cast("long").alias("n")
+    )
+    return (
+        placed(light, False, 1, F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+        .union(placed(phrases, True, 0, shard))
+        .union(placed(streamed, True, 1, shard))
     )
-    heavy = stage(heavy, "phrase_heavy")
-    is_heavy = F.col("parts").isNotNull()
-
-    def several(number: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(number), F.lit(1)) - 1))
-
-    def placed(rows: DataFrame, kind: int) -> DataFrame:
-        shard = F.when(is_heavy, F.xxhash64("anchor", "part", "copy")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-        return rows.select(
-            is_heavy.alias("own"),
-            shard.alias("shard"),
-            F.lit(kind).alias("kind"),
-            "part",
-            F.coalesce("parts", F.lit(1)).alias("parts"),
-            "n",
-            *DOCUMENT,
-            "start",
-            "content",
-        )
-
-    phrases = lookup_join(different, heavy, "anchor").select("*", several("parts").alias("part"))
-    phrases = phrases.select("*", several("copies").alias("copy"), "first.*")
-    one_copy = F.pmod(F.xxhash64(*DOCUMENT, "start"), F.coalesce("copies", F.lit(1))).cast("int")
-    streamed = lookup_join(sections, heavy, "anchor").select("*", several("parts").alias("part"))
-    streamed = streamed.withColumns({"copy": one_copy, "n": F.lit(0).cast("long")})
-    return placed(phrases, 0).union(placed(streamed, 1))
 
 
 class Phrases:
@@ -302,48 +344,87 @@ class Phrases:
 
 
 def located(window: int):
-    """Task that reads rows sorted by shard and kind: a shard's phrases first, then the sections that are streamed."""
+    """Task that reads rows sorted by shard and kind and streams the sections through their shard's automaton.
+
+    A heavy anchor's phrases come before its sections. The others' sections are
+    the phrases as well; those of a shard are held until all of them are there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, phrases = None, None
+        shard, phrases, held = None, Phrases(window), []
+        out: list[tuple] = []
+
+        def finished() -> None:
+            for words, at in held:
+                phrases.add(words, 1, at, 0, 1)
+            for words, at in held:
+                out.extend((*at[:3], *found) for found in phrases.later(words, at))
+            held.clear()
+
         for batch in batches:
-            out: list[tuple] = []
             contents = batch.column("content")
             names = ["own", "shard", "kind", "part", "parts", "n", *DOCUMENT, "start"]
             columns = [batch.column(name).to_pylist() for name in names]
             for i, (own, number, kind, part, parts, n, *at) in enumerate(zip(*columns, strict=True)):
                 if (own, number) != shard:
+                    finished()
                     shard, phrases = (own, number), Phrases(window)
                 words = contents[i].as_py().split(b" ")
-                if kind == 0:
+                if not own:
+                    held.append((words, tuple(at)))
+                elif kind == 0:
                     phrases.add(words, n, tuple(at), part, parts)
                 else:
-                    out += [(*at[:3], *found) for found in phrases.later(words, tuple(at))]
+                    out.extend((*at[:3], *found) for found in phrases.later(words, tuple(at)))
             if out:
-                no_id, ids, versions, starts, ends = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(no_id, pa.bool_()),
-                        pa.array(ids, pa.int64()),
-                        pa.array(versions, pa.int64()),
-                        pa.array(starts, pa.int32()),
-                        pa.array(ends, pa.int32()),
-                    ],
-                    names=[*DOCUMENT, "start", "end"],
-                )
+                yield _range_batch(out)
+                out.clear()
+        finished()
+        if out:
+            yield _range_batch(out)
 
     return run
 
 
-def repeated_passages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """no_id, id, version and `ranges` (array<struct<start, end>>, places of words) of every document that repeats some.
+def _range_batch(found: list[tuple]) -> pa.RecordBatch:
+    no_id, ids, versions, starts, ends = zip(*found, strict=True)
+    columns = [
+        pa.array(no_id, pa.bool_()),
+        pa.array(ids, pa.int64()),
+        pa.array(versions, pa.int64()),
+        pa.array(starts, pa.int32()),
+        pa.array(ends, pa.int32()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[*DOCUMENT, "start", "end"])
 
-    Ranges may overlap. They are no more than a document's own sections.
-    """
-    sections = stage(recurring_sections(docs, settings), "phrase_places")
-    rows = sharded(sections, settings).repartition("own", "shard").sortWithinPartitions("own", "shard", "kind")
-    found = rows.mapInArrow(located(settings.window), REMOVED)
-    return found.groupBy(*DOCUMENT).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+
+def merged(ranges: Column | str) -> Column:
+    """Column of the ranges in order, those that touch or overlap as one."""
+
+    @arrow_udf("array<struct<start:int,end:int>>")
+    def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            out = []
+            for some in batch:
+                apart: list[dict] = []
+                for one in sorted(some.as_py(), key=lambda r: r["start"]):
+                    if apart and one["start"] <= apart[-1]["end"]:
+                        apart[-1]["end"] = max(apart[-1]["end"], one["end"])
+                    else:
+                        apart.append(one)
+                out.append(apart)
+            yield pa.array(out, kind)
+
+    return joined(ranges)
+
+
+def repeated_passages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """no_id, id, version and `ranges` (array<struct<start, end>>, places of words) of every document that repeats some."""
+    rows = sharded(recurring_sections(docs, settings), settings)
+    found = rows.repartition("own", "shard").sortWithinPartitions("own", "shard", "kind")
+    found = found.mapInArrow(located(settings.window), REMOVED).groupBy(*DOCUMENT)
+    return found.agg(F.collect_set(F.struct("start", "end")).alias("all")).select(*DOCUMENT, merged("all").alias("ranges"))
 
 
 def kept_words(words: list[bytes], ranges: list[dict] | None) -> list[bytes]:

@@ -72,8 +72,8 @@ def passage_rows():
     [
         substring_dedup.Settings(),
         # Small shards, so that anchors get several parts and copies.
-        substring_dedup.Settings(shard_phrases=2, shard_sections=5),
-        substring_dedup.Settings(window=5, anchor=2, shard_phrases=3, shard_sections=7),
+        substring_dedup.Settings(shard_sections=2),
+        substring_dedup.Settings(window=5, anchor=2, shard_sections=7),
         substring_dedup.Settings(window=3, anchor=3),
     ],
 )
@@ -103,16 +103,22 @@ def test_no_passages(spark):
     assert [tuple(r) for r in substring_dedup.digests(docs).collect()] == [(1, 2, 0, sha("a b"))]
 
 
-def test_anchor_places():
+def test_section_anchors():
     settings = substring_dedup.Settings(window=6, anchor=2)
     rng = random.Random(1)
-    for _ in range(200):
-        words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(6, 40))]
+    for _ in range(300):
+        words = [rng.choice([b"a", b"b", b"c", b"d"][: rng.randint(1, 4)]) for _ in range(rng.randint(6, 40))]
         runs = substring_dedup.run_hashes(words, 2).tolist()
         of_windows = [min(runs[i : i + 5]) for i in range(len(words) - 5)]
         assert substring_dedup.anchors(words, settings).tolist() == of_windows
-        places = Counter(r for i, r in enumerate(runs) if any(of_windows[w] == r for w in range(max(0, i - 4), min(i + 1, len(of_windows)))))
-        assert substring_dedup.anchor_places(words, settings).tolist() == sorted(r for r, n in places.items() for _ in range(min(n, 2)))
+        sections = []
+        for i, anchor in enumerate(of_windows):
+            if sections and sections[-1][0] == anchor:
+                sections[-1][2] = i
+            else:
+                sections.append([anchor, i, i])
+        twice = [anchor for anchor, first, last in sections if runs[first : last + 5].count(anchor) > 1]
+        assert substring_dedup.section_anchors(words, settings).tolist() == [s[0] for s in sections] + twice
 
 
 # --- fill-in-middle
