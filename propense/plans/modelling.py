@@ -6,8 +6,10 @@ counts, totals, means) it does.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from propense import jobs
@@ -41,6 +43,7 @@ from propense.sources.staging import stage, staging_path
 
 # The settings of a production model.
 IMPLICIT = Settings(rank=56, iterations=100, reg=0.1662, alpha=32.6604, seed=SEED)
+EXPLICIT = Settings(rank=8, iterations=50, reg=0.01, implicit=False, seed=SEED)
 SAMPLE_USER = 7
 
 
@@ -89,29 +92,58 @@ def als_scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def als_explicit_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Explicit model of quintile scores: error of the predicted scores on held-out pairs."""
+    train, test = _scored_parts(spark, sf_dir)
+    return evaluation.mean_squared_error(recommend.predict(recommend.fit(train, EXPLICIT), test))
+
+
+def _scored_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Quintile scores as ratings, nine tenths for training."""
     rows = interactions(spark, sf_dir).select(
         "user_id", "item_id", "active_days", F.coalesce("revenue", F.lit(0)).alias("revenue")
     )
     scored = quintile_scores(stage(rows, "activity"), "active_days", "revenue").withColumnRenamed("score", "rating")
-    parts = scored.withColumn("split", split_number([0.9, 0.1], SEED))
-    explicit = Settings(rank=8, iterations=50, reg=0.01, implicit=False, seed=SEED)
-    model = recommend.fit(parts.where("split = 0"), explicit)
-    return evaluation.mean_squared_error(recommend.predict(model, parts.where("split = 1")))
+    parts = stage(scored.withColumn("split", split_number([0.9, 0.1], SEED)), "scored", partition_by="split")
+    return parts.where("split = 0"), parts.where("split = 1")
 
 
-@query(f"WITH {RATED_SQL} SELECT DISTINCT user_id, TRUE AS nonnegative FROM rated")
+@query(f"WITH {RATED_SQL} SELECT DISTINCT user_id, TRUE AS nonnegative, TRUE AS solved FROM rated")
 def als_nonnegative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No factor of a non-negative model is below zero."""
+    """No factor of a non-negative model is below zero, and none could be better."""
     settings = Settings(rank=10, iterations=20, reg=0.01, alpha=0.01, nonnegative=True, seed=SEED)
-    factors = recommend.user_factors(recommend.fit(stage(rated(spark, sf_dir), "rated"), settings))
-    return factors.select(F.col("user_id").cast("bigint"), (F.array_min("user_factor") >= 0).alias("nonnegative"))
+    rows = stage(rated(spark, sf_dir), "rated")
+    model = recommend.fit(rows, settings)
+    factors = recommend.user_factors(model).join(_solved(model, rows, 1e-3), "user_id")
+    return factors.select("user_id", (F.array_min("user_factor") >= 0).alias("nonnegative"), "solved")
 
 
-@query(f"WITH {RATED_SQL} SELECT DISTINCT user_id, {IMPLICIT.rank} AS rank FROM rated")
+def _solved(model: recommend.Model, ratings: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """`user_id, solved`: whether a user's factor solves the user's equations to single precision."""
+    found = recommend.residuals(model, ratings)
+    return found.select("user_id", (F.col("residual") <= tolerance * F.col("scale")).alias("solved"))
+
+
+@query(f"WITH {RATED_SQL} SELECT DISTINCT user_id, {IMPLICIT.rank} AS rank, TRUE AS solved FROM rated")
 def als_user_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user has one factor row of the model's rank."""
-    factors = recommend.user_factors(recommend.fit(stage(rated(spark, sf_dir), "rated"), IMPLICIT))
-    return factors.select(F.col("user_id").cast("bigint"), F.size("user_factor").alias("rank"))
+    """Every user has one factor row of the model's rank, which solves the user's normal equations."""
+    rows = stage(rated(spark, sf_dir), "rated")
+    model = recommend.fit(rows, IMPLICIT)
+    factors = recommend.user_factors(model).join(_solved(model, rows), "user_id")
+    return factors.select("user_id", F.size("user_factor").alias("rank"), "solved")
+
+
+@query(f"WITH {RATED_SQL} SELECT DISTINCT user_id + {1 << 40} AS user_id, TRUE AS solved FROM rated")
+def als_wide_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User ids beyond 32 bits: every user under the own id, with a factor that solves the user's equations."""
+    rows = stage(rated(spark, sf_dir).withColumn("user_id", F.col("user_id") + F.lit(1 << 40)), "rated")
+    return _solved(recommend.fit(rows, replace(IMPLICIT, rank=10, iterations=20)), rows)
+
+
+@query(f"""WITH {INTERACTIONS_SQL} SELECT DISTINCT user_id, TRUE AS solved FROM interactions
+WHERE {draw_sql(SEED, "user_id", "item_id")} < {round(2147483647 * 0.9)}""")
+def als_explicit_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every training user's factor of the explicit model solves the user's normal equations."""
+    train, _ = _scored_parts(spark, sf_dir)
+    return _solved(recommend.fit(train, EXPLICIT), train)
 
 
 @query(f"WITH {RATED_SQL} SELECT DISTINCT user_id, CAST(5 AS BIGINT) AS items FROM rated")
@@ -124,6 +156,21 @@ def als_recommend_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"WITH {RATED_SQL} SELECT DISTINCT user_id, CAST(5 AS BIGINT) AS items, TRUE AS in_order, TRUE AS best FROM rated")
+def als_best_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best items of every user: predictions as the factors give them, in order, and none left out beats the last."""
+    rows = stage(rated(spark, sf_dir), "rated")
+    model = recommend.fit(rows, replace(IMPLICIT, rank=10, iterations=20))
+    top = stage(recommend.recommend(model, None, 5), "best")
+    last = top.groupBy("user_id").agg(F.min("prediction").alias("last"))
+    beaten = recommend.above(model, last)
+    again = recommend.predict(model, top.withColumnRenamed("prediction", "said"))
+    before = F.lag("said").over(Window.partitionBy("user_id").orderBy("place"))
+    checked = again.withColumn("fine", (F.abs(F.col("said") - F.col("prediction")) < 1e-9) & (F.coalesce(before, F.lit(1e300)) >= F.col("said")))
+    found = checked.groupBy("user_id").agg(F.count_distinct("item_id").alias("items"), F.bool_and("fine").alias("in_order"))
+    return found.join(beaten, "user_id").select("user_id", "items", "in_order", (F.col("items_above") < 5).alias("best"))
+
+
 @query()
 def als_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line per user with the recommended items in order."""

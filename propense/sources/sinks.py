@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import DistributedLDAModel, KMeansModel
-from pyspark.ml.recommendation import ALSModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MODELS = {"als": ALSModel, "kmeans": KMeansModel, "lda": DistributedLDAModel}
+from propense.operators import recommend
+
+_MODELS = {"kmeans": KMeansModel, "lda": DistributedLDAModel}
 
 
 def rating_line() -> Column:
@@ -56,9 +57,13 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
 
 
 def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
+    """Store a model; a collaborative-filtering one as its two tables of factors and its settings."""
+    if isinstance(model, recommend.Model):
+        recommend.save(model, path)
+    else:
+        model.write().overwrite().save(path)
 
 
 def load_model(kind: str, path: str):
     """Load a stored `als`, `kmeans` or `lda` model."""
-    return _MODELS[kind].load(path)
+    return recommend.load(SparkSession.active(), path) if kind == "als" else _MODELS[kind].load(path)

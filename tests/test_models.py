@@ -44,17 +44,74 @@ def test_user_factors_solve_the_normal_equations(model, matrix):
         assert left @ factor == pytest.approx(y.T @ ((1 + 2.0 * r) * (r > 0)), abs=1e-4)
 
 
-def test_predict_equals_transform(spark, model, ratings):
+def local_factors(model):
+    users = {r["user_id"]: np.array(r["user_factor"]) for r in model.users.collect()}
+    return users, {r["item_id"]: np.array(r["item_factor"]) for r in model.items.collect()}
+
+
+def test_predictions_are_products(spark, model, ratings):
     unknown = spark.createDataFrame([(999, 0, 1.0), (1, 999, 1.0)], ratings.schema)
     pairs = ratings.union(unknown)
     mine = {(r["user_id"], r["item_id"]): r["prediction"] for r in recommend.predict(model, pairs).collect()}
-    theirs = {(r["user_id"], r["item_id"]): r["prediction"] for r in model.transform(pairs).collect()}
-    assert mine == pytest.approx(theirs, abs=1e-5) and len(mine) == ratings.count()
+    users, items = local_factors(model)
+    theirs = {(r["user_id"], r["item_id"]): users[r["user_id"]] @ items[r["item_id"]] for r in ratings.collect()}
+    assert mine == pytest.approx(theirs, abs=1e-9) and len(mine) == ratings.count()
 
 
 def test_fit_is_deterministic(model, ratings):
     again = recommend.fit(ratings, recommend.Settings(rank=4, iterations=3, reg=0.1, alpha=2.0))
-    assert sorted(again.userFactors.collect()) == sorted(model.userFactors.collect())
+    assert sorted(again.users.collect()) == sorted(model.users.collect())
+
+
+@pytest.mark.parametrize("nonnegative", [False, True])
+def test_users_and_items_without_weight_have_zero_factors(spark, nonnegative):
+    """Rank above the number of items, a user with zeros only, an item with zeros only, null ratings."""
+    rows = [(u, i, 0.0 if u == 7 or i == 9 else float((u + i) % 3)) for u in range(30) for i in range(10)]
+    ratings = spark.createDataFrame([*rows, (40, 3, None)], "user_id int, item_id int, rating double")
+    settings = recommend.Settings(rank=20, iterations=10, reg=0.2, alpha=30.0, nonnegative=nonnegative)
+    model = recommend.fit(ratings, settings)
+    users, items = local_factors(model)
+    assert set(users) == {*range(30), 40} and set(items) == set(range(10))
+    assert not users[7].any() and not users[40].any() and not items[9].any() and users[8].any() and items[8].any()
+    left = {r["user_id"]: (r["residual"], r["scale"]) for r in recommend.residuals(model, ratings).collect()}
+    assert set(left) == set(users) and all(r <= 1e-3 * s for r, s in left.values())
+    moved = recommend.Model(model.users.withColumn("user_factor", F.transform("user_factor", lambda x: x * 1.1)), model.items, settings)
+    assert max(r["residual"] / r["scale"] for r in recommend.residuals(moved, ratings).collect() if r["scale"]) > 1e-3
+
+
+def test_ratings_without_any_weight(spark):
+    ratings = spark.createDataFrame([(u, i, 0.0) for u in range(5) for i in range(3)], "user_id int, item_id int, rating double")
+    model = recommend.fit(ratings, recommend.Settings(rank=4, iterations=2))
+    assert model.users.count() == 5 and model.items.count() == 3
+    none = recommend.players_of(ratings, 99)
+    assert recommend.audience(model, ratings, none, 1).count() == 0
+    assert recommend.predict(model, ratings).where("prediction = 0").count() == 15
+    empty = recommend.fit(ratings.limit(0), recommend.Settings(rank=4))
+    assert empty.users.count() == 0 and recommend.best_items(empty, None, 3).count() == 0
+    with pytest.raises(ValueError, match="below zero"):
+        recommend.fit(ratings.withColumn("rating", F.lit(-1.0)), recommend.Settings(rank=2))
+
+
+@pytest.mark.parametrize("bound", [1 << 26, 600, 97])
+def test_best_items_are_exact(spark, monkeypatch, bound):
+    """Against all predictions sorted, with items in one block, in many, and with many of one length; with zero factors and ties."""
+    monkeypatch.setattr(recommend, "BROADCAST_BYTES", bound)
+    rng = np.random.default_rng(4)
+    users = {u: rng.integers(-2, 3, 3).astype(float) for u in range(40)} | {2**40: np.zeros(3)}
+    items = {i * 7: rng.integers(-3, 4, 3).astype(float) for i in range(30)} | {-5: np.zeros(3)} | {i: np.ones(3) for i in range(1000, 1010)}
+    model = recommend.Model(
+        spark.createDataFrame([(u, x.tolist()) for u, x in users.items()], "user_id long, user_factor array<float>"),
+        spark.createDataFrame([(i, x.tolist()) for i, x in items.items()], "item_id long, item_factor array<float>"),
+        recommend.Settings(rank=3),
+    )
+    for k in (1, 4, 100):
+        found = {r["user_id"]: (r["items"], r["scores"]) for r in recommend.best_items(model, None, k).collect()}
+        for user, x in users.items():
+            best = sorted((-float(x @ y), i) for i, y in items.items())[:k]
+            assert found[user] == ([i for _, i in best], [-s for s, _ in best])
+    last = spark.createDataFrame([(u, 2.0) for u in users], "user_id long, last double")
+    above = {r["user_id"]: r["items_above"] for r in recommend.above(model, last).collect()}
+    assert above == {u: sum(x @ y > 2 for y in items.values()) for u, x in users.items()}
 
 
 def test_audience(spark, model, ratings):
@@ -62,10 +119,9 @@ def test_audience(spark, model, ratings):
     scored = {r["user_id"]: r["prediction"] for r in recommend.audience(model, ratings, players, 30).collect()}
     gone = {r["user_id"] for r in players.collect()}
     pairs = ratings.select("user_id").distinct().withColumn("item_id", F.lit(30))
+    users, items = local_factors(model)
     expected = {
-        r["user_id"]: r["prediction"]
-        for r in model.transform(pairs).collect()
-        if r["user_id"] not in gone and r["prediction"] > 0
+        r["user_id"]: p for r in pairs.collect() if r["user_id"] not in gone and (p := users[r["user_id"]] @ items[30]) > 0
     }
     assert gone and scored == pytest.approx(expected, abs=1e-5)
     assert recommend.predict_item(model, ratings, 12345).count() == 0
@@ -86,10 +142,14 @@ def test_recommend(spark, model, ratings):
     assert kinds == {"existing": ratings.where("user_id = 3").count(), "recommended": 5}
 
 
-def test_ids_beyond_32_bits_raise(spark):
-    rows = spark.createDataFrame([(2**40, 1, 1.0)], "user_id long, item_id long, rating double")
-    with pytest.raises(Exception, match="(?i)overflow|integer"):
-        recommend.fit(rows, recommend.Settings(rank=2, iterations=1))
+def test_ids_beyond_32_bits(spark, model, ratings):
+    """Numbered in their order, wide ids give the model of the narrow ones."""
+    shift = {"user_id": F.col("user_id") + F.lit(2**40), "item_id": F.col("item_id") - F.lit(2**50)}
+    wide = recommend.fit(ratings.withColumns(shift), recommend.Settings(rank=4, iterations=3, reg=0.1, alpha=2.0))
+    solved = recommend.residuals(wide, ratings.withColumns(shift)).collect()
+    assert {r["user_id"] - 2**40 for r in solved} == set(local_factors(model)[0])
+    assert all(r["residual"] <= 1e-4 * r["scale"] for r in solved)
+    assert {i + 2**50 for i in local_factors(wide)[1]} == set(local_factors(model)[1])
 
 
 def test_decomposition(spark, ratings, matrix):
@@ -289,7 +349,7 @@ def test_sinks(spark, tmp_path, model):
         sinks.append_metrics(rows.limit(1), metrics)
     assert spark.read.parquet(metrics).count() == 3
     sinks.save_model(model, str(tmp_path / "als"))
-    assert sinks.load_model("als", str(tmp_path / "als")).rank == 4
+    assert sinks.load_model("als", str(tmp_path / "als")).settings.rank == 4
     vectors = spark.createDataFrame([(1, Vectors.sparse(4, [1], [2.0]))], tables.vector_schema("user_id"))
     sinks.write_table(vectors, str(tmp_path / "vectors"))
     assert tables.read_vectors(spark, str(tmp_path / "vectors")).select(vector_to_array("features")).first()[0][1] == 2.0
