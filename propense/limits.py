@@ -24,9 +24,3 @@ EXACT_ROWS = 100_000
 # number of ranges a long sorted group is cut into.
 SKETCH_ACCURACY = 2_000
 RANGES = 256
-
-# Items a factorisation may have: the item factors live on the driver.
-FACTORISED_ITEMS = 1_000_000
-
-# Up to this many items their Gram matrix (8 bytes per pair of items) is formed.
-GRAMIAN_ITEMS = 4096

@@ -152,16 +152,30 @@ def svd_item_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("item_id").agg(F.round(F.sum(F.col("value") * F.col("value")), 3).alias("energy"))
 
 
-@query()
+def _factors_sql(key: str) -> str:
+    return f"""WITH {INTERACTIONS_SQL}
+SELECT DISTINCT {key}, CAST(component AS INTEGER) AS component, TRUE AS holds FROM interactions, range(3) AS c(component)"""
+
+
+def _holding(misfits: DataFrame, d: svd.Decomposition) -> DataFrame:
+    holds = F.col("misfit") <= 1e-6 * d.singular_values[0]
+    return misfits.select(misfits.columns[0], "component", holds.alias("holds"))
+
+
+@query(_factors_sql("user_id"))
 def svd_user_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' factors of the three largest components: A v = s u holds for every user."""
     d = _decomposed(spark, sf_dir, 3)
-    return d.users.select("user_id", F.posexplode("u").alias("component", "value"))
+    return _holding(svd.misfits(d)[0], d)
 
 
-@query()
+@query(_factors_sql("item_id"))
 def svd_item_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items' factors of the three largest components, transposed: A^T u = s v holds for every item."""
     d = _decomposed(spark, sf_dir, 3)
-    return svd.transpose(d.items, "item_id", "v")
+    found = _holding(svd.misfits(d)[1], d)
+    turned = svd.transpose(d.items, "item_id", "v").select("item_id", F.col("column").alias("component"))
+    return found.join(turned, ["item_id", "component"])
 
 
 @query()

@@ -176,21 +176,45 @@ def test_decomposition(spark, ratings, matrix):
     component = lookalike.main_component(truncated, 50)
     row = truncated.items.where("item_id = 50").first()["v"]
     assert component == int(np.argmax(row))
-    with pytest.raises(ValueError, match="at most 5"):
-        decompose.decompose(entries, dictionary, 3, limit=5)
+    users = {r["user_id"]: r["u"][component] for r in truncated.users.collect()}
+    column = {r["user_id"]: r["score"] for r in decompose.component(truncated, component).collect()}
+    assert column == pytest.approx(users, abs=1e-9)
+
+
+@pytest.mark.parametrize("sent", [decompose.SENT_BYTES, 0])
+def test_decomposition_of_a_larger_matrix(spark, monkeypatch, sent):
+    """More items than the basis holds at once, singular values close together: against numpy, with blocks sent and joined."""
+    monkeypatch.setattr(decompose, "SENT_BYTES", sent)
+    monkeypatch.setattr(decompose, "USERS_AT_ONCE", 7)
+    monkeypatch.setattr(decompose, "FOLD", 1)
+    monkeypatch.setattr(decompose, "EXTRA", 8)
+    monkeypatch.setattr(decompose, "WIDEST", 4)
+    monkeypatch.setattr(decompose, "WIDE", 20)
+    rng = np.random.default_rng(8)
+    dense = rng.normal(size=(150, 90)) * (rng.random((150, 90)) < 0.3)
+    cells = [(int(u) + 2**35, int(i) - 40, float(dense[u, i])) for u, i in zip(*np.nonzero(dense), strict=True)]
+    rows = spark.createDataFrame(cells, "user_id long, item_id long, value double")
+    dictionary = features.item_dictionary(rows).cache()
+    d = decompose.decompose(features.indexed_entries(rows, dictionary, "value"), dictionary, 5)
+    assert np.array(d.singular_values) == pytest.approx(np.linalg.svd(dense, compute_uv=False)[:5], rel=1e-9)
+    v = np.array([r["v"] for r in d.items.orderBy("item_index").collect()])
+    u = np.array([r["u"] for r in d.users.orderBy("user_id").collect()])
+    assert v.T @ v == pytest.approx(np.eye(5), abs=1e-8) and u.T @ u == pytest.approx(np.eye(5), abs=1e-6)
+    assert dense @ v == pytest.approx(u * np.array(d.singular_values), abs=1e-6)
+    for misfit in decompose.misfits(d):
+        assert misfit.agg(F.max("misfit")).first()[0] < 1e-5
 
 
-def test_iterative_solver_gives_the_same(spark, ratings, monkeypatch):
-    dictionary = features.item_dictionary(ratings).cache()
-    entries = features.indexed_entries(ratings, dictionary, "rating")
-    results = []
-    for bound in (4096, 5):
-        monkeypatch.setattr(decompose, "GRAMIAN_ITEMS", bound)
-        d = decompose.decompose(entries, dictionary, 3)
-        users = {r["user_id"]: r["u"] for r in d.users.collect()}
-        results.append((d.singular_values, [users[u] for u in sorted(users)]))
-    assert np.array(results[0][0]) == pytest.approx(np.array(results[1][0]), rel=1e-7)
-    assert np.array(results[0][1]) == pytest.approx(np.array(results[1][1]), abs=1e-6)
+def test_decomposition_of_low_rank(spark):
+    cells = [(u, i, float((u + 1) * (i % 2 + 1))) for u in range(6) for i in range(9)]
+    rows = spark.createDataFrame(cells, "user_id long, item_id long, value double")
+    dictionary = features.item_dictionary(rows).cache()
+    entries = features.indexed_entries(rows, dictionary, "value")
+    d = decompose.decompose(entries, dictionary, 4)
+    assert d.singular_values == pytest.approx([np.linalg.norm([c[2] for c in cells])])
+    assert d.items.count() == 9 and d.users.count() == 6
+    none = decompose.decompose(entries.withColumn("value", F.lit(0.0)), dictionary, 4)
+    assert none.singular_values == () and none.items.count() == 9 and none.values.count() == 0
 
 
 def test_vectors_sum_repeated_cells(spark):
@@ -366,9 +390,8 @@ def test_staging_follows_the_session(spark, monkeypatch):
     assert rows.count() == 5 and folder.rstrip("/") in rows.inputFiles()[0]
 
 
-def test_local_matrices(spark):
-    rows = decompose.rows_of([[1.0, 2.0], [3.0, 4.0]], spark)
-    arrays = rows.select("row_id", vector_to_array("features").alias("values"))
+def test_transpose(spark):
+    arrays = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "row_id long, values array<double>")
     turned = {(r["column"], r["row_id"]): r["value"] for r in decompose.transpose(arrays, "row_id", "values").collect()}
     assert turned == {(0, 0): 1.0, (1, 0): 2.0, (0, 1): 3.0, (1, 1): 4.0}
 
