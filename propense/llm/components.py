@@ -15,23 +15,24 @@ def components(links: DataFrame) -> DataFrame:
     Links are turned into stars round by round: each id's larger neighbours move
     to its smallest neighbour, then its smaller ones do. A star stays as it is,
     and the number of rounds grows with the logarithm of the longest path. An
-    id's neighbours are never gathered: only their minimum is.
+    id's neighbours are never gathered: only their minimum is, and an id with
+    very many of them is salted when it meets its minimum.
     """
     links = links.select(F.greatest("a", "b").alias("up"), F.least("a", "b").alias("down"))
     links = stage(links.where("up != down").distinct(), "links")
     while not _stars(links):
         both = links.union(links.select("down", "up")).toDF("id", "other")
-        least = both.groupBy("id").agg(F.min("other").alias("least"))
+        least = stage(both.groupBy("id").agg(F.min("other").alias("least")), "least")
         large = stage(
-            both.join(least, "id")
+            lookup_join(both, least, "id", "inner")
             .where("other > id")
             .select(F.col("other").alias("up"), F.least("least", "id").alias("down"))
             .distinct(),
             "links",
         )
-        least = large.groupBy("up").agg(F.min("down").alias("least"))
+        least = stage(large.groupBy("up").agg(F.min("down").alias("least")), "least")
         links = stage(
-            large.join(least, "up")
+            lookup_join(large, least, "up", "inner")
             .where("down != least")
             .select(F.col("down").alias("up"), F.col("least").alias("down"))
             .union(least.select("up", F.col("least").alias("down")))

@@ -36,9 +36,14 @@ from propense.sources.staging import stage
 
 # Pairs of one pivot that a task verifies about at once: a pivot's text is repeated for as many of them.
 PIVOT_PAIRS = 1000
+# Characters of the texts whose hashes a task passes on at once.
+BATCH_CHARS = 4 << 20
 # Hash values that are held at once while a text is sketched.
 BLOCK = 1 << 19
 
+# Texts of up to so many k-mers are compared by sketches of one k-mer as well.
+SHORT = 12
+
 # Parities that tell most pairs apart before their texts are compared.
 MARKS = 1024
 
@@ -52,7 +57,10 @@ class Settings:
     """Words of a k-mer, the least similarity of a link, the number of sketches, and the k-mers of a sketch.
 
     Texts of similarity s agree on one sketch with a chance of about
-    s ** kmers: at 0.8 they miss all of them once in 300,000 times.
+    s ** kmers, somewhat less where texts are short: at 0.8 texts of more than
+    SHORT k-mers miss all of them about once in 300,000 (very long texts) to
+    50,000 times. Texts of fewer k-mers, and all that such a text can be similar
+    to, have as many sketches of one k-mer besides, which agree with a chance of s.
     """
 
     words: int = 5
@@ -105,13 +113,19 @@ def labelled_kmers(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def sketches(kmers: np.ndarray, settings: Settings) -> np.ndarray:
-    """One hash per sketch: of its sampled k-mers, in text order, and its number."""
+    """One hash per sketch: of its sampled k-mers, in text order, and its number; short texts have further ones of one k-mer."""
     numbers = np.arange(1, settings.sketches + 1, dtype=np.uint64)
-    salts = mixed(numbers * ODD)
-    out = np.empty(settings.sketches, np.uint64)
-    sampled = min(settings.kmers, len(kmers))
+    found = _sketched(kmers, mixed(numbers * ODD), settings.kmers)
+    if len(kmers) > SHORT / settings.similarity:
+        return found
+    return np.concatenate([found, _sketched(kmers, mixed((numbers + np.uint64(settings.sketches)) * ODD), 1)])
+
+
+def _sketched(kmers: np.ndarray, salts: np.ndarray, size: int) -> np.ndarray:
+    out = np.empty(len(salts), np.uint64)
+    sampled = min(size, len(kmers))
     step = max(1, BLOCK // len(kmers))
-    for start in range(0, settings.sketches, step):
+    for start in range(0, len(salts), step):
         salt = salts[start : start + step, None]
         values = mixed((kmers[None, :] ^ salt) * ODD)
         smallest = np.sort(np.argpartition(values, sampled - 1, axis=1)[:, :sampled], axis=1)
@@ -182,51 +196,38 @@ def possible(other: str, settings: Settings) -> Column:
     return (F.abs(size - their_size) <= most) & (differ <= most)
 
 
-def digest_and_words(text: Column | str, settings: Settings) -> Column:
-    """Column struct<digest, words, size, bits> of a text: its words, four bytes each, the number and marks of its k-mers."""
+HASHED = "doc_id long, digest binary, sketches array<long>, words binary, size int, bits array<long>"
+
 
-    @arrow_udf("struct<digest:binary,words:binary,size:int,bits:array<long>>")
-    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def hashed(settings: Settings):
+    """Task that gives all that is compared of each text: its digest, sketches (none without words), words of four bytes
+    each, and the number and marks of its k-mers. A batch goes out as soon as it has so many characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, hashes, sizes, bits = [], [], [], []
-            for one in texts_of(batch):
+            rows: list[tuple] = []
+            held = 0
+            for doc_id, one in zip(batch.column("doc_id"), texts_of(batch.column("text")), strict=True):
                 words = normal_words(one)
                 numbers = word_hashes(words)
                 kmers = labelled_kmers(numbers, settings.words) if words else np.zeros(0, np.uint64)
-                digests.append(digest(one, words))
-                hashes.append(numbers.tobytes())
-                sizes.append(len(kmers))
-                bits.append(parities(kmers))
-            yield pa.StructArray.from_arrays(
-                [
-                    pa.array(digests, pa.binary()),
-                    pa.array(hashes, pa.binary()),
-                    pa.array(sizes, pa.int32()),
-                    pa.array(bits, pa.list_(pa.int64())),
-                ],
-                names=["digest", "words", "size", "bits"],
-            )
+                found = sketches(kmers, settings).view(np.int64) if words else None
+                rows.append((doc_id.as_py(), digest(one, words), found, numbers.tobytes(), len(kmers), parities(kmers)))
+                held += len(one)
+                if held > BATCH_CHARS:
+                    yield _hashed_batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _hashed_batch(rows)
 
-    return hashed(text)
+    return run
 
 
-def digest_and_sketches(text: Column | str, settings: Settings) -> Column:
-    """Column struct<digest, sketches> of a text; no sketches for a text without words."""
-
-    @arrow_udf("struct<digest:binary,sketches:array<long>>")
-    def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            digests, found = [], []
-            for text in texts_of(batch):
-                words = normal_words(text)
-                digests.append(digest(text, words))
-                kmers = labelled_kmers(word_hashes(words), settings.words) if words else None
-                found.append(None if kmers is None else sketches(kmers, settings).view(np.int64))
-            yield pa.StructArray.from_arrays(
-                [pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["digest", "sketches"]
-            )
-
-    return sketched(text)
+def _hashed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    longs = pa.list_(pa.int64())
+    kinds = [pa.int64(), pa.binary(), longs, pa.binary(), pa.int32(), longs]
+    columns = [pa.array(list(values), kind) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "sketches", "words", "size", "bits"])
 
 
 def aligned(first: Column | str, second: Column | str, settings: Settings) -> Column:
@@ -269,34 +270,28 @@ def _verified(pairs: DataFrame, words: DataFrame, settings: Settings) -> DataFra
     )
 
 
-def linked_texts(docs: DataFrame, texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def linked_texts(rows: DataFrame, texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """`digest` and `component` of the different texts that have near-duplicates.
 
-    `texts` has one row per different text: its digest and its sketches.
+    `rows` has what `hashed` gives, and `texts` one row per different text: its digest and its sketches.
     """
     bands = texts.select("digest", F.explode("sketches").alias("sketch"))
     # Sketches that one text has are dropped; the others have a first pivot.
     groups = bands.groupBy("sketch").agg(F.min("digest").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     members = stage(bands.join(groups, "sketch"), "omh_members")
     near = stage(members.select("digest").distinct(), "omh_near")
-    words = docs.select(digest_and_words("text", settings).alias("made")).select("made.*")
+    words = rows.select("digest", "words", "size", "bits")
     words = stage(lookup_join(words, near, "digest", "left_semi").dropDuplicates(["digest"]), "omh_words")
 
     marks = words.select("digest", "size", "bits")
-    pairs = (
-        members.where("digest != pivot")
-        .select("digest", "pivot")
-        .distinct()
-        .join(marks, "digest")
-        .join(marks.toDF("pivot", "pivot_size", "pivot_bits"), "pivot")
-        .where(possible("pivot_", settings))
-    )
+    pairs = lookup_join(members.where("digest != pivot").select("digest", "pivot").distinct(), marks, "digest", "inner")
+    pairs = lookup_join(pairs, marks.toDF("pivot", "pivot_size", "pivot_bits"), "pivot", "inner").where(possible("pivot_", settings))
     pairs = stage(pairs.select(F.col("digest").alias("a"), "pivot"), "omh_pairs")
     labels = components(_verified(pairs, words, settings))
-    used = members.select("sketch", "pivot").distinct()
+    used = stage(members.select("sketch", "pivot").distinct(), "omh_used")
     tested = pairs.select(F.least("a", "pivot").alias("low"), F.greatest("a", "pivot").alias("high"))
     # A pair that is not possible has been compared as well: by its marks.
-    members = members.select("sketch", "digest").join(marks, "digest")
+    members = lookup_join(members.select("sketch", "digest"), marks, "digest", "inner")
     pivots = 1
     while True:
         pivots *= 16
@@ -304,7 +299,7 @@ def linked_texts(docs: DataFrame, texts: DataFrame, settings: Settings = Setting
         if members.isEmpty():
             return labels.withColumnRenamed("id", "digest")
         fresh = stage(
-            members.join(used.withColumnRenamed("pivot", "digest"), ["sketch", "digest"], "left_anti")
+            lookup_join(members, used.withColumnRenamed("pivot", "digest"), ["sketch", "digest"], "left_anti")
             .groupBy("sketch", F.pmod(F.xxhash64("digest"), F.lit(pivots)).alias("slot"))
             .agg(F.min(F.struct("digest", "component", "size", "bits")).alias("pivot"))
             .select("sketch", "pivot.*")
@@ -312,12 +307,12 @@ def linked_texts(docs: DataFrame, texts: DataFrame, settings: Settings = Setting
             "omh_fresh",
         )
         met = (
-            members.join(fresh, "sketch")
+            lookup_join(members, fresh, "sketch", "inner")
             .where((F.col("component") != F.col("pivot_component")) & possible("pivot_", settings))
             .select(F.least("digest", "pivot").alias("low"), F.greatest("digest", "pivot").alias("high"))
             .distinct()
         )
-        pairs = stage(met.join(tested, ["low", "high"], "left_anti"), "omh_pairs")
+        pairs = stage(lookup_join(met, tested, ["low", "high"], "left_anti"), "omh_pairs")
         used = stage(used.union(fresh.select("sketch", "pivot")), "omh_used")
         if pairs.isEmpty():
             continue
@@ -328,19 +323,16 @@ def linked_texts(docs: DataFrame, texts: DataFrame, settings: Settings = Setting
 
 def _open(members: DataFrame, labels: DataFrame, used: DataFrame) -> DataFrame:
     """The members (sketch, digest, component) of the sketches whose texts are of several classes, two of them not yet pivots."""
-    named = (
-        members.join(labels, "digest", "left")
-        .join(used.select("sketch", F.col("pivot").alias("digest"), F.lit(1).alias("used")), ["sketch", "digest"], "left")
-        .withColumn("component", F.coalesce("component", "digest"))
-    )
-    named = stage(named, "omh_named")
+    as_pivots = used.select("sketch", F.col("pivot").alias("digest"), F.lit(1).alias("used"))
+    named = lookup_join(lookup_join(members, labels, "digest"), as_pivots, ["sketch", "digest"])
+    named = stage(named.withColumn("component", F.coalesce("component", "digest")), "omh_named")
     open_ = (
         named.groupBy("sketch")
         .agg(F.min("component").alias("least"), F.max("component").alias("most"), (F.count("*") - F.count("used")).alias("fresh"))
         .where("least != most AND fresh >= 2")
         .select("sketch")
     )
-    return stage(named.join(open_, "sketch", "left_semi").drop("used"), "omh_open")
+    return stage(lookup_join(named, stage(open_, "omh_open"), "sketch", "left_semi").drop("used"), "omh_open")
 
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -353,26 +345,27 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     none has an id; rows that repeat it in id and text are marked with it. Other
     columns are not read. An empty table gives an empty result.
     """
-    rows = stage(
-        docs.select("doc_id", digest_and_sketches("text", settings).alias("made")).select("doc_id", "made.*"), "omh_rows"
-    )
+    rows = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed(settings), HASHED), "omh_rows")
     texts = stage(
         rows.groupBy("digest").agg(
             F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("sketches").alias("sketches")
         ),
         "omh_texts",
     )
-    labels = linked_texts(docs, texts.select("digest", "sketches"), settings)
-    named = texts.select("digest", "first", "rows").join(labels, "digest", "left")
+    labels = linked_texts(rows, texts.select("digest", "sketches"), settings)
+    named = lookup_join(texts.select("digest", "first", "rows"), labels, "digest")
     named = stage(named.withColumn("component", F.coalesce("component", "digest")), "omh_named")
     found = named.groupBy("component").agg(
         F.sum("rows").alias("class_size"),
         F.min(F.struct(F.col("first").isNull(), "first", "digest")).alias("best"),
     )
     by_text = stage(
-        named.select("digest", "component").join(found, "component").select("digest", "class_size", "best"), "omh_classes"
+        lookup_join(named.select("digest", "component"), stage(found, "omh_found"), "component", "inner").select(
+            "digest", "class_size", "best"
+        ),
+        "omh_classes",
     )
-    return rows.select("doc_id", "digest").join(by_text.withColumnRenamed("digest", "_text"), F.col("digest") == F.col("_text")).select(
+    return lookup_join(rows.select("doc_id", "digest"), by_text, "digest", "inner").select(
         "doc_id",
         "digest",
         F.col("best.first").alias("class_id"),
