@@ -87,8 +87,8 @@ class Pieces:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.joins: dict[int, tuple[str, str] | None] = {}
-        self.words: dict[str, str] = {}
-        self.older_words: dict[str, str] = {}
+        self.words: dict[str, tuple[str, str]] = {}
+        self.older_words: dict[str, tuple[str, str]] = {}
         self.space_runs: dict[int, list[int]] = {}
         self.outside = re.compile("[^" + "".join(re.escape(p) for p in self.ids if len(p) == 1) + "]+")
         # What an id adds to a text; None for bytes that only give a character together with others.
@@ -215,59 +215,69 @@ class Pieces:
             return self.spaces(run) + ids[1:]
         return self.spaces(run - 1) + ids if run > 1 else ids
 
-    def word(self, text: str) -> str:
-        """The ids of a segment as text, through the cache."""
+    def word(self, text: str) -> tuple[str, str]:
+        """The ids of a segment as text, and what they decode to, through the cache."""
         known = self.older_words.get(text)
         if known is None:
-            known = " ".join(map(str, self.segment(text)))
+            ids = self.segment(text)
+            known = " ".join(map(str, ids)), self.surfaces(ids)
         if len(text) <= WORD_KEPT_CHARS:
             if len(self.words) >= WORDS_KEPT:
                 self.older_words, self.words = self.words, {}
             self.words[text] = known
         return known
 
-    def encode_text(self, text: str) -> str:
-        """The ids of a text and the end id, joined by spaces."""
-        out = []
+    def segments(self, text: str) -> Iterator[tuple[str, str]]:
+        """`word` of each segment of a text. Each begins with a space, so no character's bytes lie in two of them."""
         if text:
             kept = self.words
             for segment in SEGMENT.findall(SPACE + text.replace(" ", SPACE)):
-                ids = kept.get(segment)
-                if ids is None:
-                    ids = self.word(segment)
+                known = kept.get(segment)
+                if known is None:
+                    known = self.word(segment)
                     kept = self.words
-                out.append(ids)
-        out.append(str(self.end))
-        return " ".join(out)
+                yield known
+
+    def encode_and_decode(self, text: str) -> tuple[str, str]:
+        """The ids of a text and the end id, joined by spaces, and what these ids decode to, segment by segment."""
+        ids, surfaces = [], []
+        for known, surface in self.segments(text):
+            ids.append(known)
+            surfaces.append(surface)
+        ids.append(str(self.end))
+        # The first piece begins with the space that was put in front.
+        return " ".join(ids), "".join(surfaces)[1:]
+
+    def encode_text(self, text: str) -> str:
+        """The ids of a text and the end id, joined by spaces."""
+        return " ".join([*(ids for ids, _ in self.segments(text)), str(self.end)])
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.encode_text(text).split(" ")]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: bytes are gathered into characters, control ids are silent, the space in front goes."""
+    def surfaces(self, ids: list[int]) -> str:
+        """The text of ids with the space in front: bytes are gathered into characters, control ids are silent."""
         surface = self.surface
         if self.partial.isdisjoint(ids):
-            out = [surface[i] for i in ids]
-        else:
-            out, held = [], bytearray()
-            for i in ids:
-                if i in self.partial:
-                    held.append(self.byte_of[i])
-                    out.append("")
-                    continue
-                if held and i not in self.silent:
-                    out[-1] += characters(bytes(held))
-                    held.clear()
-                out.append(surface[i])
-            if held:
-                out[-1] += characters(bytes(held))
-        for place, i in enumerate(ids):
-            if i not in self.silent:
-                if self.pieces[i].startswith(SPACE):
-                    out[place] = out[place][1:]
-                break
+            return "".join([surface[i] for i in ids])
+        out, held = [], bytearray()
+        for i in ids:
+            if i in self.partial:
+                held.append(self.byte_of[i])
+                continue
+            if held and i not in self.silent:
+                out.append(characters(bytes(held)))
+                held.clear()
+            out.append(surface[i])
+        out.append(characters(bytes(held)))
         return "".join(out)
 
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids, without the space that was put in front."""
+        text = self.surfaces(ids)
+        first = next((i for i in ids if i not in self.silent), None)
+        return text[1:] if first is not None and self.pieces[first].startswith(SPACE) else text
+
 
 def characters(data: bytes) -> str:
     """Decode UTF-8; each byte that belongs to no character becomes one replacement sign."""
@@ -301,9 +311,12 @@ def encoded_and_decoded(text: Column | str, path: str) -> Column:
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = pieces_of(path)
         for batch in batches:
-            ids = [pieces.encode_text(t) for t in texts_of(batch)]
-            back = pa.array((pieces.decode(list(map(int, i.split(" ")))) for i in ids), pa.string())
-            yield pa.StructArray.from_arrays([id_lists(ids), back], names=["ids", "text"])
+            ids, back = [], []
+            for one in texts_of(batch):
+                of_text, again = pieces.encode_and_decode(one)
+                ids.append(of_text)
+                back.append(again)
+            yield pa.StructArray.from_arrays([id_lists(ids), pa.array(back, pa.string())], names=["ids", "text"])
 
     return both(text)
 
@@ -346,10 +359,10 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             counts, ids_digests, text_digests = [], [], []
             for text in texts_of(batch):
-                ids = pieces.encode_text(text)
+                ids, again = pieces.encode_and_decode(text)
                 counts.append(ids.count(" ") + 1)
                 ids_digests.append(sha256(ids))
-                text_digests.append(sha256(pieces.decode(list(map(int, ids.split(" "))))))
+                text_digests.append(sha256(again))
             yield pa.StructArray.from_arrays(
                 [pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())],
                 names=["n_tokens", "ids_sha256", "decoded_sha256"],
