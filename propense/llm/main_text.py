@@ -46,7 +46,9 @@ SURROUNDING_NAMES = re.compile(
 MODIFIED = re.compile(r"(?<![a-z])(?:has|have|no|non|not|with|without)(?![a-z])", re.IGNORECASE)
 COMMENT_NAMES = re.compile(r"(?<![a-z])(?:comments?|commentlist|respond|replies|disqus)(?![a-z])", re.IGNORECASE)
 # Headings that a story's sections are named after.
-SECTION_NAMES = frozenset("discussion recommendation recommendations consent notice notices navigation".split())
+SECTION_NAMES = frozenset("discussion recommendation recommendations consent notice notices navigation social".split())
+# What holds a story's title, alone or as in entry-header and article_header.
+HEADER_NAMES = re.compile(r"(?<![a-z])(?:headers?|masthead)(?![a-z])", re.IGNORECASE)
 SURROUNDING_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 TOKEN = re.compile(
@@ -87,11 +89,36 @@ def surrounds_by_name(tag: str, rest: str, in_story: bool) -> bool:
     names = names_of(rest)
     if tag == "article":
         return any(COMMENT_NAMES.search(name) for name in names)
+    if in_story:
+        names = [name for name in names if SURROUNDING_NAMES.search(HEADER_NAMES.sub(" ", name))]
     if tag == "section" and in_story:
         names = [name for name in names if name.lower() not in SECTION_NAMES]
     return bool(names)
 
 
+class OpenTags:
+    """The containers that are open, each with what is known of it; an end tag finds its container at once."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple] = []
+        self.places: dict[str, list[int]] = {}
+
+    def open(self, tag: str, *known) -> None:
+        self.places.setdefault(tag, []).append(len(self.held))
+        self.held.append((tag, *known))
+
+    def close(self, tag: str) -> list[tuple]:
+        """The containers that an end tag closes, outermost first: the last of its name and all within it; none if none is open."""
+        places = self.places.get(tag)
+        if not places:
+            return []
+        closed = self.held[places[-1] :]
+        del self.held[places[-1] :]
+        for one in closed:
+            self.places[one[0]].pop()
+        return closed
+
+
 def story_holders(page: str) -> frozenset[int]:
     """The numbers of the containers that hold the page's story although they are named or formed like surroundings.
 
@@ -101,7 +128,7 @@ def story_holders(page: str) -> frozenset[int]:
     """
     # Open containers: tag, whether it surrounds by kind, by name, and as comments, whether it counts as a story,
     # and the numbers of the named containers around it, as pairs of a number and the further ones.
-    open_tags: list[tuple[str, bool, bool, bool, bool, tuple | None]] = []
+    open_tags = OpenTags()
     stories: list[int] = []  # places of the open stories in `lengths`
     lengths: list[int] = []
     found: list[tuple[tuple | None, bool]] = []
@@ -125,20 +152,17 @@ def story_holders(page: str) -> frozenset[int]:
             continue
         rest = token["rest"] or token["rest2"] or ""
         if token["end"] or token["end2"]:
-            places = [i for i, one in enumerate(open_tags) if one[0] == tag]
-            if places:
-                for _, kind, by_name, comment, story, _ in open_tags[places[-1] :]:
-                    kinds, named, commented = kinds - kind, named - by_name, commented - comment
-                    if story:
-                        stories.pop()
-                del open_tags[places[-1] :]
+            for _, kind, by_name, comment, story, _ in open_tags.close(tag):
+                kinds, named, commented = kinds - kind, named - by_name, commented - comment
+                if story:
+                    stories.pop()
         elif not rest.endswith("/"):
             number += 1
             in_story = bool(stories)
             kind = tag != "form" and surrounds_by_kind(tag, rest, in_story)
             by_name = tag == "form" or surrounds_by_name(tag, rest, in_story)
             comment = by_name and any(COMMENT_NAMES.search(name) for name in names_of(rest))
-            around = open_tags[-1][-1] if open_tags else None
+            around = open_tags.held[-1][-1] if open_tags.held else None
             if by_name:
                 around = (number, around)
             story = tag in STORIES and not kinds and not kind
@@ -146,7 +170,7 @@ def story_holders(page: str) -> frozenset[int]:
                 stories.append(len(lengths))
                 lengths.append(0)
                 found.append((around, bool(commented) or comment))
-            open_tags.append((tag, kind, by_name, comment, story, around))
+            open_tags.open(tag, kind, by_name, comment, story, around)
             kinds, named, commented = kinds + kind, named + by_name, commented + comment
     best, around = outside, None
     for length, (containers, comment) in zip(lengths, found, strict=True):
@@ -170,7 +194,7 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool, int]]:
     held: list[str] = []
     linked = length = 0
     holders: frozenset[int] | None = None if STORY.search(page) else frozenset()
-    open_tags: list[tuple[str, bool, int]] = []  # containers that are open, whether each holds surroundings, their numbers
+    open_tags = OpenTags()  # whether each holds surroundings, and its number
     inside = stories = links = number = 0
     empty = False
 
@@ -179,7 +203,7 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool, int]]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                yield text, len(text) if stories or length > linked else 0, stories > 0, open_tags[-1][2] if open_tags else 0
+                yield text, len(text) if stories or length > linked else 0, stories > 0, open_tags.held[-1][2] if open_tags.held else 0
                 empty = False
             held.clear()
         linked = length = 0
@@ -211,15 +235,12 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool, int]]:
             if tag not in CONTAINERS:
                 continue
             if ends:
-                places = [i for i, (name, _, _) in enumerate(open_tags) if name == tag]
-                if places:
-                    for name, aside, _ in open_tags[places[-1] :]:
-                        inside -= aside
-                        if name in STORIES and inside == 0:
-                            stories -= 1
-                            if stories == 0:
-                                yield from [("", 0, False, 0)] * WINDOW
-                    del open_tags[places[-1] :]
+                for name, aside, _ in open_tags.close(tag):
+                    inside -= aside
+                    if name in STORIES and inside == 0:
+                        stories -= 1
+                        if stories == 0:
+                            yield from [("", 0, False, 0)] * WINDOW
             elif not rest.endswith("/"):
                 number += 1
                 aside = surrounds_by_kind(tag, rest, stories > 0) or surrounds_by_name(tag, rest, stories > 0)
@@ -230,7 +251,7 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool, int]]:
                 if aside and inside == 0 and not empty:
                     yield "", 0, stories > 0, 0
                     empty = True
-                open_tags.append((tag, aside, number))
+                open_tags.open(tag, aside, number)
                 if tag in STORIES and inside == 0 and not aside:
                     if stories == 0:
                         yield from [("", 0, False, 0)] * WINDOW

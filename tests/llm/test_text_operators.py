@@ -529,3 +529,29 @@ def test_grams_do_not_depend_on_blocks():
     whole = sorted(np.concatenate(list(language_id.grams(text, settings))).tolist())
     for block in (7, 64, 701):
         assert sorted(np.concatenate(list(language_id.grams(text, settings, block))).tolist()) == whole
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article><header class="entry-header"><h1>The title</h1></header><div class="entry-content"><p>Body text here.</p></div></article>',
+        '<main><header class="article-header"><h1>The title</h1></header><p>Body text here.</p></main>',
+        '<article><div class="post_header"><h1>The title</h1></div><section id="social"><p>Body text here.</p></section></article>',
+    ],
+)
+def test_a_storys_own_header_and_sections_stay(page):
+    assert main_text.main_blocks("<nav>Menu</nav>" + page + '<div class="site-header">Site</div>') == ["The title", "Body text here."]
+
+
+def test_inserts_of_a_story_go():
+    page = '<article><p>One.</p><div class="header-ad">Buy</div><div class="share">Share</div><p>Two.</p></article>'
+    assert main_text.main_blocks(page) == ["One.", "Two."]
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    start = time.time()
+    assert main_text.main_blocks("<div>" * 50_000 + "deep" + "</div>" * 50_000) == ["deep"]
+    assert main_text.main_blocks("<div>" * 50_000 + "deep" + "</section>" * 50_000) == ["deep"]
+    assert time.time() - start < 20
