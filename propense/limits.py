@@ -20,6 +20,9 @@ SKETCHED_KEYS = 8192
 # Rows an exact quantile may look at in one aggregation buffer or one window.
 EXACT_ROWS = 100_000
 
+# Rows that a task sorts about when a table is numbered.
+PART_ROWS = 500_000
+
 # Accuracy of the approximate quantiles that bracket an exact one, and the
 # number of ranges a long sorted group is cut into.
 SKETCH_ACCURACY = 2_000

@@ -66,6 +66,7 @@ def fold_summary(folds: DataFrame) -> DataFrame:
     )
 
 
+# The formats of the report lines below.
 def metrics_text() -> Column:
     """The seven metrics with four decimals."""
     return F.format_string("%.4f,%.4f,  %.4f,%.4f,%.4f,%.4f,%.4f", *METRICS)

@@ -15,12 +15,13 @@ from propense.sources.tables import vector_schema
 
 
 def item_dictionary(interactions: DataFrame) -> DataFrame:
-    """`item_id, item_index`: a dense column number in ascending id order."""
-    return dense_index(interactions.select("item_id").distinct(), "item_id", "item_index")
+    """`item_id, item_index`: a dense column number in ascending id order, of 32 bits as vectors have them."""
+    numbered = dense_index(interactions.select("item_id").distinct(), "item_id", "item_index")
+    return numbered.withColumn("item_index", F.col("item_index").cast("int"))
 
 
 def reindex(interactions: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """Replace wide ids by dense 32-bit ones: the table under new ids and the dictionary `column, dense`."""
+    """Replace wide ids by dense ones: the table under new ids and the dictionary `column, dense`."""
     dictionary = stage(dense_index(interactions.select(column).distinct(), column, "dense"), "ids")
     joined = lookup_join(interactions, dictionary, column, "inner")
     columns = [F.col("dense").alias(column) if c == column else F.col(c) for c in interactions.columns]
@@ -56,6 +57,16 @@ def user_vectors(entries: DataFrame, n_items: int, vector_type: T.DataType | Non
     return stage(rows, "vectors", vector_schema("user_id", vector_type=vector_type or VectorUDT()))
 
 
+def vector_cells(vectors: DataFrame, column: str, key: str = "user_id") -> DataFrame:
+    """`user_id, item_index, value`: the cells that a vector stores, those of a sparse one without the zeros between them."""
+    stored = F.unwrap_udt(column)
+    # A dense vector stores no indices.
+    values = stored["values"]
+    places = F.coalesce(stored["indices"], F.sequence(F.lit(0), F.size(values) - 1))
+    cells = vectors.select(key, F.explode(F.arrays_zip(places.alias("item_index"), values.alias("value"))).alias("cell"))
+    return cells.select(key, "cell.item_index", "cell.value")
+
+
 def vector_element(vector: Column, index: int) -> Column:
     """Element of a vector column; null outside of it."""
     return F.get(vector_to_array(vector), index)

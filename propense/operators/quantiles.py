@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from propense.limits import EXACT_ROWS, RANGES, SKETCH_ACCURACY
+from propense.limits import EXACT_ROWS, PART_ROWS, RANGES, SKETCH_ACCURACY
+from propense.operators.joins import lookup_join
 from propense.sources.staging import stage
 
 
@@ -234,27 +235,30 @@ def with_range(df: DataFrame, column: str, splits: list[float], name: str = "_ra
     return bucketizer.transform(numbered).drop("_as_double")
 
 
-def dense_index(ids: DataFrame, column: str, name: str, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """Number distinct ids 0, 1, 2, ... in ascending order.
+def dense_index(ids: DataFrame, column: str, name: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """Number distinct ids 0, 1, 2, ... in ascending order, as 64-bit numbers.
 
-    The ids are staged, since a long list is read several times: it is cut into
-    ranges that are numbered in parallel and shifted by the sizes of the ranges
-    before them.
+    The ids are dealt into as many ranges as their number asks for and sorted
+    within each; a row's number is its place there behind the sizes of the ranges before.
     """
     ids = stage(ids.select(column), "distinct")
-    order = Window.orderBy(column)
-    if ids.count() <= exact_rows:
-        return ids.select(column, (F.row_number().over(order) - 1).cast("int").alias(name))
-    ranged = with_range(ids, column, range_splits(ids, column))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        ranged.groupBy("_range")
-        .count()
-        .select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
-    )
-    position = F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1
+    parts = max(1, math.ceil(ids.count() / part_rows))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = ids.repartitionByRange(parts, column).sortWithinPartitions(column)
+    placed = stage(ranged.select(column, F.spark_partition_id().alias("_part"), place.alias("_place")), "placed")
+    offsets = stage(running_offsets(placed.groupBy("_part").agg(F.count("*").alias("_size"))), "offsets")
+    return lookup_join(placed, offsets, "_part", "inner").select(column, (F.col("_place") + F.col("_offset")).alias(name))
+
+
+def running_offsets(sizes: DataFrame, block: int = PART_ROWS) -> DataFrame:
+    """`_part, _offset`: the sum of `_size` over all smaller parts, added up in blocks of parts and then over the blocks."""
+    blocked = sizes.withColumn("_block", F.expr(f"_part div {block}"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy("_block").agg(F.sum("_size").alias("_total"))
+    starts = totals.select("_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_block").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        ranged.withColumn("_position", position)
-        .join(F.broadcast(shifts), "_range")
-        .select(column, (F.col("_position") + F.col("_shift")).cast("int").alias(name))
+        blocked.withColumn("_within", F.coalesce(F.sum("_size").over(within), F.lit(0)))
+        .join(starts, "_block")
+        .select("_part", (F.col("_start") + F.col("_within")).alias("_offset"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from propense.functions import parsing
 from propense.operators import popularity as pop
-from propense.operators.features import indexed_entries, item_dictionary, reindex, user_vectors, users_above
+from propense.operators.features import indexed_entries, item_dictionary, reindex, user_vectors, users_above, vector_cells
 from propense.operators.lookalike import flag_members
 from propense.operators.recommend import non_players, players_of
 from propense.plans.fixtures import (
@@ -38,7 +38,7 @@ def item_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {INTERACTIONS_SQL}
-SELECT CAST(dense_rank() OVER (ORDER BY user_id) - 1 AS INTEGER) AS user_id, item_id, strength FROM interactions""")
+SELECT CAST(dense_rank() OVER (ORDER BY user_id) - 1 AS BIGINT) AS user_id, item_id, strength FROM interactions""")
 def reindexed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User ids replaced by dense ones, as models with 32-bit ids need."""
     rows = stage(interactions(spark, sf_dir).select("user_id", "item_id", "strength"), "interactions")
@@ -61,8 +61,7 @@ FROM interactions i JOIN dictionary d ON i.item_id = d.item_id WHERE coalesce(i.
 def _vectors_long(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
     entries, dictionary = entries_of(spark, sf_dir, value)
     vectors = user_vectors(entries, dictionary.count())
-    cells = vectors.select("user_id", F.posexplode(vector_to_array("features")).alias("item_index", "value"))
-    return cells.where(F.col("value") != 0)
+    return vector_cells(vectors, "features").where(F.col("value") != 0)
 
 
 @query(_vectors_sql("active_days"))

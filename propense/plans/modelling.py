@@ -249,7 +249,7 @@ def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user is assigned to a nearest centre."""
     vectors = _clustered(spark, sf_dir).select("user_id", "features")
-    model = clusters.fit(vectors, 10, SEED, 20)
+    model = clusters.fit(vectors, 10, SEED)
     centres = F.lit([centre.tolist() for centre in model.clusterCenters()])
     element = vector_to_array("features")
 
@@ -263,14 +263,14 @@ def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.centres(clusters.fit(_clustered(spark, sf_dir), 10, SEED, 20), spark)
+    return clusters.centres(clusters.fit(_clustered(spark, sf_dir), 10, SEED), spark)
 
 
 @query()
 def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of all users, stored."""
     vectors = _clustered(spark, sf_dir)
-    model = clusters.fit(vectors, 10, SEED, 20)
+    model = clusters.fit(vectors, 10, SEED)
     return stage(clusters.assign(model, vectors.select("user_id", "features")), "clusters")
 
 
@@ -285,7 +285,7 @@ UNION ALL SELECT 'test', count(*) FILTER (WHERE is_target AND {draw_sql(SEED, "u
 def kmeans_report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cluster sizes of each segment add up to the segment."""
     vectors = _clustered(spark, sf_dir)
-    report = clusters.report(clusters.assign(clusters.fit(vectors, 10, SEED, 20), vectors))
+    report = clusters.report(clusters.assign(clusters.fit(vectors, 10, SEED), vectors))
     return report.groupBy("segment").agg(F.sum("count").alias("users"))
 
 
@@ -318,7 +318,7 @@ def lda_term_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _topics(spark: SparkSession, sf_dir: str):
     counts = parsing.parse_counts(event_counts(spark, sf_dir))
-    return topics.fit(stage(topics.count_vectors(counts), "corpus"), 3, 10, SEED)
+    return topics.fit(stage(topics.count_vectors(counts), "corpus"), 3, 20, SEED)
 
 
 @query()
@@ -333,7 +333,7 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     als = recommend.fit(rows, IMPLICIT)
     entries, dictionary = entries_of(spark, sf_dir, "active_days")
     vectors = user_vectors(entries, dictionary.count())
-    kmeans = clusters.fit(vectors, 5, SEED, 10)
+    kmeans = clusters.fit(vectors, 5, SEED)
     paths = {kind: staging_path(spark, kind) for kind in ("als", "kmeans")}
     save_model(als, paths["als"])
     save_model(kmeans, paths["kmeans"])

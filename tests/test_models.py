@@ -217,6 +217,13 @@ def test_decomposition_of_low_rank(spark):
     assert none.singular_values == () and none.items.count() == 9 and none.values.count() == 0
 
 
+def test_cells_of_vectors(spark):
+    rows = [(1, Vectors.sparse(5, [1, 4], [2.0, 0.0])), (2, Vectors.dense([0.0, 3.0])), (3, Vectors.sparse(5, [], []))]
+    vectors = spark.createDataFrame(rows, tables.vector_schema("user_id"))
+    cells = sorted(map(tuple, features.vector_cells(vectors, "features").collect()))
+    assert cells == [(1, 1, 2.0), (1, 4, 0.0), (2, 0, 0.0), (2, 1, 3.0)]
+
+
 def test_vectors_sum_repeated_cells(spark):
     rows = spark.createDataFrame([(1, 10, 2), (1, 10, 3), (1, 30, None), (2, 20, 4)], "user_id long, item_id int, x int")
     dictionary = features.item_dictionary(rows)

@@ -109,9 +109,18 @@ def test_quintiles_of_few_rows_are_lowest(spark):
 def test_dense_index_in_ranges(spark):
     ids = random.Random(5).sample(range(10**9), 700)
     data = spark.createDataFrame([(i,) for i in ids], "item_id long")
-    for exact_rows in (10_000, 10):
-        result = quantiles.dense_index(data, "item_id", "n", exact_rows)
+    for part_rows in (10_000, 50):
+        result = quantiles.dense_index(data, "item_id", "n", part_rows)
         assert {r["item_id"]: r["n"] for r in result.collect()} == {v: i for i, v in enumerate(sorted(ids))}
+    assert quantiles.dense_index(data.limit(0), "item_id", "n").count() == 0
+
+
+def test_numbers_beyond_32_bits(spark):
+    sizes = [(part, 2**31 + part) for part in (0, 1, 2, 3, 7, 8, 40)]
+    table = spark.createDataFrame(sizes, "_part int, _size long")
+    for block in (1, 2, 5, 1000):
+        found = {r["_part"]: r["_offset"] for r in quantiles.running_offsets(table, block).collect()}
+        assert found == {part: sum(n for p, n in sizes if p < part) for part, _ in sizes}
 
 
 def keyed(spark):
