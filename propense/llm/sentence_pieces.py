@@ -29,10 +29,12 @@ from pyspark.sql.functions import arrow_udf
 
 from propense.llm.tables import texts_of
 
-# Words and pairs a worker remembers. Words are kept for two generations of this size: one that
-# is met again moves to the newer one.
-WORDS_KEPT = 250_000
-PAIRS_KEPT = 500_000
+# Words and pairs a worker remembers. A word is kept from its second sight on, for two generations
+# of this size: one that is met again moves to the newer one. Most words are seen once; a bit each
+# marks them, and the marks are forgotten when half as many words as bits have come.
+WORDS_KEPT = 60_000
+SEEN_BITS = 1 << 22
+PAIRS_KEPT = 250_000
 # Longer words pass through the table each time instead of filling the cache.
 WORD_KEPT_CHARS = 64
 
@@ -89,6 +91,8 @@ class Pieces:
         self.joins: dict[int, tuple[str, str] | None] = {}
         self.words: dict[str, tuple[str, str]] = {}
         self.older_words: dict[str, tuple[str, str]] = {}
+        self.seen = bytearray(SEEN_BITS // 8)
+        self.marked = 0
         self.space_runs: dict[int, list[int]] = {}
         self.outside = re.compile("[^" + "".join(re.escape(p) for p in self.ids if len(p) == 1) + "]+")
         # What an id adds to a text; None for bytes that only give a character together with others.
@@ -221,6 +225,13 @@ class Pieces:
         if known is None:
             ids = self.segment(text)
             known = " ".join(map(str, ids)), self.surfaces(ids)
+            place = hash(text) % SEEN_BITS
+            if not self.seen[place >> 3] >> (place & 7) & 1:
+                self.seen[place >> 3] |= 1 << (place & 7)
+                self.marked += 1
+                if self.marked > SEEN_BITS // 2:
+                    self.seen, self.marked = bytearray(SEEN_BITS // 8), 0
+                return known
         if len(text) <= WORD_KEPT_CHARS:
             if len(self.words) >= WORDS_KEPT:
                 self.older_words, self.words = self.words, {}
