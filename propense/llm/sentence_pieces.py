@@ -32,7 +32,7 @@ from propense.llm.tables import texts_of
 # Words and pairs a worker remembers. A word is kept from its second sight on, for two generations
 # of this size: one that is met again moves to the newer one. Most words are seen once; a bit each
 # marks them, and the marks are forgotten when half as many words as bits have come.
-WORDS_KEPT = 60_000
+WORDS_KEPT = 130_000
 SEEN_BITS = 1 << 22
 PAIRS_KEPT = 250_000
 # Longer words pass through the table each time instead of filling the cache.
