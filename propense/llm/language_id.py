@@ -54,7 +54,7 @@ class Settings:
         return 1 << self.bits
 
 
-def grams(text: str, settings: Settings, block: int = 1 << 20) -> Iterator[np.ndarray]:
+def grams(text: str, settings: Settings, block: int = 1 << 16) -> Iterator[np.ndarray]:
     """Buckets of a text's byte n-grams, in blocks of a bounded number of bytes."""
     words = b" " + b" ".join(text.lower().encode().translate(WORD_BYTES).split()) + b" "
     overlap = max(settings.sizes) - 1
