@@ -14,10 +14,12 @@ word and the words' ids are kept in a bounded cache.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import heapq
 import re
+import threading
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -33,6 +35,8 @@ from propense.llm.tables import texts_of
 # is met again moves to the newer one.
 WORDS_KEPT = 250_000
 PAIRS_KEPT = 500_000
+# Seconds without a task after which a worker empties these caches.
+IDLE_SECONDS = 3.0
 # Longer words pass through the table each time instead of filling the cache.
 WORD_KEPT_CHARS = 64
 
@@ -215,6 +219,11 @@ class Pieces:
             return self.spaces(run) + ids[1:]
         return self.spaces(run - 1) + ids if run > 1 else ids
 
+    def forget(self) -> None:
+        """Empty the caches of words and pairs."""
+        self.words, self.older_words = {}, {}
+        self.pairs.clear()
+
     def word(self, text: str) -> tuple[str, str]:
         """The ids of a segment as text, and what they decode to, through the cache."""
         known = self.older_words.get(text)
@@ -293,6 +302,49 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
+class Idle:
+    """Clears the caches of a model once no task of this worker has used it for a while.
+
+    A worker outlives its tasks: its caches serve the next one, but must not stay
+    beside the stages of other operators.
+    """
+
+    def __init__(self) -> None:
+        self.lock = threading.Lock()
+        self.uses: dict[str, int] = {}
+        self.timers: dict[str, threading.Timer] = {}
+
+    @contextlib.contextmanager
+    def used(self, path: str) -> Iterator[Pieces]:
+        """The model, whose caches stay at least as long as it is in use."""
+        with self.lock:
+            self.uses[path] = self.uses.get(path, 0) + 1
+            if path in self.timers:
+                self.timers.pop(path).cancel()
+        try:
+            yield pieces_of(path)
+        finally:
+            with self.lock:
+                self.uses[path] -= 1
+                timer = threading.Timer(IDLE_SECONDS, self.clear, [path])
+                timer.daemon = True
+                self.timers[path] = timer
+                timer.start()
+
+    def clear(self, path: str) -> None:
+        with self.lock:
+            if not self.uses[path]:
+                pieces_of(path).forget()
+
+
+IDLE = Idle()
+
+
+def in_use(path: str) -> contextlib.AbstractContextManager[Pieces]:
+    """A model with this worker's caches, for the length of a task."""
+    return IDLE.used(path)
+
+
 def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -309,14 +361,14 @@ def encoded_and_decoded(text: Column | str, path: str) -> Column:
 
     @arrow_udf("struct<ids:array<int>,text:string>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = pieces_of(path)
-        for batch in batches:
-            ids, back = [], []
-            for one in texts_of(batch):
-                of_text, again = pieces.encode_and_decode(one)
-                ids.append(of_text)
-                back.append(again)
-            yield pa.StructArray.from_arrays([id_lists(ids), pa.array(back, pa.string())], names=["ids", "text"])
+        with in_use(path) as pieces:
+            for batch in batches:
+                ids, back = [], []
+                for one in texts_of(batch):
+                    of_text, again = pieces.encode_and_decode(one)
+                    ids.append(of_text)
+                    back.append(again)
+                yield pa.StructArray.from_arrays([id_lists(ids), pa.array(back, pa.string())], names=["ids", "text"])
 
     return both(text)
 
@@ -326,9 +378,9 @@ def encoded(text: Column | str, path: str) -> Column:
 
     @arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = pieces_of(path)
-        for batch in batches:
-            yield id_lists([pieces.encode_text(t) for t in texts_of(batch)])
+        with in_use(path) as pieces:
+            for batch in batches:
+                yield id_lists([pieces.encode_text(t) for t in texts_of(batch)])
 
     return encode(text)
 
@@ -338,9 +390,9 @@ def decoded(ids: Column | str, path: str) -> Column:
 
     @arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = pieces_of(path)
-        for batch in batches:
-            yield pa.array((pieces.decode(row.as_py() or []) for row in batch), pa.string())
+        with in_use(path) as pieces:
+            for batch in batches:
+                yield pa.array((pieces.decode(row.as_py() or []) for row in batch), pa.string())
 
     return decode(ids)
 
@@ -355,17 +407,17 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
 
     @arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = pieces_of(path)
-        for batch in batches:
-            counts, ids_digests, text_digests = [], [], []
-            for text in texts_of(batch):
-                ids, again = pieces.encode_and_decode(text)
-                counts.append(ids.count(" ") + 1)
-                ids_digests.append(sha256(ids))
-                text_digests.append(sha256(again))
-            yield pa.StructArray.from_arrays(
-                [pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())],
-                names=["n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with in_use(path) as pieces:
+            for batch in batches:
+                counts, ids_digests, text_digests = [], [], []
+                for text in texts_of(batch):
+                    ids, again = pieces.encode_and_decode(text)
+                    counts.append(ids.count(" ") + 1)
+                    ids_digests.append(sha256(ids))
+                    text_digests.append(sha256(again))
+                yield pa.StructArray.from_arrays(
+                    [pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())],
+                    names=["n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return docs.select("doc_id", digests("text").alias("made")).select("doc_id", "made.*")
