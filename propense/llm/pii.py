@@ -3,10 +3,16 @@
 Exact rules give the base spans. Beside them generators of high recall propose
 further spans, which may overlap; boosted trees judge their format and context,
 and a calibrated threshold selects those that are redacted as well. The trees
-learn from all candidates of the corpus: an address that holds a base span is
-personal data, a number if base spans cover all its digits, a secret if the word
-before it says so, any other is not. They see candidates as small numbers, so that the whole
-corpus comes down to a table of the different candidates and their counts.
+learn from the candidates of the corpus that a rule decides: an address that
+holds a base span is personal data, a number if base spans cover all its digits,
+a secret if the word before it says so; dates, quantities, failed checksums,
+digests and names of words and numbers are certainly none. What no rule decides
+is not learned from, only judged. Every span that is personal data is learned
+from in other formats as well, and in a format that makes it none, and half of
+the time without its context: the trees can tell formats that no rule takes, and
+no corpus is short of examples of either sort. They see candidates as small
+numbers, so that the whole corpus comes down to a table of the different
+candidates and their counts.
 
 Everything about a text happens within its row: there is no shuffle of texts.
 """
@@ -48,12 +54,22 @@ NAMED_SECRET = r"^([A-Za-z0-9_+/-]++=)(?=[^0-9]*+[0-9])[A-Za-z0-9_+/-][A-Za-z0-9
 ADDED = ("address", "secret", "number")
 # Words before a span that say what it is, in the order of their numbers.
 CONTEXT = (
-    r"(?:token|secret|passw(?:or)?d|api[_ -]?key|key|credential)s?[\"']?\s*(?:=>|[:=]|is)\s*[\"']?$",
+    r"(?:token|secret|passw(?:or)?d|api[_ -]?key|key|credential)s?[\"']?\s*(?:=>|[:=]|is)\s*[\"']?$|\bbearer\s+$",
     r"(?:tel|phone|fax|call|mobile|cell|whatsapp)",
     r"(?:mail|contact|write)",
     r"(?:card|visa|mastercard|account|iban|payment)",
     r"(?:\bip\b|host|server|address)",
+    r"\b(?:commit|revision|sha-?[0-9]{0,3}|md5|digest|checksum|hash|etag|uuid|version|build)\W{0,3}$",
 )
+SECRET_CONTEXT, DIGEST_CONTEXT = CONTEXT[0], CONTEXT[5]
+# Numbers that are certainly no card, phone or address of a machine: dates and grouped quantities.
+DATE = r"^\(?(?:(?:19|20)[0-9]{2}[-. ][01]?[0-9][-. ][0-3]?[0-9]|[0-3]?[0-9][-. ][01]?[0-9][-. ](?:19|20)[0-9]{2})(?![0-9])"
+QUANTITY = r"^[0-9]{1,3}(?:[. ][0-9]{3})+$"
+CARD_LIKE = r"^[0-9](?:[\x20-]?[0-9]){11,18}$"
+DOTTED = r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"
+# Where letters meet digits, and names that are made of words and numbers with signs between.
+SEAMS = r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"
+WORDS_AND_NUMBERS = r"^(?:[A-Za-z]+|[0-9]+)(?:[-_/=+]+(?:[A-Za-z]+|[0-9]+))+[-_/=+]*$"
 # Characters of context before a span.
 CONTEXT_CHARS = 24
 SPAN = "struct<start:int,kind:int,end:int>"
@@ -64,10 +80,10 @@ RUN = 256
 
 @dataclass(frozen=True)
 class Settings:
-    """Size of the boosted model, and the share of selected candidates that must be personal data in calibration."""
+    """Size of the boosted model of each kind, and the share of what is selected of each kind that must be personal data in calibration."""
 
-    trees: int = 15
-    depth: int = 3
+    trees: int = 10
+    depth: int = 4
     rate: float = 0.3
     precision: float = 0.98
     seed: int = 11
@@ -185,6 +201,11 @@ def _count(value: Column, characters: str, most: int) -> Column:
     return F.least(F.length(F.regexp_replace(value, f"[^{characters}]+", "")), F.lit(most))
 
 
+def _kind(value: Column) -> Column:
+    """Number of the kind of a candidate, among the added ones."""
+    return F.when(value.rlike(r"@|[\[(]at[\])]"), 0).when(value.rlike("[A-Za-z]"), 1).otherwise(2)
+
+
 def _sort_of(character: Column) -> Column:
     return (
         F.when(F.length(character) == 0, 0)
@@ -198,14 +219,18 @@ def _sort_of(character: Column) -> Column:
 
 # Format and context of a candidate, each a small number.
 FEATURES: dict[str, Callable[[Column], Column]] = {
+    "kind": lambda c: _kind(c["value"]),
     "digits": lambda c: _count(c["value"], "0-9", 20),
     "letters": lambda c: F.floor(_count(c["value"], "A-Za-z", 40) / 4),
     "at": lambda c: F.contains(c["value"], F.lit("@")).cast("int"),
+    "domain": lambda c: c["value"].rlike(r"(?:@|at[\])])\x20?[A-Za-z0-9-]+\.[A-Za-z]").cast("int"),
     "dots": lambda c: _count(c["value"], ".", 4),
     "plus": lambda c: F.contains(c["value"], F.lit("+")).cast("int"),
     "gaps": lambda c: _count(c["value"], r"\x20()-", 6),
+    "seams": lambda c: F.floor(F.least(F.size(F.split(c["value"], SEAMS)) - 1, F.lit(12)) / 2),
+    "signs": lambda c: _count(c["value"], "_/=+-", 6),
     "hex": lambda c: c["value"].rlike("^[0-9a-fA-F]+$").cast("int"),
-    "luhn": lambda c: F.coalesce(F.call_function("luhn_check", _digits(c["value"])), F.lit(False)).cast("int"),
+    "luhn": lambda c: (F.length(_digits(c["value"])).between(12, 19) & _luhn(c["value"])).cast("int"),
     "octets": lambda c: c["value"].rlike(VALID_IP).cast("int"),
     "behind": lambda c: _sort_of(c["behind"]),
     "before": lambda c: _sort_of(F.substring(c["before"], -1, 1)),
@@ -219,6 +244,7 @@ FEATURES: dict[str, Callable[[Column], Column]] = {
 CANDIDATE = (
     f"struct<start:int,kind:int,end:int,x:struct<{','.join(f'{name}:int' for name in FEATURES)}>,label:boolean,known:boolean>"
 )
+EXAMPLE = f"struct<x:struct<{','.join(f'{name}:int' for name in FEATURES)}>,label:boolean>"
 
 
 def _proposed(text: Column) -> Column:
@@ -266,52 +292,180 @@ def _beside(span: Column, base: Column) -> Column:
     return F.aggregate(base, start, passed, lambda sum_: sum_["count"] + letters(sum_["reached"], span["end"]))
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """Array of what the generators propose: start, end, number of the kind, features, label, and whether base spans cover it.
+def _luhn(value: Column) -> Column:
+    return F.coalesce(F.call_function("luhn_check", _digits(value)), F.lit(False))
 
-    Candidates may overlap each other. An address is labelled by holding a base
-    span, a number by being covered by them but for signs between, a secret by
-    its context, as no base kind covers secrets.
-    """
+
+def _label(span: Column, kind: Column, holds: Column, covered: Column) -> Column:
+    """Whether a candidate is personal data; null if no rule decides."""
+    value, before = span["value"], F.lower(span["before"])
+    domain = F.regexp_extract(value, r"@\x20?([A-Za-z0-9.-]+)$", 1)
+    no_address = (F.length(domain) > 0) & (~F.contains(domain, F.lit(".")) | domain.rlike("^[0-9.-]+$"))
+    digits = F.length(_digits(value))
+    no_number = (
+        (digits < 7)
+        | (digits > 19)
+        | value.rlike(DATE)
+        | value.rlike(QUANTITY)
+        | (value.rlike(CARD_LIKE) & ~_luhn(value))
+        | (value.rlike(DOTTED) & ~value.rlike(VALID_IP))
+    )
+    no_secret = before.rlike(DIGEST_CONTEXT) | value.rlike(WORDS_AND_NUMBERS)
+    return (
+        F.when(kind == 1, F.when(before.rlike(SECRET_CONTEXT), True).when(no_secret, False))
+        .when(kind == 0, F.when(holds, True).when(no_address, False))
+        .otherwise(F.when(covered, True).when(no_number, False))
+    )
+
+
+def _features(span: Column) -> Column:
+    return F.struct(*[make(span).cast("int").alias(name) for name, make in FEATURES.items()])
+
+
+def _judged(text: Column, base: Column, make: Callable[..., Column], none: Column) -> Column:
+    """Array of `make(span, kind, label, covered)` of what the generators propose."""
     text = F.coalesce(text, F.lit(""))
 
-    def candidate(span: Column, base: Column) -> Column:
-        value = span["value"]
-        kind = F.when(value.rlike(r"@|[\[(]at[\])]"), 0).when(value.rlike("[A-Za-z]"), 1).otherwise(2)
-        features = F.struct(*[make(span).cast("int").alias(name) for name, make in FEATURES.items()])
+    def judged(span: Column, base: Column) -> Column:
+        kind = _kind(span["value"])
 
-        def judged(met: Column) -> Column:
+        def against(met: Column) -> Column:
             holds = F.size(met) > 0
             covered = holds & (F.when(holds, _beside(span, met)).otherwise(1) == 0)
-            return F.struct(
-                span["start"].alias("start"),
-                (kind + len(KINDS)).alias("kind"),
-                span["end"].alias("end"),
-                features.alias("x"),
-                F.when(kind == 1, F.lower(span["before"]).rlike(CONTEXT[0]))
-                .when(kind == 0, holds)
-                .otherwise(covered)
-                .alias("label"),
-                covered.alias("known"),
-            )
+            return make(span, kind, _label(span, kind, holds, covered), covered)
 
-        return _let(F.filter(base, lambda b: (b["start"] < span["end"]) & (b["end"] > span["start"])), judged)
+        return _let(F.filter(base, lambda b: (b["start"] < span["end"]) & (b["end"] > span["start"])), against)
 
     # The base spans are an argument once, not an expression in every candidate.
     found = _let(
         F.struct(_proposed(text).alias("spans"), base.alias("base")),
-        lambda both: F.transform(both["spans"], lambda span: candidate(span, both["base"])),
+        lambda both: F.transform(both["spans"], lambda span: judged(span, both["base"])),
     )
     # Without a digit or an at sign there is nothing to propose.
-    return F.when(text.rlike(r"[0-9@]|[\[(]at[\])]"), found).otherwise(_none(CANDIDATE))
+    return F.when(text.rlike(r"[0-9@]|[\[(]at[\])]"), found).otherwise(none)
+
+
+def candidates(text: Column, base: Column) -> Column:
+    """Array of what the generators propose: start, end, number of the kind, features, label, and whether base spans cover it.
+
+    Candidates may overlap each other. An address is personal data if it holds a
+    base span, a number if base spans cover it but for signs between, a secret
+    by its context, as no base kind covers secrets. The label is false for what
+    is certainly none, and null where no rule decides.
+    """
+
+    def candidate(span: Column, kind: Column, label: Column, covered: Column) -> Column:
+        return F.struct(
+            span["start"].alias("start"),
+            (kind + len(KINDS)).alias("kind"),
+            span["end"].alias("end"),
+            _features(span).alias("x"),
+            label.alias("label"),
+            covered.alias("known"),
+        )
+
+    return _judged(text, base, candidate, _none(CANDIDATE))
+
+
+def _rewritten(span: Column, kind: Column) -> Column:
+    """Array of (value, before, label) of a span of personal data in other formats, and in ones that make it none."""
+    value, before = span["value"], span["before"]
+
+    def form(value: Column, label: bool, before: Column = before) -> Column:
+        return F.struct(value.alias("value"), before.alias("before"), F.lit(label).alias("label"))
+
+    digits = _digits(value)
+    wrong = F.concat(
+        F.substr(digits, F.lit(1), F.length(digits) - 1), F.pmod(F.substring(digits, -1, 1).cast("int") + 1, F.lit(10)).cast("string")
+    )
+    # The shortest address of the same sort.
+    short = F.regexp_replace(value, r"^([A-Za-z]++)[^@]*+@(?:[A-Za-z0-9-]+\.)*([A-Za-z0-9-]+\.[A-Za-z0-9-]+)$", "$1@$2")
+    address = F.array(
+        *[form(F.regexp_replace(v, "\x20?@\x20?", sign), True) for v in (value, short) for sign in (" [at] ", " @ ")],
+        form(F.regexp_replace(value, r"(?<=@)([A-Za-z0-9-]++).*$", "$1"), False),
+        form(F.concat(F.substring_index(value, "@", 1), F.lit("@"), F.translate(F.substring_index(value, "@", -1), ".", "-")), False),
+    )
+    some = (F.pmod(F.xxhash64(value), F.lit(8)) + 1).cast("int")
+    # The same secret in the letters of other sorts of keys.
+    other = F.translate(value, "abcdef2468", "qKvXzmRtWy")
+    secret = F.array(
+        form(other, True),
+        form(F.upper(F.substring(F.translate(value, "abcdef0123468", "qKvXzmRtWyGHJ"), 1, 20)), True),
+        form(value, False, F.concat(F.lit("commit "), F.substring(before, -1, 1))),
+        form(F.regexp_replace(value, SEAMS, "-"), False),
+        *[
+            form(F.concat(F.regexp_replace(value, "[0-9]+", sign), F.lit(f"{sign}v"), F.substr(digits, F.lit(1), some)), False)
+            for sign in "-/"
+        ],
+    )
+
+    def date(sign: str) -> Column:
+        pieces = [F.lit("20"), F.substring(digits, -2, 2), F.lit(f"{sign}0"), F.substring(digits, -3, 1)]
+        return F.concat(*pieces, F.lit(f"{sign}1"), F.substring(digits, -4, 1))
+
+    grouped = F.concat_ws(" ", F.substring(digits, 1, 1), F.substring(digits, 2, 3), F.substring(digits, 5, 3))
+    national = F.concat_ws(" ", F.concat(F.lit("0"), F.substring(digits, 2, 2)), F.substring(digits, 4, 4), F.substring(digits, 8, 4))
+    phone = F.array(
+        form(national, True),
+        form(F.regexp_replace(value, r"^\+[0-9]{1,3}\x20?", ""), True),
+        form(F.regexp_replace(F.regexp_replace(value, "^\\+", ""), "[^0-9]+", " "), True),
+        form(date("-"), False),
+        form(date("."), False),
+        form(grouped, False),
+    )
+    machine = F.array(form(F.regexp_replace(value, "^[0-9]+", "999"), False))
+    card = F.array(
+        form(F.regexp_replace(digits, "([0-9]{4})(?=[0-9])", "$1."), True),
+        form(wrong, False),
+        form(F.regexp_replace(wrong, "([0-9]{4})(?=[0-9])", "$1."), False),
+    )
+    return (
+        F.when(kind == 0, address)
+        .when(kind == 1, secret)
+        .when(F.contains(value, F.lit("+")), phone)
+        .when(value.rlike(VALID_IP), machine)
+        .otherwise(card)
+    )
+
+
+def examples(text: Column, base: Column) -> Column:
+    """Array of (x, label) to learn from: the candidates that a rule decides, and the rewritten forms of personal data.
+
+    Half of what is personal data, by a hash of its value, is seen without its context.
+    """
+
+    def example(span: Column, before: Column, value: Column, label: Column) -> Column:
+        seen = F.struct(value.alias("value"), before.alias("before"), span["behind"].alias("behind"))
+        hidden = label & (F.pmod(F.xxhash64(value), F.lit(2)) == 1)
+        return F.struct(
+            _let(seen, lambda seen: _features(seen).withField("context", F.when(hidden, 0).otherwise(FEATURES["context"](seen)).cast("int"))).alias("x"),
+            label.alias("label"),
+        )
+
+    def learned(span: Column, kind: Column, label: Column, covered: Column) -> Column:
+        def of(label: Column) -> Column:
+            own = F.array(F.struct(span["value"].alias("value"), span["before"].alias("before"), label.alias("label")))
+            forms = F.when(label.isNull(), F.slice(own, 1, 0)).when(label, F.concat(own, _rewritten(span, kind))).otherwise(own)
+            return F.transform(forms, lambda f: example(span, f["before"], f["value"], f["label"]))
+
+        return _let(label, of)
+
+    return F.flatten(_judged(text, base, learned, F.expr("cast(array() as array<array<" + EXAMPLE + ">>)")))
 
 
 @dataclass(frozen=True)
 class Selector:
-    """A boosted model as an expression on a candidate's features, and the margin from which it selects."""
+    """The boosted models as an expression on a candidate's features, and the margins from which they select each added kind."""
 
     margin: Callable[[Column], Column]
-    threshold: float
+    thresholds: dict[int, float]
+
+    def selects(self, x: Column) -> Column:
+        """Whether the margin of such features reaches the threshold of their kind."""
+        least = functools.reduce(
+            lambda rest, kind: F.when(x["kind"] == kind, self.thresholds[kind]).otherwise(rest), self.thresholds, F.lit(float("inf"))
+        )
+        return self.margin(x) >= least
 
 
 def _tree(lines: list[str], x: Column) -> Column:
@@ -327,15 +481,15 @@ def _tree(lines: list[str], x: Column) -> Column:
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Selector | None:
-    """Boosted trees and their threshold, from all candidates of the corpus; None if they are not of both sorts.
+    """Boosted trees and a threshold for each added kind, from all its examples in the corpus; None if no kind has both sorts.
 
     Half of the documents, by a hash of the text, train the trees, the others
-    calibrate: the threshold is the lowest margin from which on enough of the
-    candidates are personal data.
+    calibrate: a kind's threshold is the lowest margin from which on enough of
+    its examples are personal data; a kind without one is not selected.
     """
     text = F.col("text")
     found = docs.select(
-        F.explode(candidates(text, base_spans(text))).alias("c"), (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("trains")
+        F.explode(examples(text, base_spans(text))).alias("c"), (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("trains")
     )
     counted = stage(
         found.groupBy("c.x", "c.label", "trains").agg(F.count("*").cast("double").alias("weight")).select("x.*", "*"),
@@ -345,43 +499,52 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Selector | None:
         counted.withColumn("target", F.col("label").cast("double"))
     )
     training = ready.where("trains")
-    if training.select("label").distinct().count() < 2:
-        return None
-    model = GBTClassifier(
+    sorts = training.groupBy("kind").agg(F.min("target").alias("least"), F.max("target").alias("most"))
+    learner = GBTClassifier(
         labelCol="target",
         weightCol="weight",
         maxIter=settings.trees,
         maxDepth=settings.depth,
         stepSize=settings.rate,
         seed=settings.seed,
-    ).fit(training)
+    )
+    # Each kind by itself: many examples of one do not decide what trees look at in another.
+    models = {r["kind"]: learner.fit(training.where(F.col("kind") == r["kind"])) for r in sorts.where("least < most").collect()}
+    if not models:
+        return None
 
     def margin(x: Column) -> Column:
-        trees = [
-            _tree(tree.toDebugString.strip().split("\n")[1:], x) * weight
-            for tree, weight in zip(model.trees, model.treeWeights, strict=True)
-        ]
-        return functools.reduce(operator.add, trees)
-
-    # One row per margin: at most as many as the trees have combinations of leaves among the candidates.
-    falling = Window.orderBy(F.desc("margin")).rowsBetween(Window.unboundedPreceding, 0)
+        def of(model) -> Column:
+            trees = [
+                _tree(tree.toDebugString.strip().split("\n")[1:], x) * weight
+                for tree, weight in zip(model.trees, model.treeWeights, strict=True)
+            ]
+            return functools.reduce(operator.add, trees)
+
+        return functools.reduce(
+            lambda rest, kind: F.when(x["kind"] == kind, of(models[kind])).otherwise(rest), models, F.lit(float("-inf"))
+        )
+
+    # One row per kind and margin: at most as many as the trees have combinations of leaves among the examples.
+    falling = Window.partitionBy("kind").orderBy(F.desc("margin")).rowsBetween(Window.unboundedPreceding, 0)
     precise = (
         counted.where(~F.col("trains"))
-        .groupBy(margin(F.col("x")).alias("margin"))
+        .groupBy("kind", margin(F.col("x")).alias("margin"))
         .agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("label"), F.col("weight")).otherwise(0.0)).alias("right"))
         .withColumn("precision", F.sum("right").over(falling) / F.sum("all").over(falling))
-        .where(F.col("precision") >= settings.precision)
-        .agg(F.min("margin"))
-        .first()[0]
+        .where((F.col("precision") >= settings.precision) & (F.col("right") > 0))
+        .groupBy("kind")
+        .agg(F.min("margin").alias("least"))
+        .collect()
     )
-    return None if precise is None else Selector(margin, precise)
+    return Selector(margin, {r["kind"]: r["least"] for r in precise}) if precise else None
 
 
 def all_spans(text: Column, base: Column, selector: Selector | None) -> Column:
     """Array of the base spans and the selected candidates beside them, by start, then kind."""
     if selector is None:
         return base
-    selected = F.filter(candidates(text, base), lambda c: ~c["known"] & (selector.margin(c["x"]) >= selector.threshold))
+    selected = F.filter(candidates(text, base), lambda c: ~c["known"] & selector.selects(c["x"]))
     added = F.transform(
         selected, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
     )
@@ -398,7 +561,7 @@ def joined(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans of every row.
 
     Places count code points from 0, the end excluded. A null text is an empty
     one and has no spans. Rows stay apart, also when they repeat or have no id;
@@ -410,11 +573,13 @@ def personal_data(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
         return F.size(F.filter("base", lambda span: span["kind"] == kind)).cast("long")
 
     found = docs.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
+    found = found.withColumn("every", all_spans(F.col("text"), F.col("base"), selector))
     return found.select(
         "doc_id",
         *[number_of(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)],
         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        joined(all_spans(F.col("text"), F.col("base"), selector)).alias("spans"),
+        joined(F.col("every")).alias("spans"),
+        F.size("every").cast("long").alias("n_spans"),
     )
 
 
