@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from propense.llm.tables import texts_of
+from propense.llm.tables import by_bytes, texts_of
 
 # Words and pairs a worker remembers. Words are kept for two generations of this size: one that
 # is met again moves to the newer one.
@@ -40,9 +40,12 @@ IDLE_SECONDS = 3.0
 # Longer words pass through the table each time instead of filling the cache.
 WORD_KEPT_CHARS = 64
 
+# Characters after which a run of texts is sent on: what a task holds does not grow with the batch.
+RUN_CHARS = 1 << 20
+
 # The sign for a space, and a word with the spaces before it.
 SPACE = "▁"
-SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+SEGMENT = re.compile(" *[^ ]+| +")
 
 
 class Pieces:
@@ -91,8 +94,8 @@ class Pieces:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.joins: dict[int, tuple[str, str] | None] = {}
-        self.words: dict[str, tuple[str, str]] = {}
-        self.older_words: dict[str, tuple[str, str]] = {}
+        self.words: dict[str, str | tuple[str, str]] = {}
+        self.older_words: dict[str, str | tuple[str, str]] = {}
         self.space_runs: dict[int, list[int]] = {}
         self.outside = re.compile("[^" + "".join(re.escape(p) for p in self.ids if len(p) == 1) + "]+")
         # What an id adds to a text; None for bytes that only give a character together with others.
@@ -204,7 +207,7 @@ class Pieces:
 
     def segment(self, text: str) -> list[int]:
         """Ids of a run of spaces and the word behind it."""
-        word = text.lstrip(SPACE)
+        word = text.lstrip(" ")
         run = len(text) - len(word)
         ids: list[int] = []
         held = SPACE if run else ""
@@ -224,42 +227,46 @@ class Pieces:
         self.words, self.older_words = {}, {}
         self.pairs.clear()
 
-    def word(self, text: str) -> tuple[str, str]:
-        """The ids of a segment as text, and what they decode to, through the cache."""
+    def word(self, text: str) -> str | tuple[str, str]:
+        """The ids of a segment as text, through the cache, with what they decode to where that is not the segment."""
         known = self.older_words.get(text)
         if known is None:
             ids = self.segment(text)
-            known = " ".join(map(str, ids)), self.surfaces(ids)
+            known, surface = " ".join(map(str, ids)), self.surfaces(ids)
+            if surface != text:
+                known = known, surface
         if len(text) <= WORD_KEPT_CHARS:
             if len(self.words) >= WORDS_KEPT:
                 self.older_words, self.words = self.words, {}
             self.words[text] = known
         return known
 
-    def segments(self, text: str) -> Iterator[tuple[str, str]]:
-        """`word` of each segment of a text. Each begins with a space, so no character's bytes lie in two of them."""
+    def segments(self, text: str) -> Iterator[tuple[str, str | tuple[str, str]]]:
+        """Each segment of a text and its `word`. Each begins with a space, so no character's bytes lie in two of them."""
         if text:
             kept = self.words
-            for segment in SEGMENT.findall(SPACE + text.replace(" ", SPACE)):
+            for segment in SEGMENT.findall(" " + text.replace(SPACE, " ")):
                 known = kept.get(segment)
                 if known is None:
                     known = self.word(segment)
                     kept = self.words
-                yield known
+                yield segment, known
 
     def encode_and_decode(self, text: str) -> tuple[str, str]:
         """The ids of a text and the end id, joined by spaces, and what these ids decode to, segment by segment."""
         ids, surfaces = [], []
-        for known, surface in self.segments(text):
+        for segment, known in self.segments(text):
+            if type(known) is tuple:
+                known, segment = known
             ids.append(known)
-            surfaces.append(surface)
+            surfaces.append(segment)
         ids.append(str(self.end))
         # The first piece begins with the space that was put in front.
         return " ".join(ids), "".join(surfaces)[1:]
 
     def encode_text(self, text: str) -> str:
         """The ids of a text and the end id, joined by spaces."""
-        return " ".join([*(ids for ids, _ in self.segments(text)), str(self.end)])
+        return self.encode_and_decode(text)[0]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.encode_text(text).split(" ")]
@@ -345,6 +352,12 @@ def in_use(path: str) -> contextlib.AbstractContextManager[Pieces]:
     return IDLE.used(path)
 
 
+def runs(batches: Iterator[pa.Array]) -> Iterator[list[str]]:
+    """The texts of all batches in runs of about RUN_CHARS characters; a longer text is a run by itself."""
+    for batch in batches:
+        yield from by_bytes(texts_of(batch), len, RUN_CHARS)
+
+
 def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -362,9 +375,9 @@ def encoded_and_decoded(text: Column | str, path: str) -> Column:
     @arrow_udf("struct<ids:array<int>,text:string>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         with in_use(path) as pieces:
-            for batch in batches:
+            for run in runs(batches):
                 ids, back = [], []
-                for one in texts_of(batch):
+                for one in run:
                     of_text, again = pieces.encode_and_decode(one)
                     ids.append(of_text)
                     back.append(again)
@@ -379,8 +392,8 @@ def encoded(text: Column | str, path: str) -> Column:
     @arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         with in_use(path) as pieces:
-            for batch in batches:
-                yield id_lists([pieces.encode_text(t) for t in texts_of(batch)])
+            for run in runs(batches):
+                yield id_lists([pieces.encode_text(t) for t in run])
 
     return encode(text)
 
@@ -408,9 +421,9 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
     @arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         with in_use(path) as pieces:
-            for batch in batches:
+            for run in runs(batches):
                 counts, ids_digests, text_digests = [], [], []
-                for text in texts_of(batch):
+                for text in run:
                     ids, again = pieces.encode_and_decode(text)
                     counts.append(ids.count(" ") + 1)
                     ids_digests.append(sha256(ids))
