@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from propense.llm.components import components, merged
-from propense.llm.tables import free_name, texts_of
+from propense.llm.tables import free_name, small_batches, texts_of
 from propense.operators.joins import lookup_join
 from propense.sources.staging import stage
 
@@ -287,7 +287,8 @@ def linked_texts(rows: DataFrame, texts: DataFrame, settings: Settings = Setting
     pairs = lookup_join(members.where("digest != pivot").select("digest", "pivot").distinct(), marks, "digest", "inner")
     pairs = lookup_join(pairs, marks.toDF("pivot", "pivot_size", "pivot_bits"), "pivot", "inner").where(possible("pivot_", settings))
     pairs = stage(pairs.select(F.col("digest").alias("a"), "pivot"), "omh_pairs")
-    labels = components(_verified(pairs, words, settings))
+    with small_batches(words.sparkSession):
+        labels = components(_verified(pairs, words, settings))
     used = stage(members.select("sketch", "pivot").distinct(), "omh_used")
     tested = pairs.select(F.least("a", "pivot").alias("low"), F.greatest("a", "pivot").alias("high"))
     # A pair that is not possible has been compared as well: by its marks.
@@ -317,7 +318,9 @@ def linked_texts(rows: DataFrame, texts: DataFrame, settings: Settings = Setting
         if pairs.isEmpty():
             continue
         new = _verified(pairs.select(F.col("low").alias("a"), F.col("high").alias("pivot")), words, settings)
-        labels = merged(labels, stage(new, "omh_links"))
+        with small_batches(words.sparkSession):
+            links = stage(new, "omh_links")
+        labels = merged(labels, links)
         tested = stage(tested.union(pairs), "omh_tested")
 
 
@@ -345,7 +348,8 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     none has an id; rows that repeat it in id and text are marked with it. Other
     columns are not read. An empty table gives an empty result.
     """
-    rows = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed(settings), HASHED), "omh_rows")
+    with small_batches(docs.sparkSession):
+        rows = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed(settings), HASHED), "omh_rows")
     texts = stage(
         rows.groupBy("digest").agg(
             F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("sketches").alias("sketches")

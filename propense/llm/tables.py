@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable, Iterator
 from typing import TypeVar
 
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Item = TypeVar("Item")
 
+# Bytes of a batch on its way to a worker, which the JVM and the worker hold at once, each in buffers of up to twice that.
+SENT_BYTES = 4 << 20
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,3 +47,15 @@ def texts_of(column: pa.Array) -> Iterator[str]:
     """The texts of an Arrow column one by one, null as empty, without a list of them all."""
     for value in column:
         yield value.as_py() or ""
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started within send batches of at most about SENT_BYTES to the workers; the session's setting comes back after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, SENT_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
