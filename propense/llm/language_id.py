@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from propense.llm.tables import free_name, texts_of
+from propense.llm.tables import free_name, give_back, texts_of
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -193,6 +193,7 @@ def predicted(text: Column | str, model: Model, docs: DataFrame) -> Column:
                 [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=["lang_pred", "score"],
             )
+        give_back()
 
     return predict(text)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from propense.llm.components import components, merged
-from propense.llm.tables import free_name, small_batches, texts_of
+from propense.llm.tables import free_name, give_back, small_batches, texts_of
 from propense.operators.joins import lookup_join
 from propense.sources.staging import stage
 
@@ -171,6 +171,7 @@ def text_digest(text: Column | str) -> Column:
     def digested(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array((digest(t, normal_words(t)) for t in texts_of(batch)), pa.binary())
+        give_back()
 
     return digested(text)
 
@@ -219,6 +220,7 @@ def hashed(settings: Settings):
                     rows, held = [], 0
             if rows:
                 yield _hashed_batch(rows)
+        give_back()
 
     return run
 
@@ -243,6 +245,7 @@ def aligned(first: Column | str, second: Column | str, settings: Settings) -> Co
                 ),
                 pa.float64(),
             )
+        give_back()
 
     return align(first, second)
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from propense.llm.tables import by_bytes, texts_of
+from propense.llm.tables import by_bytes, give_back, texts_of
 
 # Words and pairs a worker remembers. Words are kept for two generations of this size: one that
 # is met again moves to the newer one.
@@ -337,11 +337,13 @@ class Idle:
                 timer.daemon = True
                 self.timers[path] = timer
                 timer.start()
+            give_back()
 
     def clear(self, path: str) -> None:
         with self.lock:
             if not self.uses[path]:
                 pieces_of(path).forget()
+                give_back()
 
 
 IDLE = Idle()
