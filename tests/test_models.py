@@ -397,6 +397,26 @@ def test_staging_follows_the_session(spark, monkeypatch):
     assert rows.count() == 5 and folder.rstrip("/") in rows.inputFiles()[0]
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_a_cluster_stages_in_a_mounted_folder(spark, tmp_path, monkeypatch, scheme):
+    folder = f"{scheme}{tmp_path}"
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: folder)
+    assert staging.shared_dir(spark) == folder
+    rows = staging.stage(spark.range(5), "t")
+    assert rows.count() == 5 and str(tmp_path) in rows.inputFiles()[0]
+
+
+def test_a_cluster_without_a_folder_is_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: None)
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: str(tmp_path))
+    assert staging.shared_dir(spark) == str(tmp_path)
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_dir(spark)
+
+
 def test_transpose(spark):
     arrays = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "row_id long, values array<double>")
     turned = {(r["column"], r["row_id"]): r["value"] for r in decompose.transpose(arrays, "row_id", "values").collect()}
