@@ -38,8 +38,9 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -292,47 +293,60 @@ class Phrases:
     def __init__(self, window: int):
         self.window = window
         self.letters: dict[bytes, int] = {}
-        self.seen: dict[tuple, list] = {}
+        # Each window's first place, as a section's and a number in it; those that occur twice.
+        self.seen: dict[tuple, tuple] = {}
+        self.twice: set[tuple] = set()
         self.automaton = None
 
-    def add(self, words: list[bytes], times: int, at: tuple, part: int, parts: int) -> None:
-        """Count the windows of a section that occurs so many times, first at `at`."""
-        letters = [self.letters.setdefault(word, len(self.letters) + 1) for word in words]
-        *document, start = at
-        for i in range(len(letters) - self.window + 1):
+    def add(self, words: list[bytes], times: int, at: tuple, part: int, parts: int) -> list[int]:
+        """Count the windows of a section that occurs so many times, first at `at`, and give the section's letters."""
+        known, seen, twice = self.letters, self.seen, self.twice
+        letters = [known.setdefault(word, len(known) + 1) for word in words]
+        for i, phrase in enumerate(zip(*(islice(letters, k, None) for k in range(self.window)))):
             if parts > 1 and zlib.crc32(b" ".join(words[i : i + self.window])) % parts != part:
                 continue
-            phrase, place = tuple(letters[i : i + self.window]), (*document, start + i)
-            known = self.seen.get(phrase)
-            if known is None:
-                self.seen[phrase] = [times, place]
-            else:
-                known[0] += times
-                known[1] = min(known[1], place)
+            first = seen.setdefault(phrase, (at, i))
+            if first[0] is not at or first[1] != i:
+                twice.add(phrase)
+                if self.place(at, i) < self.place(*first):
+                    seen[phrase] = at, i
+            elif times > 1:
+                twice.add(phrase)
+        return letters
+
+    @staticmethod
+    def place(at: tuple, i: int) -> tuple:
+        """Where the section's window `i` is: document and place."""
+        return (*at[:-1], at[-1] + i)
+
+    def letters_of(self, words: list[bytes]) -> list[int]:
+        """The letters of a section, 0 for words that no phrase has."""
+        return [self.letters.get(word, 0) for word in words]
 
     def compiled(self):
         """The automaton of the windows that occur twice, each with the place of its first occurrence."""
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for phrase, (times, place) in self.seen.items():
-                if times > 1:
-                    self.automaton.add_word(phrase, place)
+            for phrase in self.twice:
+                self.automaton.add_word(phrase, self.place(*self.seen[phrase]))
             self.seen.clear()
+            self.twice.clear()
             if len(self.automaton):
                 self.automaton.make_automaton()
         return self.automaton
 
-    def later(self, words: list[bytes], at: tuple) -> Iterator[tuple[int, int]]:
-        """The words, as ranges of places, that phrases cover which occur earlier elsewhere."""
+    def found(self, letters: list[int]) -> Iterator[tuple[int, tuple]]:
+        """The last words of the phrases in a section, by number, each with the phrase's first place."""
         automaton = self.compiled()
-        if not len(automaton):
-            return
+        return automaton.iter(tuple(letters)) if len(automaton) else iter(())
+
+    def later(self, found: Iterable[tuple[int, tuple]], at: tuple) -> Iterator[tuple[int, int]]:
+        """The words, as ranges of places, that the phrases found in a section at `at` cover which occur earlier elsewhere."""
         *document, start = at
         begin = end = -1
-        letters = tuple(self.letters.get(word, 0) for word in words)
-        for last, first in automaton.iter(letters):
+        for last, first in found:
             place = start + last - self.window + 1
-            if first == (*document, place):
+            if first[-1] == place and first == (*document, place):
                 continue
             if place > end:
                 if end > begin:
@@ -347,18 +361,22 @@ def located(window: int):
     """Task that reads rows sorted by shard and kind and streams the sections through their shard's automaton.
 
     A heavy anchor's phrases come before its sections. The others' sections are
-    the phrases as well; those of a shard are held until all of them are there.
+    the phrases as well; those of a shard are held until all of them are there,
+    equal ones as one with all their places: they are counted and streamed once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, phrases, held = None, Phrases(window), []
+        shard, phrases = None, Phrases(window)
+        held: dict[bytes, list[tuple]] = {}
         out: list[tuple] = []
 
         def finished() -> None:
-            for words, at in held:
-                phrases.add(words, 1, at, 0, 1)
-            for words, at in held:
-                out.extend((*at[:3], *found) for found in phrases.later(words, at))
+            letters = [phrases.add(content.split(b" "), len(places), min(places), 0, 1) for content, places in held.items()]
+            for some, places in zip(letters, held.values(), strict=True):
+                found = phrases.found(some)
+                found = list(found) if len(places) > 1 else found
+                for at in places:
+                    out.extend((*at[:3], *one) for one in phrases.later(found, at))
             held.clear()
 
         for batch in batches:
@@ -369,13 +387,14 @@ def located(window: int):
                 if (own, number) != shard:
                     finished()
                     shard, phrases = (own, number), Phrases(window)
-                words = contents[i].as_py().split(b" ")
+                content = contents[i].as_py()
                 if not own:
-                    held.append((words, tuple(at)))
+                    held.setdefault(content, []).append(tuple(at))
                 elif kind == 0:
-                    phrases.add(words, n, tuple(at), part, parts)
+                    phrases.add(content.split(b" "), n, tuple(at), part, parts)
                 else:
-                    out.extend((*at[:3], *found) for found in phrases.later(words, tuple(at)))
+                    found = phrases.found(phrases.letters_of(content.split(b" ")))
+                    out.extend((*at[:3], *one) for one in phrases.later(found, tuple(at)))
             if out:
                 yield _range_batch(out)
                 out.clear()

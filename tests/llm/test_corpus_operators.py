@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,24 @@ def test_no_passages(spark):
     assert [tuple(r) for r in substring_dedup.digests(docs).collect()] == [(1, 2, 0, sha("a b"))]
 
 
+def test_equal_sections_are_counted_and_streamed_once(monkeypatch):
+    words = [f"w{i}" for i in range(6)]
+    rows = [(0, words), (1, words), (2, words[:5] + ["x"]), (3, words)]
+    batch = pa.RecordBatch.from_pylist(
+        [
+            {"own": False, "shard": 0, "kind": 1, "part": 0, "parts": 1, "n": 1, "no_id": False, "id": i, "version": 7,
+             "start": 10 * i, "content": " ".join(some).encode()}
+            for i, some in rows
+        ]
+    )
+    counted = []
+    add = substring_dedup.Phrases.add
+    monkeypatch.setattr(substring_dedup.Phrases, "add", lambda self, some, *more: counted.append(some) or add(self, some, *more))
+    found = [tuple(row.values()) for out in substring_dedup.located(5)(iter([batch])) for row in out.to_pylist()]
+    assert sorted(found) == [(False, 1, 7, 10, 16), (False, 2, 7, 20, 25), (False, 3, 7, 30, 36)]
+    assert len(counted) == 2
+
+
 def test_section_anchors():
     settings = substring_dedup.Settings(window=6, anchor=2)
     rng = random.Random(1)
