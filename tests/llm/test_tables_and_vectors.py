@@ -1,8 +1,11 @@
 """Sharding, mixing and the operators on vectors against brute force, and the pipeline stage by stage."""
 
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
 from dataclasses import replace
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -298,3 +301,11 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns
         docs = out
+
+
+@pytest.mark.parametrize("name", ["language_id", "order_minhash", "sentence_pieces", "substring_dedup"])
+def test_workers_do_not_load_the_machine_learning_package(name):
+    found = f"import sys, propense.llm.{name}; print([m for m in ('pyspark.ml', 'pandas') if m in sys.modules])"
+    root = Path(__file__).resolve().parents[2]
+    said = subprocess.run([sys.executable, "-c", found], cwd=root, capture_output=True, text=True, check=True)
+    assert said.stdout.strip() == "[]"
