@@ -39,7 +39,7 @@ PIVOT_PAIRS = 1000
 # Characters of the texts whose hashes a task passes on at once.
 BATCH_CHARS = 4 << 20
 # Hash values that are held at once while a text is sketched.
-BLOCK = 1 << 19
+BLOCK = 1 << 16
 
 # Texts of up to so many k-mers are compared by sketches of one k-mer as well.
 SHORT = 12
@@ -164,16 +164,9 @@ def similarity(first: np.ndarray, second: np.ndarray, settings: Settings) -> flo
     return share(len(places))
 
 
-def text_digest(text: Column | str) -> Column:
-    """Column of a text's digest."""
-
-    @arrow_udf("binary")
-    def digested(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array((digest(t, normal_words(t)) for t in texts_of(batch)), pa.binary())
-        give_back()
-
-    return digested(text)
+def exact(text: Column | str) -> Column:
+    """Column that equal texts share, and no others; empty for null. Unlike the digest it takes no worker."""
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit("").cast("binary"))
 
 
 def parities(kmers: np.ndarray) -> np.ndarray:
@@ -197,23 +190,25 @@ def possible(other: str, settings: Settings) -> Column:
     return (F.abs(size - their_size) <= most) & (differ <= most)
 
 
-HASHED = "doc_id long, digest binary, sketches array<long>, words binary, size int, bits array<long>"
+HASHED = "doc_id long, exact binary, digest binary, sketches array<long>, words binary, size int, bits array<long>"
 
 
 def hashed(settings: Settings):
     """Task that gives all that is compared of each text: its digest, sketches (none without words), words of four bytes
-    each, and the number and marks of its k-mers. A batch goes out as soon as it has so many characters."""
+    each, and the number and marks of its k-mers, beside its id and `exact`. A batch goes out as soon as it has so many characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             held = 0
-            for doc_id, one in zip(batch.column("doc_id"), texts_of(batch.column("text")), strict=True):
+            keys = zip(batch.column("doc_id"), batch.column("exact"), strict=True)
+            for (doc_id, same), one in zip(keys, texts_of(batch.column("text")), strict=True):
                 words = normal_words(one)
                 numbers = word_hashes(words)
                 kmers = labelled_kmers(numbers, settings.words) if words else np.zeros(0, np.uint64)
                 found = sketches(kmers, settings).view(np.int64) if words else None
-                rows.append((doc_id.as_py(), digest(one, words), found, numbers.tobytes(), len(kmers), parities(kmers)))
+                known = doc_id.as_py(), same.as_py(), digest(one, words)
+                rows.append((*known, found, numbers.tobytes(), len(kmers), parities(kmers)))
                 held += len(one)
                 if held > BATCH_CHARS:
                     yield _hashed_batch(rows)
@@ -227,9 +222,9 @@ def hashed(settings: Settings):
 
 def _hashed_batch(rows: list[tuple]) -> pa.RecordBatch:
     longs = pa.list_(pa.int64())
-    kinds = [pa.int64(), pa.binary(), longs, pa.binary(), pa.int32(), longs]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), longs, pa.binary(), pa.int32(), longs]
     columns = [pa.array(list(values), kind) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "sketches", "words", "size", "bits"])
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "exact", "digest", "sketches", "words", "size", "bits"])
 
 
 def aligned(first: Column | str, second: Column | str, settings: Settings) -> Column:
@@ -342,7 +337,7 @@ def _open(members: DataFrame, labels: DataFrame, used: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, `digest`, class_id (the smallest doc_id of the class), class_size and kept of every row.
+    """doc_id, `exact`, `digest`, class_id (the smallest doc_id of the class), class_size and kept of every row.
 
     Texts whose words are the same in the same order, but for case and ASCII
     punctuation, are copies; texts without words are copies when they are equal
@@ -352,7 +347,8 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     columns are not read. An empty table gives an empty result.
     """
     with small_batches(docs.sparkSession):
-        rows = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed(settings), HASHED), "omh_rows")
+        texts = docs.select(F.col("doc_id").cast("long"), exact("text").alias("exact"), "text")
+        rows = stage(texts.mapInArrow(hashed(settings), HASHED), "omh_rows")
     texts = stage(
         rows.groupBy("digest").agg(
             F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("sketches").alias("sketches")
@@ -372,8 +368,9 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         ),
         "omh_classes",
     )
-    return lookup_join(rows.select("doc_id", "digest"), by_text, "digest", "inner").select(
+    return lookup_join(rows.select("doc_id", "exact", "digest"), by_text, "digest", "inner").select(
         "doc_id",
+        "exact",
         "digest",
         F.col("best.first").alias("class_id"),
         "class_size",
@@ -383,22 +380,25 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, class_id, class_size and kept of every row, as `classes` says."""
-    return classes(docs, settings).drop("digest")
+    return classes(docs, settings).drop("exact", "digest")
 
 
 def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row of each class of near-duplicates, with all its columns."""
+    """One row of each class of near-duplicates, with all its columns.
+
+    The kept rows are found again by their exact texts, so no text goes to a
+    worker twice. Copies under the id of the kept one may differ in case and
+    punctuation; the one of the smallest `exact` stays.
+    """
     found = stage(classes(docs, settings), "omh_found")
     key = free_name(docs, "_key")
 
     def row_key(doc_id: Column, text: Column) -> Column:
         return F.concat(text, F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
-    kept = found.where("kept").groupBy(row_key(F.col("doc_id"), F.col("digest")).alias(key)).agg(F.count("*").alias("rows"))
-    kept = stage(kept, "omh_kept")
-    left = lookup_join(
-        docs.withColumn(key, row_key(F.col("doc_id"), text_digest("text"))), kept.select(key), key, "left_semi"
-    )
+    kept = found.where("kept").groupBy("doc_id", "digest").agg(F.min("exact").alias("exact"), F.count("*").alias("rows"))
+    kept = stage(kept.select(row_key(F.col("doc_id"), F.col("exact")).alias(key), "rows"), "omh_kept")
+    left = lookup_join(docs.withColumn(key, row_key(F.col("doc_id"), exact("text"))), kept.select(key), key, "left_semi")
     if kept.where("rows > 1").isEmpty():
         return left.drop(key)
     # Rows that repeat the kept one in id and text: any of them, the others go.

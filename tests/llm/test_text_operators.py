@@ -551,6 +551,17 @@ def test_near_duplicates_without_ids_or_rows(spark):
     assert {tuple(r) for r in order_minhash.near_duplicates(same).collect()} == {(None, None, 5, True)}
 
 
+def test_kept_documents_are_found_again_without_workers(spark):
+    text = "one two three four five six seven"
+    texts = [(1, text), (1, text.upper()), (1, text), (1, "other words"), (2, text), (3, None), (3, ""), (None, "other words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], SCHEMA)
+    left = order_minhash.deduplicated(docs)
+    plan = left._jdf.queryExecution().toString()
+    assert "EvalPython" not in plan and "InArrow" not in plan
+    rows = [(r["doc_id"], (r["text"] or "").lower()) for r in left.collect()]
+    assert sorted(rows) == [(1, "one two three four five six seven"), (1, "other words"), (3, "")]
+
+
 # --- languages
 
 
