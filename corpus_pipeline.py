@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propense.llm import language_id, mixing, order_minhash, pii, sentence_pieces
-from propense.llm.tables import read
+from propense.llm.tables import read, small_batches
 from propense.sources.staging import stage
 
 
@@ -36,11 +36,17 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its ids, the number of them, and the text they decode to."""
+    """Every document with its ids, the number of them, and the text they decode to.
+
+    The table is staged here: the size of the batches to the workers is a setting of the session
+    while the job runs. Its texts and ids lie twice on disk for that, so they are packed more tightly.
+    """
     made = sentence_pieces.encoded_and_decoded("text", public_tokenizers.path("piece_bpe_32k.model"))
-    return docs.select("doc_id", "lang", "source", made.alias("made")).select(
+    encoding = docs.select("doc_id", "lang", "source", made.alias("made")).select(
         "doc_id", "lang", "source", F.size("made.ids").cast("long").alias("n_tokens"), "made.*"
     )
+    with small_batches(spark):
+        return stage(encoding, "encoded", compression="zstd")
 
 
 STAGES = [

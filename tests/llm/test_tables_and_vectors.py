@@ -4,11 +4,13 @@ import random
 import subprocess
 import sys
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import replace
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ import corpus_pipeline
 from propense.llm import embedding_dedup, forest, language_id, mixing, order_minhash, pii, sharding
 from propense.llm.components import components, merged
 from propense.llm.queries import MIXING_SQL, sharding_sql
-from propense.llm.tables import read
+from propense.llm.tables import SENT_BYTES, read
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -303,6 +305,30 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
         docs = out
 
 
+def test_pipeline_encodes_in_small_batches(spark, monkeypatch):
+    """A task's texts reach the workers bit by bit, and the session's setting is as before."""
+
+    def batch_sizes(text, path):
+        @F.arrow_udf("struct<ids:array<int>,text:string>")
+        def sizes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                ids = pa.array([[batch.nbytes]] * len(batch), pa.list_(pa.int32()))
+                yield pa.StructArray.from_arrays([ids, batch], names=["ids", "text"])
+
+        return sizes(text)
+
+    monkeypatch.setattr(corpus_pipeline.sentence_pieces, "encoded_and_decoded", batch_sizes)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 4000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("text "), 1000).alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source")
+    )
+    rows = corpus_pipeline.encoded(spark, docs, "").select("ids", F.length("text").alias("n")).collect()
+    assert len(rows) == 4000 and all(r["n"] == 5000 for r in rows)
+    assert max(r["ids"][0] for r in rows) <= 1.5 * SENT_BYTES
+    assert spark.conf.get(name) == before
+
+
 @pytest.mark.parametrize("name", ["language_id", "order_minhash", "sentence_pieces", "substring_dedup"])
 def test_workers_do_not_load_the_machine_learning_package(name):
     found = f"import sys, propense.llm.{name}; print([m for m in ('pyspark.ml', 'pandas') if m in sys.modules])"
