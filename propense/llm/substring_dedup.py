@@ -12,8 +12,8 @@ words; windows are judged on the input, not on what is left.
    a text's sections are left; most text is done with then.
 2. The sections that are left go out with their text, to the shard that their
    anchor belongs to. There their windows are counted, those that occur twice
-   are confirmed, and an Aho-Corasick automaton whose letters are words is
-   compiled from them.
+   are confirmed, and an Aho-Corasick automaton whose letters are runs of words
+   is compiled from them.
 3. All sections of all documents are streamed through their shard's automaton.
    It finds every occurrence of every phrase; those that are not the phrase's
    first one are removed.
@@ -40,7 +40,8 @@ import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain
+from math import isqrt
 
 import ahocorasick
 import numpy as np
@@ -66,6 +67,9 @@ REMOVED = "no_id boolean, id long, version long, start int, end int"
 # Code points of the texts whose sections are held at once; a longer text is alone.
 SECTION_CHARS = 4 << 20
 
+# Stands for a letter that no phrase has.
+NO_DIGITS = (0, 0)
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -287,29 +291,44 @@ def sharded(sections: Sections, settings: Settings) -> DataFrame:
     )
 
 
+def stride(window: int) -> int:
+    """Words of a letter: the largest number of them, up to ten, that windows fall into without rest."""
+    return max(size for size in range(1, 11) if window % size == 0)
+
+
 class Phrases:
-    """The phrases of one shard: confirmed, compiled, and looked for."""
+    """The phrases of one shard: confirmed, compiled, and looked for.
+
+    A letter stands for `stride` consecutive words, so a phrase has a few
+    letters, and a section is read once from each of its first words on.
+    """
 
     def __init__(self, window: int):
-        self.window = window
-        self.letters: dict[bytes, int] = {}
+        self.window, self.stride = window, stride(window)
+        self.letters: dict[tuple, int] = {}
         # Each window's first place, as a section's and a number in it; those that occur twice.
         self.seen: dict[tuple, tuple] = {}
         self.twice: set[tuple] = set()
+        self.digits: dict[int, tuple[int, int]] = {}
         self.automaton = None
 
+    def runs(self, words: list[bytes]) -> Iterator[tuple]:
+        """Every `stride` consecutive words."""
+        return zip(*(words[k:] for k in range(self.stride)))
+
     def add(self, words: list[bytes], times: int, at: tuple, part: int, parts: int) -> list[int]:
         """Count the windows of a section that occurs so many times, first at `at`, and give the section's letters."""
         known, seen, twice = self.letters, self.seen, self.twice
-        letters = [known.setdefault(word, len(known) + 1) for word in words]
-        for i, phrase in enumerate(zip(*(islice(letters, k, None) for k in range(self.window)))):
+        letters = [known.setdefault(run, len(known) + 1) for run in self.runs(words)]
+        for i, phrase in enumerate(zip(*(letters[k:] for k in range(0, self.window, self.stride)))):
             if parts > 1 and zlib.crc32(b" ".join(words[i : i + self.window])) % parts != part:
                 continue
-            first = seen.setdefault(phrase, (at, i))
-            if first[0] is not at or first[1] != i:
+            mine = at, i
+            first = seen.setdefault(phrase, mine)
+            if first is not mine:
                 twice.add(phrase)
                 if self.place(at, i) < self.place(*first):
-                    seen[phrase] = at, i
+                    seen[phrase] = mine
             elif times > 1:
                 twice.add(phrase)
         return letters
@@ -321,40 +340,67 @@ class Phrases:
 
     def letters_of(self, words: list[bytes]) -> list[int]:
         """The letters of a section, 0 for words that no phrase has."""
-        return [self.letters.get(word, 0) for word in words]
+        return [self.letters.get(run, 0) for run in self.runs(words)]
 
     def compiled(self):
-        """The automaton of the windows that occur twice, each with the place of its first occurrence."""
+        """The automaton of the windows that occur twice, each with the place of its first occurrence.
+
+        A state's ways on are looked through one by one, so that the phrases'
+        letters are spelled in two digits each: no state has more ways than there are digits.
+        """
         if self.automaton is None:
+            used = {letter for phrase in self.twice for letter in phrase}
+            base = isqrt(len(used)) + 1
+            self.digits = {letter: (1 + n // base, 1 + base + n % base) for n, letter in enumerate(used)}
             self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
             for phrase in self.twice:
-                self.automaton.add_word(phrase, self.place(*self.seen[phrase]))
+                self.automaton.add_word(tuple(chain.from_iterable(map(self.digits.__getitem__, phrase))), self.place(*self.seen[phrase]))
             self.seen.clear()
             self.twice.clear()
             if len(self.automaton):
                 self.automaton.make_automaton()
         return self.automaton
 
-    def found(self, letters: list[int]) -> Iterator[tuple[int, tuple]]:
-        """The last words of the phrases in a section, by number, each with the phrase's first place."""
-        automaton = self.compiled()
-        return automaton.iter(tuple(letters)) if len(automaton) else iter(())
-
-    def later(self, found: Iterable[tuple[int, tuple]], at: tuple) -> Iterator[tuple[int, int]]:
-        """The words, as ranges of places, that the phrases found in a section at `at` cover which occur earlier elsewhere."""
-        *document, start = at
-        begin = end = -1
-        for last, first in found:
-            place = start + last - self.window + 1
-            if first[-1] == place and first == (*document, place):
-                continue
-            if place > end:
-                if end > begin:
-                    yield begin, end
-                begin = place
-            end = place + self.window
-        if end > begin:
-            yield begin, end
+    def found(self, letters: list[int]) -> list[tuple[int, tuple]]:
+        """The windows of a section that are phrases, by number, each with the phrase's first place."""
+        automaton, step = self.compiled(), self.stride
+        if not len(automaton):
+            return []
+        digits = [self.digits.get(letter, NO_DIGITS) for letter in letters]
+        # Readings of equal length, one behind the other; no phrase goes on over the zeros at their ends.
+        length = -(-len(digits) // step) + 1
+        digits += [NO_DIGITS] * (step * length - len(digits))
+        read = tuple(chain.from_iterable(chain.from_iterable(digits[k::step] for k in range(step))))
+        back = self.window // step - 1
+        places = ((last // 2, first) for last, first in automaton.iter(read))
+        return sorted((last // length + (last % length - back) * step, first) for last, first in places)
+
+    @staticmethod
+    def later(found: list[tuple[int, tuple]], places: list[tuple], window: int) -> Iterator[tuple]:
+        """The words, as documents and ranges of places, that phrases which occur earlier elsewhere cover, of a section at `places`."""
+        whole = list(covered((i for i, _ in found), window))
+        # Where a section would start whose phrases these are for the first time.
+        firsts = {(*first[:-1], first[-1] - i) for i, first in found}
+        for at in places:
+            *document, start = at
+            ranges = whole
+            if at in firsts:
+                ranges = covered((i for i, first in found if first != (*document, start + i)), window)
+            for begin, end in ranges:
+                yield *document, start + begin, start + end
+
+
+def covered(starts: Iterable[int], window: int) -> Iterator[tuple[int, int]]:
+    """The words that the windows cover which begin at the given places, in order, as ranges."""
+    begin = end = -1
+    for place in starts:
+        if place > end:
+            if end > begin:
+                yield begin, end
+            begin = place
+        end = place + window
+    if end > begin:
+        yield begin, end
 
 
 def located(window: int):
@@ -373,16 +419,13 @@ def located(window: int):
         def finished() -> None:
             letters = [phrases.add(content.split(b" "), len(places), min(places), 0, 1) for content, places in held.items()]
             for some, places in zip(letters, held.values(), strict=True):
-                found = phrases.found(some)
-                found = list(found) if len(places) > 1 else found
-                for at in places:
-                    out.extend((*at[:3], *one) for one in phrases.later(found, at))
+                out.extend(phrases.later(phrases.found(some), places, window))
             held.clear()
 
         for batch in batches:
             contents = batch.column("content")
             names = ["own", "shard", "kind", "part", "parts", "n", *DOCUMENT, "start"]
-            columns = [batch.column(name).to_pylist() for name in names]
+            columns = [batch.column(name).to_numpy(zero_copy_only=False).tolist() for name in names]
             for i, (own, number, kind, part, parts, n, *at) in enumerate(zip(*columns, strict=True)):
                 if (own, number) != shard:
                     finished()
@@ -394,7 +437,7 @@ def located(window: int):
                     phrases.add(content.split(b" "), n, tuple(at), part, parts)
                 else:
                     found = phrases.found(phrases.letters_of(content.split(b" ")))
-                    out.extend((*at[:3], *one) for one in phrases.later(found, tuple(at)))
+                    out.extend(phrases.later(found, [tuple(at)], window))
             if out:
                 yield _range_batch(out)
                 out.clear()

@@ -122,6 +122,17 @@ def test_equal_sections_are_counted_and_streamed_once(monkeypatch):
     assert len(counted) == 2
 
 
+def test_phrases_are_spelled_in_few_digits():
+    words = [b"w%d" % (i % 90 if i < 200 else i) for i in range(600)]
+    phrases = substring_dedup.Phrases(20)
+    letters = phrases.add(words, 2, (False, 1, 7, 0), 0, 1)
+    stats = phrases.compiled().get_stats()
+    assert stats["words_count"] == 581 - 91
+    assert stats["nodes_count"] <= 4 * stats["words_count"] + 1
+    assert phrases.found(letters) == [(i, (False, 1, 7, i % 90 if i < 181 else i)) for i in range(581)]
+    assert phrases.found(phrases.letters_of([b"x", *words[300:325], b"y"])) == [(i + 1, (False, 1, 7, 300 + i)) for i in range(6)]
+
+
 def test_section_anchors():
     settings = substring_dedup.Settings(window=6, anchor=2)
     rng = random.Random(1)
