@@ -1,5 +1,7 @@
 """Fitted models against numpy and against Spark's own transforms."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -8,7 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from propense import jobs
-from propense.operators import clusters, decompose, features, lookalike, popularity, recommend, topics, trials
+from propense.operators import clusters, decompose, factors, features, lookalike, popularity, recommend, topics, trials
 from propense.plans import modelling, ranking
 from propense.sources import sinks, staging, tables
 from propense.sources.text import read_lines
@@ -44,6 +46,53 @@ def test_user_factors_solve_the_normal_equations(model, matrix):
         assert left @ factor == pytest.approx(y.T @ ((1 + 2.0 * r) * (r > 0)), abs=1e-4)
 
 
+@pytest.mark.parametrize("implicit", [True, False])
+def test_packed_blocks_give_the_factors_of_the_solver(spark, monkeypatch, implicit):
+    """Few and many ratings for the rank, blocks and chunks of any size, one user with very many ratings: as Spark's own solver."""
+    rng = np.random.default_rng(5)
+    rows = [(u, i * 3, float(rng.integers(1, 6))) for u in range(60) for i in range(40) if u == 7 or rng.random() < 0.15]
+    ratings = spark.createDataFrame([*rows, *rows[:5]], "user_id int, item_id int, rating double")
+    settings = recommend.Settings(rank=6, iterations=4, reg=0.3, alpha=5.0, implicit=implicit)
+    solver = local_factors(recommend.fit(ratings, settings))
+    monkeypatch.setattr(recommend, "PACKED_RATINGS", 0)
+    called = []
+    monkeypatch.setattr(recommend, "iterate", lambda *args: called.append(1) or factors.iterate(*args))
+    for name, value in (("BLOCK_BYTES", 500), ("CHUNK_RATINGS", 9), ("MESSAGE_BYTES", 60), ("GATHERED", 50)):
+        monkeypatch.setattr(factors, name, value)
+    packed = local_factors(recommend.fit(ratings, settings))
+    assert called
+    for mine, theirs in zip(packed, solver, strict=True):
+        assert set(mine) == set(theirs) and all(mine[k] == pytest.approx(theirs[k], abs=1e-4) for k in theirs)
+
+
+def test_fits_drop_their_shuffles_by_size():
+    assert recommend._exchange(1000, [100, 50], 10, 8) == (10, False)
+    # Nine million ratings of 900,000 users: two gigabytes in every iteration.
+    assert recommend._exchange(9_000_000, [900_000, 60_000], 10, 56) == (1, True)
+    assert recommend._exchange(900_000, [90_000, 6_000], 10, 56) == (2, False)
+
+
+def test_staging_leaves_no_shuffle_behind(spark):
+    """Threads side by side, and the session's own setting afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with staging.without_shuffles(spark), staging.without_shuffles(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == before
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {str(f.getName()) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(folders.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    kept = shuffles()
+    rows = staging.stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    for _ in range(50):
+        if shuffles() <= kept:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= kept and rows.count() == 7
+
+
 def local_factors(model):
     users = {r["user_id"]: np.array(r["user_factor"]) for r in model.users.collect()}
     return users, {r["item_id"]: np.array(r["item_factor"]) for r in model.items.collect()}
