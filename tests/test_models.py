@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from propense import jobs
 from propense.operators import clusters, decompose, factors, features, lookalike, popularity, recommend, topics, trials
@@ -317,6 +318,31 @@ def test_cluster_sweep_and_report(spark):
     assert clusters.centres(model, spark).count() == 6
 
 
+def test_distances_to_centres(spark, monkeypatch):
+    """Sparse, dense and empty vectors, measured from what they store: as numpy has it from what they stand for."""
+    monkeypatch.setattr(clusters, "HELD_NUMBERS", 5)
+    dense = {1: [0.0, 2.0, 0.0, 5.0], 2: [1.0, 1.0, 1.0, 1.0], 3: [0.0] * 4, 4: [0.0, 0.0, 7.0, 0.0]}
+    rows = [(u, Vectors.dense(x) if u == 2 else Vectors.sparse(4, [(i, v) for i, v in enumerate(x) if v]), 0) for u, x in dense.items()]
+
+    class Model:
+        def clusterCenters(self):
+            return [np.array([0.5, 0.0, 3.0, 1.0]), np.array([0.0, 2.0, 0.0, 4.0]), np.zeros(4)]
+
+    schema = tables.vector_schema("user_id").add("cluster", IntegerType())
+    found = {r["user_id"]: r["distances"] for r in clusters.distances(spark.createDataFrame(rows, schema), Model()).collect()}
+    for user, x in dense.items():
+        assert found[user] == pytest.approx([float(((np.array(x) - c) ** 2).sum()) for c in Model().clusterCenters()])
+
+
+def test_elements_of_vectors(spark):
+    """A sparse vector is not written out: this one would hold two billion numbers."""
+    rows = [(1, Vectors.sparse(2**31 - 1, [1, 2**30], [2.0, 4.0])), (2, Vectors.dense([0.0, 3.0])), (3, None)]
+    vectors = spark.createDataFrame(rows, tables.vector_schema("user_id"))
+    elements = [features.vector_element(F.col("features"), i).alias(f"e{i}") for i in (0, 1, 5, 2**30)]
+    found = {r["user_id"]: tuple(r)[1:] for r in vectors.select("user_id", *elements).collect()}
+    assert found == {1: (0.0, 2.0, 0.0, 4.0), 2: (0.0, 3.0, None, None), 3: (None,) * 4}
+
+
 def test_best_clustering(spark):
     data = cluster_rows(spark)
     trials_run, best_model, assigned = jobs.best_clustering(data, (2, 3), seed=1, iterations=20, parallelism=2)
