@@ -255,6 +255,18 @@ def test_decomposition_of_a_larger_matrix(spark, monkeypatch, sent):
         assert misfit.agg(F.max("misfit")).first()[0] < 1e-5
 
 
+def test_products_with_blocks_of_vectors(spark):
+    """Fewer items than tasks, and an item that no user has; thirty components of 60,000 items are still sent."""
+    dense = np.array([[1.0, 0.0, 2.0], [0.0, 0.0, 3.0], [4.0, 0.0, 0.0]])
+    rows = spark.createDataFrame([([(int(i), float(r[i])) for i in np.nonzero(r)[0]],) for r in dense], "cells array<struct<item_index: int, value: double>>")
+    x = np.arange(6.0).reshape(3, 2)
+    block = spark.createDataFrame([(i, x[i].tolist()) for i in range(3)], "item_index int, x array<double>")
+    found = {r["item_index"]: r["z"] for r in decompose._squared(None, rows, block, 2, 3).collect()}
+    for i, z in enumerate(dense.T @ dense @ x):
+        assert found.get(i, [0.0, 0.0]) == pytest.approx(z.tolist())
+    assert 60_000 * (decompose.FOLD * 30 + decompose.EXTRA) * 8 <= decompose.SENT_BYTES
+
+
 def test_decomposition_of_low_rank(spark):
     cells = [(u, i, float((u + 1) * (i % 2 + 1))) for u in range(6) for i in range(9)]
     rows = spark.createDataFrame(cells, "user_id long, item_id long, value double")
